@@ -36,21 +36,26 @@ def lexemes(units: DataFrame, pattern: str) -> DataFrame:
     )
     rows = by_unit(units).select("unit_id", F.posexplode(pairs).alias("n", "p"))
     rows = rows.select("unit_id", "n", "p.raw", "p.text")
+    before, zero = in_file().before, F.lit(0)
     breaks = F.length("raw") - F.length(F.replace("raw", F.lit("\n"), F.lit("")))
-    return rows.select(
+    rows = rows.select(
         "*",
-        (F.coalesce(F.sum(breaks).over(in_file().before), F.lit(0)) + 1).cast("int").alias("line"),
-        F.coalesce(F.sum(F.length("raw")).over(in_file().before), F.lit(0)).cast("int").alias("start"),
+        (F.coalesce(F.sum(breaks).over(before), zero) + 1).cast("int").alias("line"),
+        F.coalesce(F.sum(F.length("raw")).over(before), zero).cast("int").alias("start"),
     )
+    # Offset of the line a row leaves behind it.  Plans that want no columns drop this pass.
+    last_line = F.col("start") + F.length("raw") - F.length(F.substring_index("raw", "\n", -1))
+    line_start = F.max(F.when(F.contains("raw", F.lit("\n")), last_line)).over(before)
+    return rows.withColumn("col", F.col("start") - F.coalesce(line_start, zero))
 
 
 def tokens(units: DataFrame) -> DataFrame:
-    """Default-channel tokens in order, with class, line and offset (from 0)."""
+    """Default-channel tokens in order, with class, line, offset and column (from 0)."""
     rows = lexemes(units, lx.TOKEN_LEX)
     first_empty = F.max(F.when(F.col("text") == "", 1).otherwise(0)).over(in_file().to)
     rows = rows.withColumn("tok_no", (F.col("n") - first_empty).cast("int"))
     return rows.filter(F.col("text") != "").select(
-        "unit_id", "tok_no", "text", token_class(F.col("text")).alias("cls"), "line", "start"
+        "unit_id", "tok_no", "text", token_class(F.col("text")).alias("cls"), "line", "start", "col"
     )
 
 
@@ -65,7 +70,6 @@ def token_class(text: Column) -> Column:
         .when(text.rlike(r"^\.?\d"), "number")
         .when(text.isin(*lx.KEYWORDS), "keyword")
         .when(text.rlike("^[A-Za-z_]"), "name")
-        .when(text.rlike(r"^[()\[\]{}]$"), "bracket")
         .when(text.rlike(f"^(?:{lx.OPERATOR})$"), "operator")
         .otherwise("other")
     )

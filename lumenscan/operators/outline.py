@@ -41,8 +41,13 @@ def statements(units: DataFrame) -> DataFrame:
     k, level = F.col("k"), on_level()
     rows = scan(units)
     br_before = F.col("br") - bracket_step(k)
-    rows = rows.withColumn("br_before", br_before).withColumn(
-        "prev_end", F.col("start") - F.coalesce(F.lag("trail").over(in_file().all), F.lit(0))
+    file = in_file().all
+    rows = rows.withColumn("br_before", br_before).select(
+        "*",
+        (F.col("start") - F.coalesce(F.lag("trail").over(file), F.lit(0))).alias("prev_end"),
+        F.lag(F.col("text") == "local").over(file).alias("prev_local"),
+        F.lag("line").over(file).alias("prev_line"),
+        F.lag("col").over(file).alias("prev_col"),
     )
     first_in_block = F.col("prev_k").isin(*OPENERS) & ~k.isin(*CLOSERS)
     rows = rows.select(
