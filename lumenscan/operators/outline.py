@@ -201,7 +201,7 @@ def _is_text(rows: DataFrame) -> Column:
 
 
 def outline(units: DataFrame) -> DataFrame:
-    """Functions (``step_key = -1``) and steps of every file, in one table.
+    """Functions (``kind = 'function'``) and steps of every file, in one table.
 
     ``functions`` and ``steps`` are projections of it; write it once where both are needed.
     """
@@ -265,7 +265,7 @@ def outline(units: DataFrame) -> DataFrame:
         .otherwise(F.col("sink"))
     )
     rows = rows.withColumn("step_key", key)
-    return rows.groupBy("unit_id", "fn_no", "step_key").agg(
+    gathered = rows.groupBy("unit_id", "fn_no", "step_key").agg(
         F.max("fn.fn_name").alias("fn_name"),
         F.max(F.when(mark == "function", function)).alias("f"),
         F.max(F.when(mark == "step", step)).alias("s"),
@@ -275,35 +275,22 @@ def outline(units: DataFrame) -> DataFrame:
         F.max(F.when(mark == "end", F.col("count") - 1)).alias("sub_end"),
         F.collect_list(F.when(F.col("is_text"), F.struct("pos", "raw", "trail"))).alias("pieces"),
     )
+    return _described(gathered)
 
 
-def functions_of(outlined: DataFrame) -> DataFrame:
-    """Named outermost functions, in file order."""
-    return outlined.filter("step_key = -1").select(
-        "unit_id",
-        "fn_no",
-        "fn_name",
-        function_container(F.col("fn_name")).alias("container"),
-        "f.signature",
-        "f.line",
-        "f.start",
-        "f.stop",
-    )
-
-
-def steps_of(outlined: DataFrame) -> DataFrame:
-    """The flat preorder step table."""
+def _described(rows: DataFrame) -> DataFrame:
+    """Kinds, labels and counts from what was gathered per step."""
     k = F.col("s.k")
     pieces = F.array_sort("pieces")
     raws = F.array_join(F.transform(pieces, lambda p: p["raw"]), "")
     text = compact(F.substring(raws, F.lit(1), F.length(raws) - F.element_at(pieces, -1)["trail"]))
-    text = F.when(F.size("pieces") == 0, "").otherwise(text)
-    rows = outlined.filter("step_key >= 0 and s is not null").withColumn("txt", text)
+    rows = rows.withColumn("txt", F.when(F.size("pieces") == 0, "").otherwise(text))
     txt = F.col("txt")
     # The word `in` or the sign `=`, whichever comes first, tells the two loops apart.
     numeric = F.regexp_extract(txt, r"(=|(?<![A-Za-z0-9_])in(?![A-Za-z0-9_]))", 1) == "="
     kind = (
-        F.when(k.isin("if", "elseif"), "if")
+        F.when(F.col("step_key") == -1, "function")
+        .when(k.isin("if", "elseif"), "if")
         .when(k == "while", "while")
         .when(k == "repeat", "repeat_until")
         .when((k == "for") & numeric, "numeric_for")
@@ -315,7 +302,7 @@ def steps_of(outlined: DataFrame) -> DataFrame:
     is_if, kind = F.col("kind") == "if", F.col("kind")
     or_word = F.when(txt == "", "condition").otherwise(txt)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return rows.select(
+    return rows.filter("f is not null or s is not null").select(
         "unit_id",
         "fn_no",
         "fn_name",
@@ -328,14 +315,35 @@ def steps_of(outlined: DataFrame) -> DataFrame:
         F.when(kind == "action", txt).when(kind == "closure", F.trim(F.concat(txt, F.lit(" {...}")))).alias("label"),
         F.when(kind.isin("if", "while", "repeat_until"), or_word).alias("condition"),
         F.when(kind.isin("for_in", "numeric_for"), txt).alias("header"),
-        F.when(kind == "closure", F.col("closure")).alias("signature"),
+        F.when(kind == "closure", F.col("closure")).otherwise(F.col("f.signature")).alias("signature"),
         F.when(is_if, zero("n_first")).otherwise(0).alias("n_then"),
         F.when(is_if, zero("n_else")).otherwise(0).alias("n_else"),
         F.when(is_if | (kind == "action"), 0).otherwise(zero("n_first")).alias("n_body"),
-        "s.line",
+        F.coalesce("s.line", "f.line").alias("line"),
+        "f.start",
+        "f.stop",
     )
 
 
+STEP_COLUMNS = (
+    "unit_id", "fn_no", "fn_name", "step_no", "sub_end", "parent_no", "branch", "ordinal", "kind",
+    "label", "condition", "header", "signature", "n_then", "n_else", "n_body", "line",
+)
+
+
+def functions_of(outlined: DataFrame) -> DataFrame:
+    """Named outermost functions, in file order."""
+    container = function_container(F.col("fn_name")).alias("container")
+    return outlined.filter("kind = 'function'").select(
+        "unit_id", "fn_no", "fn_name", container, "signature", "line", "start", "stop"
+    )
+
+
+def steps_of(outlined: DataFrame) -> DataFrame:
+    """The flat preorder step table."""
+    return outlined.filter("kind <> 'function'").select(*STEP_COLUMNS)
+
+
 def functions(units: DataFrame) -> DataFrame:
     return functions_of(outline(units))
 

@@ -26,8 +26,7 @@ def split_large(df: DataFrame, keys: list[str], order: list[str], large: int = L
     part in the joins, at most ``rows / large`` of them, so adaptive execution can
     broadcast them when they are few and splits the skewed side when they are not.
     """
-    first = F.col(order[0])
-    number = first.cast("double")
+    number = _as_number(df, order[0])
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > large).drop("_n")
     cuts = [i / PARTS for i in range(1, PARTS)]
     bounds = (
@@ -40,6 +39,15 @@ def split_large(df: DataFrame, keys: list[str], order: list[str], large: int = L
     return df.join(bounds, keys, "left").withColumn(PART, F.when(F.col("_bounds").isNotNull(), part)).drop("_bounds")
 
 
+def _as_number(df: DataFrame, name: str) -> Column:
+    kind = dict(df.dtypes)[name]
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    if kind == "date":
+        return F.unix_date(name).cast("double")
+    return F.col(name).cast("double")
+
+
 def _handed_over(df: DataFrame, keys: list[str], per_part: list[Column], carries: dict[str, Column]) -> DataFrame:
     """Per (key, part): what earlier parts of the key amount to.
 
