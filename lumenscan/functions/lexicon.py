@@ -3,10 +3,10 @@
 Two lexers share the same pieces:
 
 * ``TOKEN_LEX`` cuts single tokens, for the token-level operators.
-* ``SCAN_LEX`` cuts *scan lexemes*: block words, brackets that stay open on their
-  line, whole function headers, and runs of everything else on one line.  A
-  statement is one or two scan lexemes instead of ten tokens, so the sorts of the
-  step pipeline handle a fraction of the rows.
+* ``SCAN_LEX`` cuts *scan lexemes*: function and block headers, block words, brackets
+  that stay open on their line, and runs of everything else on one line.  A statement
+  is one scan lexeme or two instead of ten tokens, so the sorts of the step pipeline
+  handle a fraction of the rows.
 
 In both, one match is a lexeme (group 1) plus the whitespace and comments behind it,
 so the matches of a file concatenate to the file.  A file that starts with
@@ -107,7 +107,19 @@ DOTTED = rf"{NAME}(?:\s*+[.:]\s*+{NAME})*+"
 FUNCTION_HEADER = rf"function(?![A-Za-z0-9_])(?:\s++{DOTTED})?+(?:\s*+<[^()\n]*+>)?+\s*+{_PARAMS}"
 _RETURN_TYPE = rf"\s*+:(?!:)(?:{_BLANK}(?:{PLAIN_NAME}|{STRING}|->|[.?|&,<>]|{_H2}))*+"
 
-_SCAN = rf"(?:{FUNCTION_HEADER})(?:{_RETURN_TYPE})?+|(?!local|return){_BLOCK}|{RUN}|[()\[\]{{}};]|\S"
+# Block headers that fit on their line are one lexeme, from the keyword to `then` or `do`;
+# others are cut at the keyword.  `until` takes its condition along.
+_NO_WORD = r"(?![A-Za-z0-9_])"
+_HEADERS = "|".join(
+    rf"(?:{words}){_NO_WORD}(?:{_BLANK}{_piece(group)})++{_BLANK}{closing}{_NO_WORD}"
+    for words, group, closing in (("if|elseif", "v", "then"), ("while|for", "w", "do"))
+)
+_UNTIL = rf"until{_NO_WORD}(?:{_BLANK}{_piece('x')})*+"
+
+_SCAN = (
+    rf"(?:{FUNCTION_HEADER})(?:{_RETURN_TYPE})?+|{_HEADERS}|{_UNTIL}|(?!local|return){_BLOCK}|{RUN}"
+    r"|[()\[\]{};]|\S"
+)
 SCAN_LEX = rf"(\A(?=\s|--)|{_SCAN}){trivia('c')}"
 
 # An ``if`` behind one of these starts an expression, not a statement.

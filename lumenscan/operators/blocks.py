@@ -1,6 +1,6 @@
 """Block and bracket depth of lexemes, and the pairs that depth defines.
 
-Both lexers feed the same functions: they look at ``text`` and ``nl`` only.
+Both lexers feed the same functions.
 """
 
 from __future__ import annotations
@@ -16,43 +16,48 @@ OPENERS = ("do", "then", "function", "repeat")
 CLOSERS = ("end", "until", "elseif")
 BRACKETS_OPEN = ("(", "[", "{")
 BRACKETS_CLOSE = (")", "]", "}")
-_FUNCTION = r"^function(?![A-Za-z0-9_])"
 
+# What a lexeme is, as a small number: windows carry it through every pass.
+KINDS = (
+    "run", *OPENERS, *CLOSERS, "else", "if", "while", "for", ";", *BRACKETS_OPEN, *BRACKETS_CLOSE,
+)
+_CODES = {name: code for code, name in enumerate(KINDS)}
 
-def on_level() -> Ordered:
-    """Along one level; there an opener is directly followed by its closer."""
-    return ordered(["unit_id", "xl"], ["n"])
 
+_END = "(?![A-Za-z0-9_])"
 
-def lexeme_kind(text: Column) -> Column:
-    """The block word, bracket or ``;`` a lexeme is; anything else is a ``run``."""
-    return (
-        F.when(text.isin("do", "then", "else", "elseif", "end", "repeat", "until"), text)
-        .when(text.isin("if", "while", "for", ";", *BRACKETS_OPEN, *BRACKETS_CLOSE), text)
-        .when(text.rlike(_FUNCTION), "function")
-        .otherwise("run")
-    )
 
+def code(name: str) -> int:
+    return _CODES[name]
 
-def bracket_step(k: Column) -> Column:
-    return F.when(k.isin(*BRACKETS_OPEN), 1).when(k.isin(*BRACKETS_CLOSE), -1).otherwise(0)
+
+def is_kind(k: Column, *names: str) -> Column:
+    return k.isin(*[_CODES[n] for n in names])
 
 
-def block_step(k: Column) -> Column:
-    return F.when(k.isin(*OPENERS), 1).when(k.isin(*CLOSERS), -1).otherwise(0)
+def on_level() -> Ordered:
+    """Along one level; there an opener is directly followed by its closer."""
+    return ordered(["unit_id", "xl"], ["n"])
 
 
 def levels(rows: DataFrame) -> DataFrame:
     """Depths of rows with unit_id, n, text and ``nl`` (a line break follows).
 
-    Adds ``k``; ``lev`` and ``br``, the block and bracket depth after the row; ``xl``, the
-    level the row is seen from (openers and closers count to the block around them); and
-    ``prev_k``, ``prev_nl`` of the row before.
+    Adds ``k``; ``opens`` and ``closes`` a block (0 or 1); ``lev`` and ``br``, block and
+    bracket depth after the row; ``xl``, the level the row is seen from (openers and
+    closers count to the block around them); and ``prev_k``, ``prev_opens``, ``prev_nl``.
     """
-    k, file = F.col("k"), in_file()
-    rows = rows.withColumn("k", lexeme_kind(F.col("text"))).select(
+    k, file, text = F.col("k"), in_file(), F.col("text")
+    rows = rows.withColumn("_word", F.regexp_extract(text, rf"^(?:[a-z]+{_END}|[;()\[\]{{}}]$)", 0))
+    kind = F.lit(code("run"))
+    for name in KINDS[1:]:
+        kind = F.when(F.col("_word") == name, code(name)).otherwise(kind)
+    rows = rows.withColumn("k", kind).drop("_word")
+    # A header in one lexeme both starts its statement and opens its block.
+    whole = is_kind(k, "if", "elseif", "while", "for") & text.rlike("(?:then|do)$")
+    rows = rows.withColumn("whole", whole).withColumn("_leads", text.rlike(lx.EXPRESSION_LEAD)).select(
         "*",
-        F.lag("text").over(file.all).alias("_text"),
+        F.lag("_leads", 1, False).over(file.all).alias("_led"),
         F.lag("k").over(file.all).alias("_k"),
         F.lead("k").over(file.all).alias("_next"),
         F.lag("nl").over(file.all).alias("prev_nl"),
@@ -62,33 +67,43 @@ def levels(rows: DataFrame) -> DataFrame:
     # `if a then b else c` as a value has no `end`.  Such an `if` follows an operator, and
     # the next `else` completes it unless `if` follows on the same line.  How many are
     # open is a walk that never goes below zero: its sum less the lowest sum so far.
-    value_if = (k == "if") & F.coalesce(F.col("_text").rlike(lx.EXPRESSION_LEAD), F.lit(False))
-    chained = (k == "if") & F.coalesce((F.col("_k") == "else") & ~F.col("prev_nl"), F.lit(False))
-    goes_on = (k == "else") & F.coalesce((F.col("_next") == "if") & ~F.col("nl"), F.lit(False))
+    value_if = is_kind(k, "if") & F.col("_led")
+    chained = is_kind(k, "if") & F.coalesce(is_kind(F.col("_k"), "else") & ~F.col("prev_nl"), F.lit(False))
+    goes_on = F.coalesce(is_kind(F.col("_next"), "if") & ~F.col("nl"), F.lit(False))
     rows = rows.withColumn("_v", value_if).withColumn("_c", chained)
-    rows = rows.withColumn("_d", F.when(F.col("_v"), 1).when((k == "else") & ~goes_on, -1).otherwise(0))
+    rows = rows.withColumn("_d", F.when(F.col("_v"), 1).when(is_kind(k, "else") & ~goes_on, -1).otherwise(0))
     rows = rows.withColumn("_walk", F.sum("_d").over(file.to))
     rows = rows.withColumn("_low", F.min(F.least("_walk", F.lit(0))).over(file.before))
     open_before = F.col("_walk") - F.col("_d") - F.coalesce("_low", F.lit(0))
-    valued = F.col("_v") | ((F.col("_c") | k.isin("then", "elseif", "else")) & (open_before > 0))
-    rows = rows.withColumn("k", F.when(valued, "run").otherwise(k))
+    valued = F.col("_v") | ((F.col("_c") | is_kind(k, "then", "elseif", "else")) & (open_before > 0))
+    rows = rows.withColumn("_valued", valued)
+    rows = rows.withColumn("k", F.when(F.col("_valued"), code("run")).otherwise(k))
+    rows = rows.withColumn("whole", F.col("whole") & ~F.col("_valued"))
+    rows = rows.withColumn("opens", (is_kind(k, *OPENERS) | F.col("whole")).cast("int"))
+    rows = rows.withColumn("closes", is_kind(k, *CLOSERS).cast("int"))
     rows = rows.select(
         "*",
-        F.sum(block_step(k)).over(file.to).cast("int").alias("lev"),
+        F.sum(F.col("opens") - F.col("closes")).over(file.to).cast("int").alias("lev"),
         F.lag("k").over(file.all).alias("prev_k"),
+        F.lag("opens", 1, 0).over(file.all).alias("prev_opens"),
     )
-    xl = F.when(k.isin(*OPENERS), F.col("lev") - 1).otherwise(F.col("lev"))
-    return rows.withColumn("xl", xl).drop("_text", "_k", "_next", "_v", "_c", "_d", "_walk", "_low")
+    scratch = ("_led", "_leads", "_k", "_next", "_v", "_c", "_d", "_walk", "_low", "_valued")
+    return rows.withColumn("xl", F.col("lev") - F.col("opens")).drop(*scratch)
+
+
+def bracket_step(k: Column) -> Column:
+    return F.when(is_kind(k, *BRACKETS_OPEN), 1).when(is_kind(k, *BRACKETS_CLOSE), -1).otherwise(0)
 
 
-def _numbered(tokens: DataFrame) -> DataFrame:
+def numbered(tokens: DataFrame) -> DataFrame:
+    """Public tokens as rows for ``levels``."""
     tokens = tokens.withColumn("n", F.col("tok_no"))
-    return tokens.withColumn("nl", F.lead("line").over(in_file().all) > F.col("line"))
+    return tokens.withColumn("nl", F.coalesce(F.lead("line").over(in_file().all) > F.col("line"), F.lit(True)))
 
 
 def block_depth(tokens: DataFrame) -> DataFrame:
     """Block depth and bracket depth after every token."""
-    return levels(_numbered(tokens)).select(
+    return levels(numbered(tokens)).select(
         "unit_id", "tok_no", "text", F.col("lev").alias("depth"), F.col("br").alias("bracket_depth")
     )
 
@@ -96,20 +111,20 @@ def block_depth(tokens: DataFrame) -> DataFrame:
 def bracket_level(rows: DataFrame) -> DataFrame:
     """Bracket rows only, with ``xl`` the bracket level around the pair."""
     k = F.col("k")
-    around = F.when(k.isin(*BRACKETS_OPEN), F.col("br") - 1).otherwise(F.col("br"))
-    return rows.filter(k.isin(*BRACKETS_OPEN, *BRACKETS_CLOSE)).withColumn("xl", around)
+    around = F.when(is_kind(k, *BRACKETS_OPEN), F.col("br") - 1).otherwise(F.col("br"))
+    return rows.filter(is_kind(k, *BRACKETS_OPEN, *BRACKETS_CLOSE)).withColumn("xl", around)
 
 
 def block_pairs(tokens: DataFrame) -> DataFrame:
     """Opener and matching closer of blocks and brackets, with the level around them."""
-    rows = levels(_numbered(tokens))
+    rows = levels(numbered(tokens))
 
     def pairs(frame: DataFrame, openers: tuple, closers: tuple) -> DataFrame:
-        frame = frame.withColumn("c", F.lead(F.struct("k", "tok_no")).over(on_level().all))
-        return frame.filter(F.col("k").isin(*openers) & F.col("c.k").isin(*closers)).select(
+        frame = frame.withColumn("c", F.lead(F.struct("k", "text", "tok_no")).over(on_level().all))
+        return frame.filter(is_kind(F.col("k"), *openers) & is_kind(F.col("c.k"), *closers)).select(
             "unit_id",
-            F.col("k").alias("opener"),
-            F.col("c.k").alias("closer"),
+            F.col("text").alias("opener"),
+            F.col("c.text").alias("closer"),
             F.col("tok_no").alias("open_tok"),
             F.col("c.tok_no").alias("close_tok"),
             F.col("xl").alias("level"),

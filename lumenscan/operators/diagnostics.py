@@ -10,9 +10,10 @@ from lumenscan.operators.blocks import (
     BRACKETS_OPEN,
     CLOSERS,
     OPENERS,
-    _numbered,
     bracket_level,
+    is_kind,
     levels,
+    numbered,
     on_level,
 )
 
@@ -23,9 +24,10 @@ def _unmatched(rows: DataFrame, openers: tuple, closers: tuple, opened: str, clo
     """Openers not followed by a closer on their level, and closers not behind an opener."""
     k, level = F.col("k"), on_level().all
     rows = rows.select("*", F.lead("k").over(level).alias("after"), F.lag("k").over(level).alias("before"))
-    open_ = k.isin(*openers) & ~F.coalesce(F.col("after").isin(*closers), F.lit(False))
-    close = k.isin(*closers) & ~F.coalesce(F.col("before").isin(*openers), F.lit(False))
-    return rows.filter(open_ | close).withColumn("what", F.when(k.isin(*openers), opened).otherwise(closed))
+    no = F.lit(False)
+    open_ = is_kind(k, *openers) & ~F.coalesce(is_kind(F.col("after"), *closers), no)
+    close = is_kind(k, *closers) & ~F.coalesce(is_kind(F.col("before"), *openers), no)
+    return rows.filter(open_ | close).withColumn("what", F.when(open_, opened).otherwise(closed))
 
 
 def _problem(what: Column) -> list:
@@ -35,7 +37,7 @@ def _problem(what: Column) -> list:
 
 def diagnostics(tokens: DataFrame) -> DataFrame:
     """Unclosed blocks, unexpected closers, unbalanced brackets, unterminated strings."""
-    rows = levels(_numbered(tokens))
+    rows = levels(numbered(tokens))
     blocks = _unmatched(rows, OPENERS, CLOSERS, "unclosed block", "unexpected")
     brackets = _unmatched(
         bracket_level(rows), BRACKETS_OPEN, BRACKETS_CLOSE, "unclosed bracket", "unexpected bracket"

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lumenscan.functions import lexicon as lx
 from lumenscan.functions.labels import compact
 from lumenscan.functions.windows import latest, ordered
-from lumenscan.operators.blocks import CLOSERS
-from lumenscan.operators.outline import statements
+from lumenscan.operators.blocks import is_kind
+from lumenscan.operators.outline import lexeme_text, statements
 
 ELEMENT_KINDS = ("import", "type_alias", "constant", "variable", "function", "local_function")
 _NESTED = r"\([^(){}\[\]<>]*\)|\{[^(){}\[\]<>]*\}|\[[^(){}\[\]<>]*\]|<[^(){}\[\]<>]*>"
@@ -29,19 +29,19 @@ def elements(units: DataFrame) -> DataFrame:
 
     The inside of a local function, and of a function bound by ``local``, is not listed.
     """
-    k, text = F.col("k"), F.col("text")
-    rows = statements(units)
+    text, is_function = F.col("text"), is_kind(F.col("k"), "function")
+    rows = statements(units).withColumn("text", lexeme_text())
     name = F.regexp_replace(F.regexp_extract(text, rf"^function\s+({lx.DOTTED})", 1), r"\s+", "")
-    name = F.when((k == "function") & (name != ""), name)
-    after_local = F.coalesce(F.col("prev_local"), F.lit(False))
+    name = F.when(is_function & (name != ""), name)
+    after_local = F.col("prev_local") == 2
     kind = (
         F.when(name.isNotNull() & after_local, "local_function")
         .when(name.isNotNull() & F.col("is_start"), "function")
         .when(F.col("is_start") & text.rlike(rf"^(?:export\s+)?type\s+{lx.NAME}\s*(?:<[^=]*>)?\s*="), "type_alias")
         .when(F.col("is_start") & text.rlike(r"^local\s"), F.when(text.contains("="), "constant").otherwise("variable"))
     )
-    closed = (k == "function") & F.col("closer.k").isin(*CLOSERS)
-    hides = closed & F.coalesce(F.col("own.local"), F.lit(False))
+    closed = is_function & F.col("closer_k").isNotNull()
+    hides = closed & F.coalesce(F.col("own") % 2 == 1, F.lit(False))
     rows = rows.withColumn("kind", kind).withColumn("hides", hides)
     rows = rows.withColumn("holds", closed & (F.col("kind") == "function")).withColumn("fn_name", name)
     rows = rows.filter(F.col("kind").isNotNull() | F.col("hides"))
@@ -50,7 +50,7 @@ def elements(units: DataFrame) -> DataFrame:
     none, block = F.array(F.lit(0)), F.array(F.lit(0), F.lit(1), F.lit(-1))
     rows = rows.withColumn("e", F.explode(F.when(F.col("hides") | F.col("holds"), block).otherwise(none)))
     e = F.col("e")
-    rows = rows.withColumn("pos", F.when(e == -1, F.col("closer.n")).otherwise(F.col("n")))
+    rows = rows.withColumn("pos", F.when(e == -1, F.col("closer_n")).otherwise(F.col("n")))
     to = ordered(["unit_id"], ["pos", "e"]).to
     rows = rows.select(
         "*",

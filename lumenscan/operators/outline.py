@@ -9,195 +9,221 @@ the lexer serves every one of them: no stage shuffles, and none joins.
 2. ``_events``: every block becomes an *open* and a *close* event among the lexemes.
 3. ``_places``: in file order, running sums of the events give the function, the depth
    and the step number of every row, and the step its text belongs to.
-4. ``outline``: along each depth, the last open event is the parent; one aggregation per
-   step then gathers text, child counts and the end of its subtree.
+4. ``outline``: along each depth, the last open event is the parent; then, per step, one
+   window gathers text, child counts and the end of its subtree.
+
+Rows are copied in every pass, so they carry numbers: kinds are codes, and what a row
+needs to know of another row is its position or one packed number.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenscan.functions import lexicon as lx
 from lumenscan.functions.labels import compact, function_container
 from lumenscan.functions.windows import latest, ordered
-from lumenscan.operators.blocks import BRACKETS_CLOSE, CLOSERS, OPENERS, bracket_step, levels, on_level
+from lumenscan.operators.blocks import BRACKETS_CLOSE, bracket_step, code, is_kind, levels, on_level
 from lumenscan.operators.lexing import in_file, lexemes
 
 MIN_CLOSURE_CHARS = 60
-
 _NAMED = rf"^function\s+({lx.DOTTED})\s*\("
+_LOCAL = "^local(?![A-Za-z0-9_])"
+
+K = lambda *names: is_kind(F.col("k"), *names)
 
 
 def scan(units: DataFrame) -> DataFrame:
-    """Scan lexemes with their depths."""
+    """Scan lexemes with their depths; ``raw`` less ``trail`` characters is the text."""
     rows = lexemes(units, lx.SCAN_LEX)
-    trail = F.length("raw") - F.length("text")
-    return levels(rows.withColumn("nl", F.contains("raw", F.lit("\n"))).withColumn("trail", trail))
+    text = F.col("text")
+    rows = rows.select(
+        "*",
+        F.contains("raw", F.lit("\n")).alias("nl"),
+        (F.length("raw") - F.length("text")).alias("trail"),
+        F.when(text == "local", 2).when(text.rlike(_LOCAL), 1).otherwise(0).alias("local"),
+    )
+    return levels(rows).drop("text")
+
+
+def lexeme_text() -> Column:
+    return F.substring("raw", F.lit(1), F.length("raw") - F.col("trail"))
+
+
+# A statement start packed into one number: position, kind, and whether `local` leads it.
+def _pack_start() -> Column:
+    local = F.when(F.col("local") > 0, 1).otherwise(0)
+    return F.col("n").cast("bigint") * 64 + F.col("k") * 2 + local
+
+
+def _own_kind(*names: str) -> Column:
+    return F.floor(F.col("own") % 64 / 2).isin(*[code(n) for n in names])
 
 
 def statements(units: DataFrame) -> DataFrame:
     """Scan lexemes with ``is_start`` and, for block openers, owner and closer."""
-    k, level = F.col("k"), on_level()
-    rows = scan(units)
-    br_before = F.col("br") - bracket_step(k)
-    file = in_file().all
-    rows = rows.withColumn("br_before", br_before).select(
+    level, file = on_level(), in_file().all
+    rows = scan(units).withColumn("br_before", F.col("br") - bracket_step(F.col("k"))).select(
         "*",
         (F.col("start") - F.coalesce(F.lag("trail").over(file), F.lit(0))).alias("prev_end"),
-        F.lag(F.col("text") == "local").over(file).alias("prev_local"),
+        F.lag("local", 1, 0).over(file).alias("prev_local"),
         F.lag("line").over(file).alias("prev_line"),
         F.lag("col").over(file).alias("prev_col"),
     )
-    first_in_block = F.col("prev_k").isin(*OPENERS) & ~k.isin(*CLOSERS)
+    first_in_block = (F.col("prev_opens") == 1) & (F.col("closes") == 0)
+    heads = K("if", "elseif", "while", "for") & ~F.col("whole")
     rows = rows.select(
         "*",
         F.coalesce(latest(F.col("br_before"), first_in_block, level.to), F.lit(0)).alias("base"),
-        latest(
-            F.struct("n", k.isin("if", "elseif", "while", "for").alias("open")),
-            k.isin("if", "elseif", "while", "for", "then", "do"),
-            level.before,
-        ).alias("head"),
-        F.lead(F.struct("k", "n", F.col("prev_end").alias("body_end"), "start")).over(level.all).alias("closer"),
+        latest(F.col("n").cast("bigint") * 2 + heads.cast("int"), heads | K("then", "do"), level.before).alias("head"),
+        F.lead(F.when(F.col("closes") == 1, F.col("k"))).over(level.all).alias("closer_k"),
+        F.lead("n").over(level.all).alias("closer_n"),
+        F.lead("prev_end").over(level.all).alias("body_end"),
+        F.lead("start").over(level.all).alias("stop"),
+        F.sum(K("elseif").cast("int")).over(level.to).cast("int").alias("elseifs"),
+        latest(F.col("n"), K("function"), level.before).alias("fn_before"),
     )
-    in_head = F.coalesce(F.col("head.open"), F.lit(False))
+    in_head = F.coalesce(F.col("head") % 2 == 1, F.lit(False))
     boundary = (
-        F.col("prev_k").isNull() | F.col("prev_nl") | F.col("prev_k").isin("do", "then", "repeat", "else", "function", ";")
+        F.col("prev_k").isNull() | F.col("prev_nl") | (F.col("prev_opens") == 1) | is_kind(F.col("prev_k"), "else", ";")
     )
-    never = k.isin("else", "end", "until", "then", "do", ";", *BRACKETS_CLOSE) | (F.col("text") == "")
-    is_start = k.isin("elseif", "repeat") | (~in_head & (F.col("br_before") == F.col("base")) & boundary & ~never)
+    never = K("else", "end", "until", "then", "do", ";", *BRACKETS_CLOSE) | (F.length("raw") == F.col("trail"))
+    is_start = K("elseif", "repeat") | (~in_head & (F.col("br_before") == F.col("base")) & boundary & ~never)
     rows = rows.withColumn("in_head", in_head).withColumn("is_start", F.coalesce(is_start, F.lit(False)))
     rows = rows.select(
         "*",
-        latest(F.struct("n", "k", (F.col("text").rlike("^local(?![A-Za-z0-9_])")).alias("local")), F.col("is_start"), level.to).alias("own"),
-        latest(F.col("n"), k == "function", level.before).alias("fn_before"),
-        F.count(F.when(k == "elseif", 1)).over(level.to).cast("int").alias("elseifs"),
+        latest(_pack_start(), F.col("is_start"), level.to).alias("own"),
+        latest(F.col("elseifs"), F.col("is_start") & K("if"), level.to).alias("_at_if"),
     )
-    since_if = F.col("elseifs") - latest(F.col("elseifs"), F.col("is_start") & (k == "if"), level.to)
-    return rows.withColumn("link", F.when(k.isin("elseif", "then"), F.coalesce(since_if, F.lit(0))).otherwise(0))
+    link = F.when(K("elseif", "then"), F.coalesce(F.col("elseifs") - F.col("_at_if"), F.lit(0))).otherwise(0)
+    return rows.withColumn("own_n", F.floor(F.col("own") / 64).cast("int")).withColumn("link", link)
+
+
+_ROLES = {"block": 1, "splice": 2, "fn": 3, "drop": 4}
+
+
+def _role(*names: str) -> Column:
+    return F.coalesce(F.col("role").isin(*[_ROLES[n] for n in names]), F.lit(False))
 
 
 def _roles(rows: DataFrame) -> DataFrame:
     """What a closed block is: ``block`` of a step, ``splice``, ``fn``, or ``drop``."""
-    k, own = F.col("k"), F.col("own")
-    closed = k.isin(*OPENERS) & F.col("closer.k").isin(*CLOSERS)
-    heads = F.col("in_head") & (F.col("head.n") == own["n"])
+    closed = (F.col("opens") == 1) & F.col("closer_k").isNotNull()
+    heads = F.col("in_head") & (F.floor(F.col("head") / 2) == F.col("own_n"))
+    owns = F.when(F.col("whole") | K("repeat"), F.col("is_start")).otherwise(K("then", "do") & heads)
     role = (
         F.when(~closed, None)
-        .when(k == "function", "fn")
-        .when(k == "repeat", "block")
-        .when(k.isin("then", "do") & heads, "block")
-        .when((k == "do") & ~F.col("in_head"), "splice")
-        .otherwise("drop")
+        .when(K("function"), _ROLES["fn"])
+        .when(F.coalesce(owns, F.lit(False)), _ROLES["block"])
+        .when(K("do") & ~F.col("in_head"), _ROLES["splice"])
+        .otherwise(_ROLES["drop"])
     )
-    body = F.col("closer.body_end") - (F.col("start") + F.length("raw"))
-    first_function = F.col("fn_before").isNull() | (F.col("fn_before") < own["n"])
+    body = F.col("body_end") - (F.col("start") + F.length("raw"))
+    first_function = F.col("fn_before").isNull() | (F.col("fn_before") < F.col("own_n"))
     decomposes = (
-        (body >= MIN_CLOSURE_CHARS)
-        & ~own["k"].isin("if", "elseif", "while", "for", "repeat")
+        K("function")
+        & (body >= MIN_CLOSURE_CHARS)
+        & ~_own_kind("if", "elseif", "while", "for", "repeat")
         & ~F.col("in_head")
         & first_function
     )
-    name = F.regexp_replace(F.regexp_extract("text", _NAMED, 1), r"\s+", "")
+    name = F.regexp_replace(F.regexp_extract("raw", _NAMED, 1), r"\s+", "")
+    named = K("function") & is_kind(F.col("closer_k"), "end") & (F.regexp_extract("raw", _NAMED, 1) != "")
     return rows.select(
         "*",
         role.alias("role"),
-        ((k == "function") & F.coalesce(decomposes, F.lit(False))).alias("deco"),
-        F.when((k == "function") & (F.col("closer.k") == "end") & (name != ""), name).alias("fn_name"),
+        F.coalesce(decomposes, F.lit(False)).alias("deco"),
+        F.when(named, name).alias("fn_name"),
     )
 
 
 def _events(rows: DataFrame) -> DataFrame:
-    """Lexemes plus an open and a close event per block, ordered by (pos, rank).
+    """Lexemes plus an open and a close event per block, ordered by ``at``.
 
-    A close event comes before its closing lexeme, except where the whole block stays in
+    ``at`` is four times the position, plus 1 for the lexeme, 2 for its open event, and
+    for a close event 0 (before the closing lexeme) or 3 where the whole block stays in
     the text of a statement.
     """
-    keeps_text = (F.col("role") == "drop") | ((F.col("role") == "fn") & ~F.col("deco"))
-    none = F.lit(None).cast("string")
-
-    def event(ev: str, pos: Column, rank: Column) -> Column:
-        return F.struct(F.lit(ev).alias("ev"), pos.alias("pos"), rank.alias("rank"))
-
-    row = event("row", F.col("n"), F.lit(1))
-    opened = event("open", F.col("n"), F.lit(2))
-    closed = event("close", F.col("closer.n"), F.when(keeps_text, 3).otherwise(0))
-    local = (F.col("prev_k") == "run") & ~F.col("prev_nl") & F.coalesce(F.col("own.local"), F.lit(False))
-    rows = rows.withColumn("is_local", F.coalesce(local, F.lit(False)))
-    rows = rows.withColumn("e", F.explode(F.when(F.col("role").isNotNull(), F.array(row, opened, closed)).otherwise(F.array(row))))
-    is_row = F.col("e.ev") == "row"
-    return rows.select(
-        "unit_id", "e.pos", "e.rank", "e.ev", "k", "role", "deco", "fn_name", "is_local", "link", "is_start",
-        "in_head", "line", "start", "trail", "br_before", "base",
-        F.col("own.n").alias("own_n"),
-        F.col("own.local").alias("own_local"),
-        F.col("closer.k").alias("closer_k"),
-        F.col("closer.start").alias("stop"),
-        F.when(is_row, F.col("raw")).otherwise(none).alias("raw"),
-        F.when((F.col("k") == "function") | F.col("is_start"), F.col("text")).alias("text"),
+    keeps_text = _role("drop") | (_role("fn") & ~F.col("deco"))
+    n, closer = F.col("n").cast("bigint") * 4, F.col("closer_n").cast("bigint") * 4
+    row = F.struct(F.lit(0).alias("ev"), (n + 1).alias("at"))
+    opened = F.struct(F.lit(1).alias("ev"), (n + 2).alias("at"))
+    closed = F.struct(F.lit(-1).alias("ev"), (closer + F.when(keeps_text, 3).otherwise(0)).alias("at"))
+    some = F.when(F.col("role").isNotNull(), F.array(row, opened, closed)).otherwise(F.array(row))
+    header = compact(F.regexp_extract("raw", f"^{lx.FUNCTION_HEADER}", 0))
+    local = (F.col("prev_local") == 2) & ~F.col("prev_nl")
+    signature = F.when(local, F.concat(F.lit("local "), header)).otherwise(header)
+    rows = rows.withColumn("sig", F.when(K("function"), signature)).select(
+        "unit_id", "n", "k", "whole", "role", "deco", "fn_name", "sig", "link", "is_start", "line", "start",
+        "stop", "raw", "trail", "closer_k", "own_n",
+        (F.col("br_before") == F.col("base")).alias("at_base"),
+        F.inline(some),
     )
+    raw = F.when(F.col("ev") == 0, F.col("raw"))
+    return rows.withColumn("raw", raw)
 
 
-def _signed(when: Column, amount: Column | int = 1) -> Column:
-    amount = F.lit(amount) if isinstance(amount, int) else amount
-    by_event = F.when(F.col("ev") == "open", amount).when(F.col("ev") == "close", -amount)
-    return F.coalesce(F.when(when, by_event), F.lit(0))
-
-
-def header_signature() -> Column:
-    """``function name(...)`` up to the closing parenthesis, with a leading ``local``."""
-    header = compact(F.regexp_extract("text", f"^{lx.FUNCTION_HEADER}", 0))
-    return F.when(F.col("is_local"), F.concat(F.lit("local "), header)).otherwise(header)
+def _signed(when: Column, amount: Column | None = None) -> Column:
+    by = F.col("ev") if amount is None else F.col("ev") * amount
+    return F.when(when, by).otherwise(0)
 
 
 def _places(rows: DataFrame) -> DataFrame:
     """Function, depth, step number and text owner of every lexeme and event."""
-    ev, k, role = F.col("ev"), F.col("k"), F.col("role")
-    to = ordered(["unit_id"], ["pos", "rank"]).to
-    named = F.col("fn_name").isNotNull() & (role == "fn")
-    rows = rows.withColumn("nested", F.sum(_signed(named)).over(to))
+    ev, to = F.col("ev"), ordered(["unit_id"], ["at"]).to
+    named = F.col("fn_name").isNotNull() & _role("fn")
+    rows = rows.withColumn("nested", F.sum(_signed(named)).over(to).cast("int"))
 
-    top = named & (F.col("nested") == F.when(ev == "open", 1).otherwise(0))
-    rows = rows.withColumn("top_open", (ev == "open") & top)
+    top = named & (ev != 0) & (F.col("nested") == F.when(ev == 1, 1).otherwise(0))
     in_fn = F.col("nested") > 0
-    cont = (ev != "row") & in_fn & ((role == "block") | ((role == "fn") & F.col("deco") & ~top))
-    drops = (role == "drop") | ((role == "fn") & ~F.col("deco") & ~top)
-    edge = top | (role == "splice") | cont
-    rows = rows.withColumn("cont", F.coalesce(cont, F.lit(False))).withColumn("edge", F.coalesce(edge, F.lit(False)))
+    cont = (ev != 0) & in_fn & (_role("block") | (_role("fn") & F.col("deco") & ~top))
+    drops = _role("drop") | (_role("fn") & ~F.col("deco") & ~top)
+    rows = rows.select("*", top.alias("top"), cont.alias("cont"), drops.alias("drops"))
+    top_open = F.col("top") & (ev == 1)
     rows = rows.select(
         "*",
-        (F.count(F.when(F.col("top_open"), 1)).over(to) - 1).cast("int").alias("fn_no"),
-        F.sum(_signed(drops)).over(to).alias("dropped"),
+        (F.sum(top_open.cast("int")).over(to) - 1).cast("int").alias("fn_no"),
+        F.last(F.when(top_open, F.col("fn_name")), ignorenulls=True).over(to).alias("fn"),
+        F.sum(_signed(F.col("drops"))).over(to).cast("int").alias("dropped"),
         F.sum(_signed(F.col("cont"), F.col("link") + 1)).over(to).cast("int").alias("depth"),
     )
 
     kept = F.col("dropped") == 0
-    step = (ev == "row") & F.col("is_start") & (F.col("nested") > 0) & kept
-    rows = rows.withColumn("is_step", step)
+    rows = rows.withColumn("is_step", (ev == 0) & F.col("is_start") & in_fn & kept)
+    edge = (ev != 0) & (F.col("top") | F.col("cont") | _role("splice"))
     sink = (
-        F.when(F.col("is_step"), F.col("pos"))
-        .when((ev == "close") & F.col("cont") & kept & (F.col("closer_k") == "until"), F.col("own_n"))
-        .when((ev != "row") & F.col("edge") & kept, -1)
-        .when((ev == "row") & (k == "else") & kept, -1)
+        F.when(F.col("is_step"), F.col("n"))
+        .when((ev == -1) & F.col("cont") & kept & is_kind(F.col("closer_k"), "until"), F.col("own_n"))
+        .when(kept & (edge | ((ev == 0) & K("else"))), -1)
     )
     rows = rows.select(
         "*",
-        F.count(F.when(F.col("is_step"), 1)).over(to).cast("int").alias("steps_so_far"),
+        F.sum(F.col("is_step").cast("int")).over(to).cast("int").alias("steps_so_far"),
         F.last(sink, ignorenulls=True).over(to).alias("sink"),
     )
-    fn = F.struct("fn_name", F.col("steps_so_far").alias("before"))
-    rows = rows.withColumn("fn", latest(fn, F.col("top_open"), to))
+    rows = rows.withColumn("_before", latest(F.col("steps_so_far"), top_open, to))
     # Steps of this function up to here; the newest one is number `count - 1`.
-    return rows.withColumn("count", F.col("steps_so_far") - F.col("fn.before"))
+    return rows.withColumn("count", F.col("steps_so_far") - F.col("_before")).drop("_before", "steps_so_far", "drops")
 
 
-def _is_text(rows: DataFrame) -> Column:
+def _is_text() -> Column:
     """Does the lexeme belong to the label of its step?"""
-    k, kept = F.col("k"), F.col("dropped") == 0
-    keyword = F.col("is_step") & k.isin("if", "elseif", "while", "for", "repeat")
-    block_word = k.isin(*CLOSERS, "else") | F.col("role").isin("block", "splice") | F.col("deco")
-    separator = (k == ";") & (F.col("br_before") == F.col("base"))
-    return (F.col("ev") == "row") & (F.col("sink") >= 0) & ~keyword & ~(kept & F.coalesce(block_word | separator, F.lit(False)))
+    kept = F.col("dropped") == 0
+    keyword = F.col("is_step") & ~F.col("whole") & K("if", "elseif", "while", "for", "repeat")
+    own_header = F.col("is_step") & F.col("whole")
+    block_word = K("end", "elseif", "else") | _role("block", "splice") | F.col("deco")
+    separator = K(";") & F.col("at_base")
+    hidden = keyword | (kept & ~own_header & (block_word | separator))
+    return (F.col("ev") == 0) & F.coalesce(F.col("sink") >= 0, F.lit(False)) & ~hidden
+
+
+_MARKS = {"step": 1, "function": 2, "end": 3, "else": 4, "open": 5}
+
+
+def _mark(*names: str) -> Column:
+    return F.coalesce(F.col("mark").isin(*[_MARKS[n] for n in names]), F.lit(False))
 
 
 def outline(units: DataFrame) -> DataFrame:
@@ -206,122 +232,125 @@ def outline(units: DataFrame) -> DataFrame:
     ``functions`` and ``steps`` are projections of it; write it once where both are needed.
     """
     rows = _places(_events(_roles(statements(units))))
-    ev, k, cont = F.col("ev"), F.col("k"), F.col("cont")
+    ev, cont = F.col("ev"), F.col("cont")
     kept = (F.col("dropped") == 0) & (F.col("nested") > 0)
-
-    # A chain's `end` closes each of its links, one depth apart.
-    link_end = cont & kept & (ev == "close") & (F.col("closer_k") != "elseif")
-    deeper = F.when(link_end, F.sequence(F.lit(0), F.col("link"))).otherwise(F.array(F.lit(0)))
-    kind = (
-        F.when(F.col("is_step"), "step")
-        .when(F.col("top_open"), "function")
-        .when(link_end, "end")
-        .when(cont & kept & (ev == "close"), "else")
-        .when(cont & kept & (ev == "open"), "open")
-        .when((ev == "row") & (k == "else") & kept, "else")
+    link_end = cont & kept & (ev == -1) & ~is_kind(F.col("closer_k"), "elseif")
+    mark = (
+        F.when(F.col("is_step"), _MARKS["step"])
+        .when(F.col("top") & (ev == 1), _MARKS["function"])
+        .when(link_end, _MARKS["end"])
+        .when(cont & kept & (ev == -1), _MARKS["else"])
+        .when(cont & kept & (ev == 1), _MARKS["open"])
+        .when((ev == 0) & K("else") & kept, _MARKS["else"])
     )
-    rows = rows.withColumn("is_text", _is_text(rows)).withColumn("mark", kind)
+    rows = rows.withColumn("mark", mark).withColumn("is_text", _is_text())
     rows = rows.filter(F.col("mark").isNotNull() | F.col("is_text"))
-    rows = rows.withColumn("j", F.explode(deeper))
+
+    # A chain's `end` closes each of its links, one depth apart.
+    links = F.when(_mark("end"), F.sequence(F.lit(0), F.col("link"))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("j", F.explode(links))
     depth = (
-        F.when(F.col("mark") == "end", F.col("depth") + 1 + F.col("j"))
-        .when((F.col("mark") == "else") & (ev == "close"), F.col("depth") + 1 + F.col("link"))
-        .when(F.col("is_step") & (k == "elseif"), F.col("depth") + F.col("link"))
-        .when(F.col("mark").isin("step", "open", "else"), F.col("depth"))
+        F.when(_mark("end"), F.col("depth") + 1 + F.col("j"))
+        .when(_mark("else") & (ev == -1), F.col("depth") + 1 + F.col("link"))
+        .when(_mark("step") & K("elseif"), F.col("depth") + F.col("link"))
+        .when(_mark("step", "open", "else"), F.col("depth"))
         .otherwise(-1)
     )
-    rows = rows.withColumn("depth", depth)
+    _, to, before = ordered(["unit_id", "fn_no", "depth"], ["at"])
+    forks = (K("then") | (F.col("whole") & K("if", "elseif"))).cast("int")
+    opens = _mark("open")
+    rows = rows.withColumn("depth", depth).select(
+        "unit_id", "fn_no", "fn", "depth", "at", "n", "k", "whole", "mark", "is_text", "count", "line", "start",
+        "stop", "raw", "trail", "sig", "own_n", "sink",
+        latest(F.col("own_n"), opens, to).alias("parent_n"),
+        latest((F.col("count") - 1) * 2 + forks, opens, to).alias("parent"),
+        latest(F.col("mark"), _mark("open", "else"), before).alias("part"),
+        F.sum(_mark("step").cast("int")).over(to).cast("int").alias("siblings"),
+    )
+    at_mark = latest(F.col("siblings"), _mark("open", "else"), before)
+    rows = rows.withColumn("in_part", F.col("siblings") - F.coalesce(at_mark, F.lit(0)))
+    return _gathered(rows)
 
-    _, to, before = ordered(["unit_id", "fn_no", "depth"], ["pos", "rank"])
-    mark = F.col("mark")
-    opens = F.struct("own_n", (F.col("count") - 1).alias("step_no"), F.when(k == "then", True).otherwise(False).alias("forks"))
-    rows = rows.select(
-        "*",
-        latest(opens, mark == "open", to).alias("parent"),
-        latest(mark, mark.isin("open", "else"), before).alias("part"),
-        F.count(F.when(mark == "step", 1)).over(to).cast("int").alias("siblings"),
-    )
-    rows = rows.withColumn("at_mark", F.coalesce(latest(F.col("siblings"), mark.isin("open", "else"), before), F.lit(0)))
-    rows = rows.withColumn("in_part", F.col("siblings") - F.col("at_mark"))
-
-    branch = F.when(~F.col("parent.forks"), "body").when(F.col("part") == "open", "then").when(F.col("part") == "else", "else")
-    step = F.struct(
-        (F.col("count") - 1).alias("step_no"),
-        F.col("parent.step_no").alias("parent_no"),
-        F.coalesce(branch, F.lit("body")).alias("branch"),
-        (F.col("in_part") - 1).alias("ordinal"),
-        "k",
-        "line",
-    )
-    function = F.struct(
-        F.col("fn_name").alias("name"), header_signature().alias("signature"), "line", "start", "stop"
-    )
-    counted = mark.isin("else", "end")
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """One row per step and function, with all that other rows say about it."""
+    counted = _mark("else", "end")
     key = (
-        F.when(mark == "function", -1)
-        .when(mark == "step", F.col("pos"))
-        .when(mark == "open", F.col("own_n"))
-        .when(counted, F.col("parent.own_n"))
+        F.when(_mark("function"), F.col("n"))
+        .when(_mark("step"), F.col("n"))
+        .when(_mark("open"), F.col("own_n"))
+        .when(counted, F.col("parent_n"))
         .otherwise(F.col("sink"))
     )
+    window = W.partitionBy("unit_id", "step_key").orderBy("at")
+    whole = window.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    first, other = F.col("part") == _MARKS["open"], F.col("part") == _MARKS["else"]
+    piece = F.when(F.col("is_text"), F.struct("raw", "trail"))
     rows = rows.withColumn("step_key", key)
-    gathered = rows.groupBy("unit_id", "fn_no", "step_key").agg(
-        F.max("fn.fn_name").alias("fn_name"),
-        F.max(F.when(mark == "function", function)).alias("f"),
-        F.max(F.when(mark == "step", step)).alias("s"),
-        F.max(F.when((mark == "open") & (k == "function"), header_signature())).alias("closure"),
-        F.max(F.when(counted & (F.col("part") == "open"), F.col("in_part"))).alias("n_first"),
-        F.max(F.when(counted & (F.col("part") == "else"), F.col("in_part"))).alias("n_else"),
-        F.max(F.when(mark == "end", F.col("count") - 1)).alias("sub_end"),
-        F.collect_list(F.when(F.col("is_text"), F.struct("pos", "raw", "trail"))).alias("pieces"),
+    closure = _mark("open") & K("function")
+    # A function's row shares its key with the step its header would be; keep both kinds.
+    rows = rows.select(
+        "*",
+        F.max(F.when(closure, F.col("sig"))).over(whole).alias("closure"),
+        F.max(F.when(counted & first, F.col("in_part"))).over(whole).alias("n_first"),
+        F.max(F.when(counted & other, F.col("in_part"))).over(whole).alias("n_other"),
+        F.max(F.when(_mark("end"), F.col("count") - 1)).over(whole).alias("sub_end"),
+        F.collect_list(piece).over(whole).alias("pieces"),
     )
-    return _described(gathered)
+    rows = rows.filter(_mark("step", "function"))
+    raws = F.array_join(F.transform("pieces", lambda p: p["raw"]), "")
+    trail = F.element_at("pieces", -1)["trail"]
+    text = F.substring(raws, F.lit(1), F.length(raws) - trail)
+    # Headers in one lexeme still have their keywords.
+    bare = F.when(F.col("whole"), F.regexp_replace(text, r"^[a-z]+\s*|\s*(?:then|do)$", "")).when(
+        K("repeat"), F.regexp_replace(text, r"^until\s*", "")
+    ).otherwise(text)
+    txt = F.when(F.size("pieces") == 0, "").otherwise(compact(bare))
+    return _described(rows.withColumn("txt", txt))
 
 
 def _described(rows: DataFrame) -> DataFrame:
-    """Kinds, labels and counts from what was gathered per step."""
-    k = F.col("s.k")
-    pieces = F.array_sort("pieces")
-    raws = F.array_join(F.transform(pieces, lambda p: p["raw"]), "")
-    text = compact(F.substring(raws, F.lit(1), F.length(raws) - F.element_at(pieces, -1)["trail"]))
-    rows = rows.withColumn("txt", F.when(F.size("pieces") == 0, "").otherwise(text))
-    txt = F.col("txt")
+    """Kinds, labels and counts by their public names."""
+    txt, step = F.col("txt"), _mark("step")
     # The word `in` or the sign `=`, whichever comes first, tells the two loops apart.
     numeric = F.regexp_extract(txt, r"(=|(?<![A-Za-z0-9_])in(?![A-Za-z0-9_]))", 1) == "="
     kind = (
-        F.when(F.col("step_key") == -1, "function")
-        .when(k.isin("if", "elseif"), "if")
-        .when(k == "while", "while")
-        .when(k == "repeat", "repeat_until")
-        .when((k == "for") & numeric, "numeric_for")
-        .when(k == "for", "for_in")
+        F.when(_mark("function"), "function")
+        .when(K("if", "elseif"), "if")
+        .when(K("while"), "while")
+        .when(K("repeat"), "repeat_until")
+        .when(K("for") & numeric, "numeric_for")
+        .when(K("for"), "for_in")
         .when(F.col("closure").isNotNull(), "closure")
         .otherwise("action")
     )
     rows = rows.withColumn("kind", kind)
-    is_if, kind = F.col("kind") == "if", F.col("kind")
+    kind, is_if = F.col("kind"), F.col("kind") == "if"
+    parent, forks = F.floor(F.col("parent") / 2).cast("int"), F.col("parent") % 2 == 1
+    branch = F.when(~forks, "body").when(F.col("part") == _MARKS["open"], "then").when(F.col("part") == _MARKS["else"], "else")
+    step_no = F.when(step, F.col("count") - 1)
     or_word = F.when(txt == "", "condition").otherwise(txt)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return rows.filter("f is not null or s is not null").select(
+    return rows.select(
         "unit_id",
         "fn_no",
-        "fn_name",
-        "s.step_no",
-        F.coalesce("sub_end", "s.step_no").alias("sub_end"),
-        "s.parent_no",
-        "s.branch",
-        "s.ordinal",
+        F.col("fn").alias("fn_name"),
+        step_no.alias("step_no"),
+        F.when(step, F.coalesce("sub_end", step_no)).alias("sub_end"),
+        F.when(step, parent).alias("parent_no"),
+        F.when(step, F.coalesce(branch, F.lit("body"))).alias("branch"),
+        F.when(step, F.col("in_part") - 1).alias("ordinal"),
         "kind",
         F.when(kind == "action", txt).when(kind == "closure", F.trim(F.concat(txt, F.lit(" {...}")))).alias("label"),
         F.when(kind.isin("if", "while", "repeat_until"), or_word).alias("condition"),
         F.when(kind.isin("for_in", "numeric_for"), txt).alias("header"),
-        F.when(kind == "closure", F.col("closure")).otherwise(F.col("f.signature")).alias("signature"),
+        F.when(kind == "closure", F.col("closure")).when(kind == "function", F.col("sig")).alias("signature"),
         F.when(is_if, zero("n_first")).otherwise(0).alias("n_then"),
-        F.when(is_if, zero("n_else")).otherwise(0).alias("n_else"),
-        F.when(is_if | (kind == "action"), 0).otherwise(zero("n_first")).alias("n_body"),
-        F.coalesce("s.line", "f.line").alias("line"),
-        "f.start",
-        "f.stop",
+        F.when(is_if, zero("n_other")).otherwise(0).alias("n_else"),
+        F.when(is_if | kind.isin("action", "function"), 0).otherwise(zero("n_first")).alias("n_body"),
+        "line",
+        "start",
+        "stop",
     )
 
 
