@@ -77,6 +77,8 @@ def levels(rows: DataFrame) -> DataFrame:
     open_before = F.col("_walk") - F.col("_d") - F.coalesce("_low", F.lit(0))
     valued = F.col("_v") | ((F.col("_c") | is_kind(k, "then", "elseif", "else")) & (open_before > 0))
     rows = rows.withColumn("_valued", valued)
+    # The words inside such a value go on with its statement.
+    rows = rows.withColumn("goes_on", F.col("_valued") & is_kind(k, "then", "elseif", "else"))
     rows = rows.withColumn("k", F.when(F.col("_valued"), code("run")).otherwise(k))
     rows = rows.withColumn("whole", F.col("whole") & ~F.col("_valued"))
     rows = rows.withColumn("opens", (is_kind(k, *OPENERS) | F.col("whole")).cast("int"))

@@ -89,7 +89,7 @@ def statements(units: DataFrame) -> DataFrame:
     boundary = (
         F.col("prev_k").isNull() | F.col("prev_nl") | (F.col("prev_opens") == 1) | is_kind(F.col("prev_k"), "else", ";")
     )
-    never = K("else", "end", "until", "then", "do", ";", *BRACKETS_CLOSE) | (F.length("raw") == F.col("trail"))
+    never = K("else", "end", "until", "then", "do", ";", *BRACKETS_CLOSE) | F.col("goes_on") | (F.length("raw") == F.col("trail"))
     is_start = K("elseif", "repeat") | (~in_head & (F.col("br_before") == F.col("base")) & boundary & ~never)
     rows = rows.withColumn("in_head", in_head).withColumn("is_start", F.coalesce(is_start, F.lit(False)))
     rows = rows.select(
@@ -179,7 +179,7 @@ def _places(rows: DataFrame) -> DataFrame:
     top = named & (ev != 0) & (F.col("nested") == F.when(ev == 1, 1).otherwise(0))
     in_fn = F.col("nested") > 0
     cont = (ev != 0) & in_fn & (_role("block") | (_role("fn") & F.col("deco") & ~top))
-    drops = _role("drop") | (_role("fn") & ~F.col("deco") & ~top)
+    drops = in_fn & (_role("drop") | (_role("fn") & ~F.col("deco") & ~top))
     rows = rows.select("*", top.alias("top"), cont.alias("cont"), drops.alias("drops"))
     top_open = F.col("top") & (ev == 1)
     rows = rows.select(

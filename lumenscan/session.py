@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Work folders of local sessions that name none, by application.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def build_session(app: str = "lumenscan", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the engine is tuned for; ``conf`` overrides them.
 
@@ -38,9 +42,10 @@ def work_dir(spark: SparkSession) -> str:
         return shared
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="lumenscan-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="lumenscan-")
+    return _LOCAL_DIRS[app]
 
 
 def write_stage(df: DataFrame, name: str) -> DataFrame:
