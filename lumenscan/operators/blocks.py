@@ -5,6 +5,8 @@ Both lexers feed the same functions.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,28 +42,36 @@ def on_level() -> Ordered:
     return ordered(["unit_id", "xl"], ["n"])
 
 
-def levels(rows: DataFrame) -> DataFrame:
-    """Depths of rows with unit_id, n, text and ``nl`` (a line break follows).
-
-    Adds ``k``; ``opens`` and ``closes`` a block (0 or 1); ``lev`` and ``br``, block and
-    bracket depth after the row; ``xl``, the level the row is seen from (openers and
-    closers count to the block around them); and ``prev_k``, ``prev_opens``, ``prev_nl``.
-    """
-    k, file, text = F.col("k"), in_file(), F.col("text")
+def kinds(rows: DataFrame) -> DataFrame:
+    """Add ``k`` and what else the text of a row alone says about blocks."""
+    k, text = F.col("k"), F.col("text")
     rows = rows.withColumn("_word", F.regexp_extract(text, rf"^(?:[a-z]+{_END}|[;()\[\]{{}}]$)", 0))
     kind = F.lit(code("run"))
     for name in KINDS[1:]:
         kind = F.when(F.col("_word") == name, code(name)).otherwise(kind)
-    rows = rows.withColumn("k", kind).drop("_word")
     # A header in one lexeme both starts its statement and opens its block.
     whole = is_kind(k, "if", "elseif", "while", "for") & text.rlike("(?:then|do)$")
-    rows = rows.withColumn("whole", whole).withColumn("_leads", text.rlike(lx.EXPRESSION_LEAD)).select(
+    rows = rows.withColumn("k", kind).drop("_word")
+    return rows.withColumn("whole", whole).withColumn("_leads", text.rlike(lx.EXPRESSION_LEAD))
+
+
+def levels(rows: DataFrame, also: Sequence[Column] = ()) -> DataFrame:
+    """Depths of rows with unit_id, n, the columns of ``kinds``, and ``nl`` (a line break follows).
+
+    Adds ``opens`` and ``closes`` a block (0 or 1); ``lev`` and ``br``, block and bracket
+    depth after the row; ``xl``, the level the row is seen from (openers and closers count
+    to the block around them); and ``prev_k``, ``prev_opens``, ``prev_nl``.  ``also`` are
+    further expressions over the file for the first pass.
+    """
+    k, file = F.col("k"), in_file()
+    rows = rows.select(
         "*",
         F.lag("_leads", 1, False).over(file.all).alias("_led"),
         F.lag("k").over(file.all).alias("_k"),
         F.lead("k").over(file.all).alias("_next"),
         F.lag("nl").over(file.all).alias("prev_nl"),
         F.sum(bracket_step(k)).over(file.to).cast("int").alias("br"),
+        *also,
     )
 
     # `if a then b else c` as a value has no `end`.  Such an `if` follows an operator, and
@@ -100,7 +110,7 @@ def bracket_step(k: Column) -> Column:
 def numbered(tokens: DataFrame) -> DataFrame:
     """Public tokens as rows for ``levels``."""
     tokens = tokens.withColumn("n", F.col("tok_no"))
-    return tokens.withColumn("nl", F.coalesce(F.lead("line").over(in_file().all) > F.col("line"), F.lit(True)))
+    return kinds(tokens.withColumn("nl", F.coalesce(F.lead("line").over(in_file().all) > F.col("line"), F.lit(True))))
 
 
 def block_depth(tokens: DataFrame) -> DataFrame:
@@ -110,27 +120,40 @@ def block_depth(tokens: DataFrame) -> DataFrame:
     )
 
 
-def bracket_level(rows: DataFrame) -> DataFrame:
-    """Bracket rows only, with ``xl`` the bracket level around the pair."""
+def partners(rows: DataFrame, keep: Column | None = None) -> DataFrame:
+    """Block words and brackets, each beside its neighbours on its own level.
+
+    Adds ``pairs`` (``block`` or ``bracket``), the level ``around``, whether the row opens,
+    and for both neighbours on that level whether they open, with the next one's text and
+    token number.  An opener is closed if the row after it closes, and the reverse.
+    Rows that satisfy ``keep`` stay as well, under ``other``.
+    """
+    keep = F.lit(False) if keep is None else keep
     k = F.col("k")
-    around = F.when(is_kind(k, *BRACKETS_OPEN), F.col("br") - 1).otherwise(F.col("br"))
-    return rows.filter(is_kind(k, *BRACKETS_OPEN, *BRACKETS_CLOSE)).withColumn("xl", around)
+    block, opens = is_kind(k, *OPENERS, *CLOSERS), is_kind(k, *OPENERS, *BRACKETS_OPEN)
+    bracket = is_kind(k, *BRACKETS_OPEN, *BRACKETS_CLOSE)
+    pairs = F.when(block, "block").when(bracket, "bracket").otherwise("other")
+    rows = rows.filter(block | bracket | keep).select("*", pairs.alias("pairs"), opens.alias("is_open"))
+    inner = F.when(F.col("is_open"), F.col("br") - 1).otherwise(F.col("br"))
+    rows = rows.withColumn("around", F.when(F.col("pairs") == "block", F.col("xl")).otherwise(inner))
+    level = ordered(["unit_id", "pairs", "around"], ["n"]).all
+    return rows.select(
+        "*",
+        F.lag("is_open").over(level).alias("open_before"),
+        F.lead("is_open").over(level).alias("open_after"),
+        F.lead("text").over(level).alias("text_after"),
+        F.lead("tok_no").over(level).alias("tok_after"),
+    )
 
 
 def block_pairs(tokens: DataFrame) -> DataFrame:
     """Opener and matching closer of blocks and brackets, with the level around them."""
-    rows = levels(numbered(tokens))
-
-    def pairs(frame: DataFrame, openers: tuple, closers: tuple) -> DataFrame:
-        frame = frame.withColumn("c", F.lead(F.struct("k", "text", "tok_no")).over(on_level().all))
-        return frame.filter(is_kind(F.col("k"), *openers) & is_kind(F.col("c.k"), *closers)).select(
-            "unit_id",
-            F.col("text").alias("opener"),
-            F.col("c.text").alias("closer"),
-            F.col("tok_no").alias("open_tok"),
-            F.col("c.tok_no").alias("close_tok"),
-            F.col("xl").alias("level"),
-        )
-
-    blocks = pairs(rows, OPENERS, CLOSERS)
-    return blocks.unionByName(pairs(bracket_level(rows), BRACKETS_OPEN, BRACKETS_CLOSE))
+    rows = partners(levels(numbered(tokens)))
+    return rows.filter("is_open and not open_after").select(
+        "unit_id",
+        F.col("text").alias("opener"),
+        F.col("text_after").alias("closer"),
+        F.col("tok_no").alias("open_tok"),
+        F.col("tok_after").alias("close_tok"),
+        F.col("around").alias("level"),
+    )

@@ -30,26 +30,26 @@ def with_siblings(steps: DataFrame) -> DataFrame:
 
     A step is dead when a terminator stands before it in its own sequence.
     """
-    same = lambda other: F.col(f"{other}.parent_no").eqNullSafe(F.col("parent_no")) & (
-        F.col(f"{other}.branch") == F.col("branch")
-    )
-    run = ordered(FUNCTION, ["parent_no", "branch", "ordinal"])
+    # The sequence a step stands in, as one number; a parent's parts follow each other.
+    part = F.when(F.col("branch") == "then", 0).when(F.col("branch") == "else", 1).otherwise(2)
+    rows = steps.withColumn("_seq", (F.coalesce("parent_no", F.lit(-1)).cast("bigint") + 1) * 3 + part)
+    run = ordered(FUNCTION, ["_seq", "ordinal"])
     ends = (F.col("kind") == "action") & is_terminator(F.col("label"))
-    here = F.struct("parent_no", "branch", "kind", "label", "condition")
-    rows = steps.select(
+    rows = rows.select(
         "*",
-        F.lag(here).over(run.all).alias("_prev"),
-        latest(F.struct("parent_no", "branch"), ends, run.before).alias("_end"),
+        F.lag("_seq").over(run.all).alias("_prev_seq"),
+        *[F.lag(c).over(run.all).alias(f"_prev_{c}") for c in ("kind", "label", "condition")],
+        latest(F.col("_seq"), ends, run.before).alias("_end_seq"),
     )
-    known = same("_prev")
-    rows = rows.withColumn("dead", F.coalesce(same("_end"), F.lit(False)))
-    was_dead = F.coalesce(F.lag("dead").over(run.all) & known, F.lit(False))
+    sibling = F.coalesce(F.col("_prev_seq") == F.col("_seq"), F.lit(False))
+    rows = rows.withColumn("dead", F.coalesce(F.col("_end_seq") == F.col("_seq"), F.lit(False)))
+    was_dead = F.coalesce(F.lag("dead").over(run.all), F.lit(False)) & sibling
     rows = rows.select(
         "*",
         (F.col("dead") & ~was_dead).alias("first_dead"),
-        *[F.when(known, F.col(f"_prev.{c}")).alias(f"prev_{c}") for c in ("kind", "label", "condition")],
+        *[F.when(sibling, F.col(f"_prev_{c}")).alias(f"prev_{c}") for c in ("kind", "label", "condition")],
     )
-    return rows.drop("_prev", "_end")
+    return rows.drop("_seq", "_prev_seq", "_end_seq", "_prev_kind", "_prev_label", "_prev_condition")
 
 
 def with_context(steps: DataFrame) -> DataFrame:

@@ -2,49 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenscan.operators.blocks import (
-    BRACKETS_CLOSE,
-    BRACKETS_OPEN,
-    CLOSERS,
-    OPENERS,
-    bracket_level,
-    is_kind,
-    levels,
-    numbered,
-    on_level,
-)
-
-_CLOSED_STRING = r"^(?:\"[^\"\\]*(?:\\[\s\S][^\"\\]*)*\"|'[^'\\]*(?:\\[\s\S][^'\\]*)*'|`[^`\\]*(?:\\[\s\S][^`\\]*)*`)$"
-
-
-def _unmatched(rows: DataFrame, openers: tuple, closers: tuple, opened: str, closed: str) -> DataFrame:
-    """Openers not followed by a closer on their level, and closers not behind an opener."""
-    k, level = F.col("k"), on_level().all
-    rows = rows.select("*", F.lead("k").over(level).alias("after"), F.lag("k").over(level).alias("before"))
-    no = F.lit(False)
-    open_ = is_kind(k, *openers) & ~F.coalesce(is_kind(F.col("after"), *closers), no)
-    close = is_kind(k, *closers) & ~F.coalesce(is_kind(F.col("before"), *openers), no)
-    return rows.filter(open_ | close).withColumn("what", F.when(open_, opened).otherwise(closed))
-
+from lumenscan.operators.blocks import levels, numbered, partners
 
-def _problem(what: Column) -> list:
-    message = F.concat(what, F.lit(" '"), "text", F.lit("'"))
-    return ["unit_id", F.lit("error").alias("severity"), message.alias("message"), "line", "col"]
+_CLOSED_STRING = (
+    r"^(?:\"[^\"\\]*(?:\\[\s\S][^\"\\]*)*\"|'[^'\\]*(?:\\[\s\S][^'\\]*)*'|`[^`\\]*(?:\\[\s\S][^`\\]*)*`)$"
+)
 
 
 def diagnostics(tokens: DataFrame) -> DataFrame:
     """Unclosed blocks, unexpected closers, unbalanced brackets, unterminated strings."""
-    rows = levels(numbered(tokens))
-    blocks = _unmatched(rows, OPENERS, CLOSERS, "unclosed block", "unexpected")
-    brackets = _unmatched(
-        bracket_level(rows), BRACKETS_OPEN, BRACKETS_CLOSE, "unclosed bracket", "unexpected bracket"
-    )
-    quotes = tokens.filter(F.col("text").rlike("^[\"'`]") & ~F.col("text").rlike(_CLOSED_STRING))
-    return (
-        blocks.select(*_problem(F.col("what")))
-        .unionByName(brackets.select(*_problem(F.col("what"))))
-        .unionByName(quotes.select(*_problem(F.lit("unterminated string"))))
+    text = F.col("text")
+    unterminated = text.rlike("^[\"'`]") & ~text.rlike(_CLOSED_STRING)
+    rows = partners(levels(numbered(tokens)), keep=unterminated)
+    bracket = F.when(F.col("pairs") == "bracket", " bracket").otherwise("")
+    what = (
+        F.when(F.col("pairs") == "other", "unterminated string")
+        .when(F.col("is_open") & F.coalesce("open_after", F.lit(True)), F.concat(F.lit("unclosed "), "pairs"))
+        .when(~F.col("is_open") & ~F.coalesce("open_before", F.lit(False)), F.concat(F.lit("unexpected"), bracket))
     )
+    message = F.concat(what, F.lit(" '"), "text", F.lit("'"))
+    found = rows.select("unit_id", F.lit("error").alias("severity"), message.alias("message"), "line", "col")
+    return found.filter("message is not null")

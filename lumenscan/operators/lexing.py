@@ -27,8 +27,8 @@ def by_unit(units: DataFrame) -> DataFrame:
     return units.select("unit_id", "content").repartition(n, "unit_id")
 
 
-def lexemes(units: DataFrame, pattern: str) -> DataFrame:
-    """One row per match: unit_id, n, raw (with trailing trivia), text, line, start."""
+def cut(units: DataFrame, pattern: str) -> DataFrame:
+    """One row per match, in place: unit_id, n, raw (with trailing trivia), text."""
     content = F.col("content")
     pairs = F.arrays_zip(
         F.regexp_extract_all(content, F.lit(pattern), F.lit(0)).alias("raw"),
@@ -36,17 +36,29 @@ def lexemes(units: DataFrame, pattern: str) -> DataFrame:
     )
     rows = by_unit(units).select("unit_id", F.posexplode(pairs).alias("n", "p"))
     rows = rows.select("unit_id", "n", "p.raw", "p.text")
+    return rows.withColumn("nl", F.contains("raw", F.lit("\n")))
+
+
+def positions() -> list[Column]:
+    """Line (from 1) and offset (from 0) of a lexeme, from the lexemes before it."""
     before, zero = in_file().before, F.lit(0)
-    breaks = F.length("raw") - F.length(F.replace("raw", F.lit("\n"), F.lit("")))
-    rows = rows.select(
-        "*",
+    breaks = F.when(F.col("nl"), F.length("raw") - F.length(F.replace("raw", F.lit("\n"), F.lit("")))).otherwise(0)
+    return [
         (F.coalesce(F.sum(breaks).over(before), zero) + 1).cast("int").alias("line"),
         F.coalesce(F.sum(F.length("raw")).over(before), zero).cast("int").alias("start"),
-    )
-    # Offset of the line a row leaves behind it.  Plans that want no columns drop this pass.
+    ]
+
+
+def with_column(rows: DataFrame) -> DataFrame:
+    """Add ``col``, the offset in the line.  Plans that do not use it drop this pass."""
     last_line = F.col("start") + F.length("raw") - F.length(F.substring_index("raw", "\n", -1))
-    line_start = F.max(F.when(F.contains("raw", F.lit("\n")), last_line)).over(before)
-    return rows.withColumn("col", F.col("start") - F.coalesce(line_start, zero))
+    line_start = F.max(F.when(F.col("nl"), last_line)).over(in_file().before)
+    return rows.withColumn("col", F.col("start") - F.coalesce(line_start, F.lit(0)))
+
+
+def lexemes(units: DataFrame, pattern: str) -> DataFrame:
+    """Matches with line, offset and column."""
+    return with_column(cut(units, pattern).select("*", *positions()))
 
 
 def tokens(units: DataFrame) -> DataFrame:

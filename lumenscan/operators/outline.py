@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from lumenscan.functions import lexicon as lx
 from lumenscan.functions.labels import compact, function_container
 from lumenscan.functions.windows import latest, ordered
-from lumenscan.operators.blocks import BRACKETS_CLOSE, bracket_step, code, is_kind, levels, on_level
-from lumenscan.operators.lexing import in_file, lexemes
+from lumenscan.operators.blocks import BRACKETS_CLOSE, bracket_step, code, is_kind, kinds, levels, on_level
+from lumenscan.operators.lexing import cut, in_file, positions, with_column
 
 MIN_CLOSURE_CHARS = 60
 _NAMED = rf"^function\s+({lx.DOTTED})\s*\("
@@ -37,15 +37,15 @@ K = lambda *names: is_kind(F.col("k"), *names)
 
 def scan(units: DataFrame) -> DataFrame:
     """Scan lexemes with their depths; ``raw`` less ``trail`` characters is the text."""
-    rows = lexemes(units, lx.SCAN_LEX)
-    text = F.col("text")
-    rows = rows.select(
+    text, file = F.col("text"), in_file().all
+    rows = kinds(cut(units, lx.SCAN_LEX)).select(
         "*",
-        F.contains("raw", F.lit("\n")).alias("nl"),
         (F.length("raw") - F.length("text")).alias("trail"),
         F.when(text == "local", 2).when(text.rlike(_LOCAL), 1).otherwise(0).alias("local"),
     )
-    return levels(rows).drop("text")
+    prev = [F.lag(c, 1, 0).over(file).alias(f"prev_{c}") for c in ("trail", "local")]
+    rows = with_column(levels(rows.drop("text"), [*positions(), *prev]))
+    return rows.withColumn("prev_end", F.col("start") - F.col("prev_trail"))
 
 
 def lexeme_text() -> Column:
@@ -65,13 +65,8 @@ def _own_kind(*names: str) -> Column:
 def statements(units: DataFrame) -> DataFrame:
     """Scan lexemes with ``is_start`` and, for block openers, owner and closer."""
     level, file = on_level(), in_file().all
-    rows = scan(units).withColumn("br_before", F.col("br") - bracket_step(F.col("k"))).select(
-        "*",
-        (F.col("start") - F.coalesce(F.lag("trail").over(file), F.lit(0))).alias("prev_end"),
-        F.lag("local", 1, 0).over(file).alias("prev_local"),
-        F.lag("line").over(file).alias("prev_line"),
-        F.lag("col").over(file).alias("prev_col"),
-    )
+    rows = scan(units).withColumn("br_before", F.col("br") - bracket_step(F.col("k")))
+    rows = rows.select("*", *[F.lag(c).over(file).alias(f"prev_{c}") for c in ("line", "col")])
     first_in_block = (F.col("prev_opens") == 1) & (F.col("closes") == 0)
     heads = K("if", "elseif", "while", "for") & ~F.col("whole")
     rows = rows.select(

@@ -1,8 +1,8 @@
 """The thirty rules.
 
 A rule is data: a number, a name, a severity and one or more *arms*, each a predicate
-over one step with its context and the message it yields.  All row rules run as one
-projection that lists the arms a step satisfies; messages are built for hits only.
+over one step with its context and the message it yields.  All row rules run in one pass
+over the steps, which lists the arms a step satisfies.
 """
 
 from __future__ import annotations
@@ -101,10 +101,8 @@ def row_arms(max_nesting_depth: int = 4) -> list[Arm]:
     kind, label, condition = F.col("kind"), F.col("label"), F.col("condition")
     action, closure, is_if = kind == "action", kind == "closure", kind == "if"
     in_loop, is_loop = F.col("in_loop"), kind.isin(*cx.LOOPS)
-    trimmed = strip(label)
+    trimmed, cond, low = F.col("trimmed"), F.col("cond"), F.lower(F.col("cond"))
     l60 = F.substring(trimmed, 1, 60)
-    cond = strip(condition)
-    low = F.lower(cond)
     acts = action | closure
     arms: list[Arm] = []
 
@@ -326,30 +324,30 @@ def function_arms(max_function_steps: int = 50) -> list[Arm]:
 
 
 def _hits(rows: DataFrame, arms: list[Arm], step_no: Column) -> DataFrame:
-    """One finding per satisfied arm: arm numbers first, messages for those only."""
-    numbers = []
-    for i, a in enumerate(arms):
-        once = F.array(F.lit(i)) if a.times is None else F.array_repeat(F.lit(i), a.times)
-        numbers.append(F.when(a.when, once).otherwise(F.array().cast("array<int>")))
-    found = rows.withColumn("arm", F.explode(F.flatten(F.array(*numbers))))
-    which = {name: (no, severity) for no, name, severity in RULES}
-
-    def by_arm(values: list[Column]) -> Column:
-        out = F.lit(None)
-        for i, value in reversed(list(enumerate(values))):
-            out = F.when(F.col("arm") == i, value).otherwise(out)
-        return out
+    """One finding per satisfied arm.
 
-    return found.select(
-        "unit_id",
-        "fn_no",
-        "fn_name",
-        by_arm([F.lit(which[a.rule][0]) for a in arms]).alias("rule_no"),
-        by_arm([F.lit(a.rule) for a in arms]).alias("rule"),
-        by_arm([F.lit(which[a.rule][1]) for a in arms]).alias("severity"),
-        by_arm([a.message for a in arms]).alias("message"),
-        step_no.cast("int").alias("step_no"),
-        "line",
+    The arms form one array that a lambda filters.  Spark evaluates it expression by
+    expression; as one generated method, dozens of patterns and messages would be too
+    large for the JIT compiler.  Messages are built for satisfied arms only.
+    """
+    which = {name: (no, severity) for no, name, severity in RULES}
+    hits = []
+    for a in arms:
+        no, severity = which[a.rule]
+        hit = F.struct(
+            F.lit(no).alias("rule_no"),
+            F.lit(a.rule).alias("rule"),
+            F.lit(severity).alias("severity"),
+            a.message.alias("message"),
+            (F.lit(1) if a.times is None else a.times).alias("times"),
+        )
+        hits.append(F.when(a.when, hit))
+    found = rows.select(
+        "unit_id", "fn_no", "fn_name", step_no.cast("int").alias("step_no"), "line",
+        F.inline(F.filter(F.array(*hits), lambda hit: hit.isNotNull())),
+    )
+    return found.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select(
+        "unit_id", "fn_no", "fn_name", "rule_no", "rule", "severity", "message", "step_no", "line"
     )
 
 
@@ -391,6 +389,7 @@ def findings(
     arms = [a for a in row_arms(max_nesting_depth) if a.rule in wanted]
     if arms:
         rows = cx.with_context(cx.with_siblings(steps))
+        rows = rows.withColumn("trimmed", strip(F.col("label"))).withColumn("cond", strip(F.col("condition")))
         parts.append(_hits(rows, arms, F.col("step_no")))
     arms = [a for a in function_arms(max_function_steps) if a.rule in wanted]
     if arms:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenscan import LEXER_VERSION
@@ -29,37 +29,62 @@ def all_diagnostics(units: DataFrame) -> DataFrame:
     return diagnostics(tokens(units)).unionByName(bad)
 
 
-def parse_statistics(units: DataFrame) -> DataFrame:
-    """Token, element and diagnostic counts per file.
+def _per_unit(units: DataFrame, nested: bool) -> DataFrame:
+    """Units with the counts of their parts, and with the parts themselves if ``nested``.
 
-    Tokens are counted where the file is read; the other two counts come hash-partitioned
-    on ``unit_id``, ready for the joins.
+    Tokens are counted where the file is read; elements and diagnostics come hash-
+    partitioned on ``unit_id``, ready for the joins, and each is derived once.
     """
     matches = F.size(F.regexp_extract_all("content", F.lit(TOKEN_LEX), F.lit(0)))
     lead = F.col("content").rlike(r"^(?:\s|--)").cast("int")
     n_tokens = F.when(F.col("valid_utf8"), matches - lead).otherwise(0).cast("bigint")
-    count = F.count("*")
-    n_elements = elements(units).groupBy("unit_id").agg(count.alias("element_count"))
-    n_diagnostics = all_diagnostics(units).groupBy("unit_id").agg(count.alias("diagnostic_count"))
+    in_elements = [F.count("*").alias("element_count")]
+    in_diagnostics = [F.count("*").alias("diagnostic_count")]
+    if nested:
+        in_elements.append(_ordered("structural_elements", ["elem_no"], ELEMENT_FIELDS))
+        in_diagnostics.append(_ordered("diagnostics", ["line", "col"], DIAGNOSTIC_FIELDS))
     rows = units.select("unit_id", "location", "valid_utf8", n_tokens.alias("token_count"))
-    rows = rows.join(n_elements, "unit_id", "left").join(n_diagnostics, "unit_id", "left")
+    rows = rows.join(elements(units).groupBy("unit_id").agg(*in_elements), "unit_id", "left")
+    rows = rows.join(all_diagnostics(units).groupBy("unit_id").agg(*in_diagnostics), "unit_id", "left")
     return rows.fillna(0, ["element_count", "diagnostic_count"])
 
 
+ELEMENT_FIELDS = ("kind", "name", "line", "col", "container", "signature")
+DIAGNOSTIC_FIELDS = ("severity", "message", "line", "col")
+
+
+def _ordered(name: str, by: list[str], fields: tuple[str, ...]) -> Column:
+    """An array of structs of ``fields``, in the order of ``by``."""
+    rest = [f for f in fields if f not in by]
+    rows = F.array_sort(F.collect_list(F.struct(*by, *rest)))
+    return F.transform(rows, lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias(name)
+
+
+def parse_statistics(units: DataFrame) -> DataFrame:
+    """Token, element and diagnostic counts per file."""
+    return _per_unit(units, nested=False)
+
+
+def _status() -> Column:
+    with_diagnostics = F.when(F.col("diagnostic_count") > 0, WITH_DIAGNOSTICS)
+    return F.when(~F.col("valid_utf8"), FAILED).otherwise(with_diagnostics.otherwise(SUCCEEDED))
+
+
+def _failure() -> Column:
+    return F.when(~F.col("valid_utf8"), F.concat(F.lit("source file is not valid UTF-8 "), "location"))
+
+
 def outcomes(units: DataFrame) -> DataFrame:
     """One outcome per file; an unreadable file fails alone."""
-    bad = ~F.col("valid_utf8")
-    status = F.when(bad, FAILED).when(F.col("diagnostic_count") > 0, WITH_DIAGNOSTICS).otherwise(SUCCEEDED)
-    failure = F.when(bad, F.concat(F.lit("source file is not valid UTF-8 "), "location"))
     return parse_statistics(units).select(
         "unit_id",
         "location",
         F.lit(LEXER_VERSION).alias("lexer_version"),
-        status.alias("status"),
+        _status().alias("status"),
         "token_count",
         "element_count",
         "diagnostic_count",
-        failure.alias("failure_message"),
+        _failure().alias("failure_message"),
     )
 
 
@@ -101,29 +126,19 @@ def job_invariants(units: DataFrame, outcome_rows: DataFrame) -> DataFrame:
 
 def job_report(units: DataFrame) -> DataFrame:
     """Nested report per file; the order of files is set where it is written."""
-    nested_elements = F.transform(
-        F.array_sort(F.collect_list(F.struct("elem_no", "kind", "name", "line", "col", "container", "signature"))),
-        lambda e: F.struct(*[e[c].alias(c) for c in ("kind", "name", "line", "col", "container", "signature")]),
-    )
-    nested_diagnostics = F.transform(
-        F.array_sort(F.collect_list(F.struct("line", "col", "severity", "message"))),
-        lambda d: F.struct(*[d[c].alias(c) for c in ("severity", "message", "line", "col")]),
-    )
-    by_elements = elements(units).groupBy("unit_id").agg(nested_elements.alias("structural_elements"))
-    by_diagnostics = all_diagnostics(units).groupBy("unit_id").agg(nested_diagnostics.alias("diagnostics"))
-    rows = outcomes(units).join(by_elements, "unit_id", "left").join(by_diagnostics, "unit_id", "left")
-    empty = lambda c: F.coalesce(F.col(c), F.array().cast(dict(rows.dtypes)[c]))
+    rows = _per_unit(units, nested=True)
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast(dict(rows.dtypes)[c])).alias(c)
     return rows.select(
         F.lit(REPORT_VERSION).alias("schema_version"),
         F.col("location").alias("source_location"),
-        F.col("lexer_version").alias("grammar_version"),
-        "status",
-        empty("diagnostics").alias("diagnostics"),
-        empty("structural_elements").alias("structural_elements"),
+        F.lit(LEXER_VERSION).alias("grammar_version"),
+        _status().alias("status"),
+        empty("diagnostics"),
+        empty("structural_elements"),
         F.struct(
             "token_count",
             F.col("element_count").alias("structural_element_count"),
             "diagnostic_count",
         ).alias("statistics"),
-        "failure_message",
+        _failure().alias("failure_message"),
     )
