@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenscan.functions.labels import compact_label
 from lumenscan.operators import blocks, context, diagnostics, elements, lexing, rules, sequences
-from lumenscan.operators.outline import STEP_COLUMNS
+from lumenscan.operators.outline import STEP_COLUMNS, outline, steps_of
 from lumenscan.plans import outcomes, reports
 from lumenscan.plans.analysis import Analysis
 from lumenscan.session import work_dir
@@ -141,6 +141,13 @@ def _inside_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "pos", "tag", "n_blocks")
 
 
+def _typed(units: DataFrame) -> DataFrame:
+    """Steps of the corpus with a return type on every multi-line function."""
+    header = r"(function [A-Za-z0-9_.]+)\(x\)\n"
+    typed = F.regexp_replace("content", header, "$1(x: number): (number, string?)\n")
+    return steps_of(outline(units.withColumn("content", typed)))
+
+
 def _step_kinds(where: str) -> Query:
     return _pick("steps", *STEP_COLUMNS, where=where)
 
@@ -160,6 +167,7 @@ def queries() -> dict[str, Query]:
         "function_name": _pick("functions", "unit_id", "fn_no", "fn_name"),
         "function_container": _pick("functions", "unit_id", "fn_no", "container"),
         "function_signature": _pick("functions", "unit_id", "fn_no", "signature"),
+        "skip_return_type": _on("units", _typed),
         "statements": _on(steps, lambda s: s.select("unit_id", "fn_no", F.col("step_no").alias("stmt_no"), "line")),
         "compact_label": _on(steps, _compact),
         "steps": _pick(steps, *STEP_COLUMNS),
@@ -205,6 +213,11 @@ def queries() -> dict[str, Query]:
         "adjacent_duplicates_turns": lambda spark, d: sequences.adjacent_duplicates(
             _table(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"], "role"
         ),
+        "adjacent_duplicates_events": _events(
+            lambda e: sequences.adjacent_duplicates(
+                e.select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], "event_type"
+            ).drop("ts")
+        ),
         "after_terminator": _after(True),
         "after_terminator_all": _after(False),
         "nesting_depth": lambda spark, d: sequences.nesting_depth(_tags(spark, d), ["page_id"], ["pos"], F.col("delta")),
@@ -214,6 +227,14 @@ def queries() -> dict[str, Query]:
                 e, ["user_id"], F.col("event_type") == "signup", F.col("event_type") == "purchase"
             )
         ),
+        "group_missing_partner_daily": _events(
+            lambda e: sequences.group_missing_partner(
+                e.withColumn("day", F.date_format("ts", "yyyy-MM-dd")),
+                ["user_id", "day"],
+                F.col("event_type") == "signup",
+                F.col("event_type") == "purchase",
+            )
+        ),
         "bucketed_rule_summary": _events(
             lambda e: sequences.bucketed_rule_summary(
                 e, ["user_id"], "event_type", ["signup", "purchase", "error", "view", "click"]

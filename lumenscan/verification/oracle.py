@@ -418,6 +418,7 @@ def oracle() -> dict[str, str]:
         "function_container": _with(corpus, "SELECT unit_id, fn_no, container FROM fns"),
         "function_signature": _with(corpus, "SELECT unit_id, fn_no, signature FROM fns"),
         "steps": _with(corpus, f"SELECT {STEP_COLUMNS} FROM steps"),
+        "skip_return_type": _with(corpus, f"SELECT {STEP_COLUMNS} FROM steps"),
         "statements": _with(corpus, "SELECT unit_id, fn_no, step_no AS stmt_no, line FROM steps"),
         "compact_label": _with(corpus, "SELECT unit_id, fn_no, step_no, CASE WHEN length(coalesce(label, condition, header)) > 60 "
                                "THEN left(coalesce(label, condition, header), 59) || '...' ELSE coalesce(label, condition, header) END "
@@ -504,6 +505,9 @@ def _sequences() -> dict[str, str]:
             SELECT doc_id, line_no, line FROM prev WHERE p = line""",
         "adjacent_duplicates_turns": """WITH prev AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p
             FROM conversations) SELECT conv_id, turn, role FROM prev WHERE p = role""",
+        "adjacent_duplicates_events": """WITH prev AS (SELECT user_id, event_id, event_type, lag(event_type) OVER
+              (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
+            SELECT user_id, event_id, event_type FROM prev WHERE p = event_type""",
         "after_terminator": """WITH e AS (SELECT event_id, user_id, event_type, ts, coalesce(bool_or(event_type = 'error')
               OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS dead FROM events),
             f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM e WHERE dead)
@@ -522,6 +526,8 @@ def _sequences() -> dict[str, str]:
                ON b.page_id = t.page_id AND b.s < t.pos AND t.pos <= b.e GROUP BY ALL"""),
         "group_missing_partner": """SELECT user_id FROM events GROUP BY user_id
             HAVING bool_or(event_type = 'signup') AND NOT bool_or(event_type = 'purchase')""",
+        "group_missing_partner_daily": """SELECT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events GROUP BY ALL
+            HAVING bool_or(event_type = 'signup') AND NOT bool_or(event_type = 'purchase')""",
         "bucketed_rule_summary": "SELECT user_id, " + ", ".join(
             f'count(*) FILTER (event_type = \'{t}\') AS "{t}"' for t in ("signup", "purchase", "error", "view", "click")
         ) + " FROM events GROUP BY user_id",
