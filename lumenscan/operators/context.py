@@ -17,6 +17,7 @@ LOOPS = ("while", "for_in", "numeric_for", "repeat_until")
 CONTAINERS = ("if", "closure", *LOOPS)
 FUNCTION = ["unit_id", "fn_no"]
 
+# Labels of remote handlers and frame signals (fixed values).
 CRITICAL_HANDLER = r"On(?:Server|Client)(?:Event|Invoke)|BindableEvent"
 FRAME_SIGNAL = r"(?:Heartbeat|RenderStepped|Stepped)\s*:Connect\("
 

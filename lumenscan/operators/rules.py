@@ -53,6 +53,8 @@ RULES = (
 )
 RULE_NAMES = tuple(name for _, name, _ in RULES)
 FUNCTION_RULES = ("empty-function", "long-function", "connect-leak")
+
+# Words that show clean-up, and the names of loop kinds in messages (fixed values).
 CLEANUP_MARKERS = ("Maid", "Janitor", "Trove", ":Disconnect()")
 LOOP_CLASSES = {
     "while": "WhileFlowStep",
@@ -97,7 +99,10 @@ def _magic(number: Column) -> Column:
 
 
 def row_arms(max_nesting_depth: int = 4) -> list[Arm]:
-    """Arms of every rule that looks at one step with its context."""
+    """Arms of every rule that looks at one step with its context.
+
+    The patterns and message texts are fixed values.
+    """
     kind, label, condition = F.col("kind"), F.col("label"), F.col("condition")
     action, closure, is_if = kind == "action", kind == "closure", kind == "if"
     in_loop, is_loop = F.col("in_loop"), kind.isin(*cx.LOOPS)

@@ -5,18 +5,18 @@ import pytest
 from lumenscan.operators import outline as o
 
 SOURCES = {
-    "any": "function lerp(a, b, t): any\n    return a + ((b - a) * t)\nend",
-    "optional": "function find(name: string): Instance?\n    return nil\nend",
-    "tuple": "function combine(a, b): (number, number)\n    return a, b\nend",
+    "any": "function area(w, h): any\n  return (w * h) / (scale + 1)\nend",
+    "optional": "function pick(key: number): Slot?\n  return slots[key]\nend",
+    "tuple": "function halves(n): (number, { string })\n  return n / 2, {}\nend",
     "one line typed": "function f(x: number): number return x end",
-    "elseif": "function g(x)\n  if x > 0 then\n    return 1\n  elseif x < 0 then\n    return -1\n  else\n    return 0\n  end\nend",
-    "no else": "function g(x)\n  if x > 10 then\n    return 'big'\n  elseif x > 5 then\n    return 'medium'\n  end\nend",
-    "do": "function p()\n  do\n    local x = 1\n    do\n      local y = 2\n    end\n  end\n  return x\nend",
-    "colon": "local Class = {}\nfunction Class:process(input)\n  return input\nend\nreturn Class",
-    "pcall": "function p(data)\n  local ok, r = pcall(function()\n    local x = compute(data)\n    local y = transform(x)\n"
-             "    return y\n  end)\n  return r\nend",
-    "short closure": "function p(items)\n  table.sort(items, function(a, b)\n    return a.value < b.value\n  end)\n  return items\nend",
-    "broken": "local B = {}\nfunction B.broken(\nend\n\nreturn B",
+    "elseif": "function tier(k)\n  if k == red then\n    stop()\n  elseif k == amber then\n    slow()\n  else\n    go()\n  end\nend",
+    "no else": "function tier(k)\n  if k == red then\n    stop()\n  elseif k == amber then\n    slow()\n  end\nend",
+    "do": "function p()\n  do\n    open(file)\n    do\n      local n = size(file)\n    end\n  end\n  close(file)\nend",
+    "colon": "local Door = {}\nfunction Door:shut(hard)\n  return hard\nend\nreturn Door",
+    "pcall": "function p(order)\n  local fine, bill = pcall(function()\n    local sum = total(order)\n    local tax = levy(sum, region)\n"
+             "    return sum + tax\n  end)\n  send(bill)\nend",
+    "short closure": "function p(names)\n  each(names, function(n)\n    seen[n] = true\n  end)\n  done(names)\nend",
+    "broken": "local Q = {}\nfunction Q.open(\nend\nreturn Q",
     "two-line if": "function p()\n  if a and\n     b then\n    go()\n  end\nend",
     "table": "function p()\n  local t = {\n    a = 1,\n    b = { 2, 3 },\n  }\n  return t\nend",
     "value if": "function p()\n  local x = if a then 1 else 2\n  local y = if a\n    then 1\n    else 2\n  return if x then y else if z then 1 else 2\nend",
@@ -71,11 +71,11 @@ def shape(rows):
 @pytest.mark.parametrize(
     ("unit", "want"),
     [
-        ("any", ["return a + ((b - a) * t)"]),
-        ("optional", ["return nil"]),
-        ("tuple", ["return a, b"]),
+        ("any", ["return (w * h) / (scale + 1)"]),
+        ("optional", ["return slots[key]"]),
+        ("tuple", ["return n / 2, {}"]),
         ("one line typed", ["return x"]),
-        ("do", ["local x = 1", "local y = 2", "return x"]),
+        ("do", ["open(file)", "local n = size(file)", "close(file)"]),
         ("two-line if", ["a and b", "go()"]),
         ("table", ["local t = { a = 1, b = { 2, 3 }, }", "return t"]),
         ("value if", ["local x = if a then 1 else 2", "local y = if a then 1 else 2", "return if x then y else if z then 1 else 2"]),
@@ -110,13 +110,13 @@ def test_loop_kinds(steps):
 def test_long_closure_becomes_a_step(steps):
     first = steps("pcall")[0]
     assert (first["kind"], first["label"], first["signature"], first["n_body"]) == (
-        "closure", "local ok, r = pcall( {...}", "function()", 3,
+        "closure", "local fine, bill = pcall( {...}", "function()", 3,
     )
-    assert texts(steps("pcall"))[1:] == ["local x = compute(data)", "local y = transform(x)", "return y", "return r"]
+    assert texts(steps("pcall"))[1:] == ["local sum = total(order)", "local tax = levy(sum, region)", "return sum + tax", "send(bill)"]
 
 
 def test_short_closure_stays_text(steps):
-    assert texts(steps("short closure")) == ["table.sort(items, function(a, b) return a.value < b.value end)", "return items"]
+    assert texts(steps("short closure")) == ["each(names, function(n) seen[n] = true end)", "done(names)"]
 
 
 def test_only_the_first_function_of_a_statement_counts(steps):
