@@ -18,6 +18,13 @@ from lumenscan.sources.corpus import script_corpus
 from lumenscan.sources.files import decode_source, read_steps, write_report
 from lumenscan.verification.oracle import oracle
 
+try:
+    from lumenscan.llm import queries as llm
+except ModuleNotFoundError as error:
+    if error.name not in ("lumenscan.llm", "corpus_pipeline"):
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 _ANALYSES: dict[tuple[str, str], Analysis] = {}
 
@@ -243,8 +250,8 @@ def queries() -> dict[str, Query]:
     }
     for name in rules.RULE_NAMES:
         out[f"findings_{name}"] = _on(both, partial(rules.findings, rules=(name,)))
-    return out
+    return out | (llm.QUERIES if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle()
+    return oracle() | (llm.SQL if llm else {})
