@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenscan.llm.components import components
@@ -67,8 +67,8 @@ def _bounds(segments: int) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:]))
 
 
-def variants(prints: DataFrame, segments: int) -> DataFrame:
-    """fp, wild (segment bit left out), rest (the segment without it): one row for each bit of each segment.
+def variants(prints: DataFrame, segments: int, *others: str) -> DataFrame:
+    """``others``, fp, wild (segment bit left out), rest (the segment without it): one row for each bit of each segment.
 
     Two fingerprints with a segment that differs in one bit at most share the row of that bit.
     """
@@ -79,7 +79,7 @@ def variants(prints: DataFrame, segments: int) -> DataFrame:
             kept = mask & ~(1 << bit)
             kept = kept - (1 << 64) if kept >= 1 << 63 else kept
             out.append(F.struct(F.lit(bit).alias("wild"), F.col("fp").bitwiseAND(F.lit(kept)).alias("rest")))
-    return prints.select("fp", F.explode(F.array(*out)).alias("v")).select("fp", "v.wild", "v.rest")
+    return prints.select(*others, "fp", F.explode(F.array(*out)).alias("v")).select(*others, "fp", "v.wild", "v.rest")
 
 
 def _by_masks(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,13 +222,18 @@ def hex_fingerprint() -> F.Column:
     return F.lower(F.lpad(F.hex("fp"), 16, "0"))
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, words_each: int, distance: int) -> DataFrame:
-    """The rows of ``docs`` with one of each group of near-duplicates: the one with the smallest doc_id.
+def keep_one(docs: DataFrame, words_each: int = 3, distance: int = 2) -> DataFrame:
+    """The rows of ``docs`` with one of each group of ``simhash_groups``, all columns as they are."""
+    return keep_first(docs, simhash_groups(docs, words_each, distance))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of each group of ``found`` (doc_id, text_hash, component_id): that of the smallest doc_id.
 
     All columns are kept. Of rows that share that doc_id the one with the smallest text hash
     stays, and one of rows that are alike in both.
     """
-    groups = write_stage(simhash_groups(docs, words_each, distance), "groups")
+    groups = write_stage(found.select("doc_id", "text_hash", "component_id"), "groups")
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
     first = first.select(
         F.col("first.no_id").alias("lumen_no_id"),
