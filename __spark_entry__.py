@@ -66,7 +66,9 @@ def _pick(stage: str, *columns, where: str | None = None) -> Query:
 
 def _compact(steps: DataFrame) -> DataFrame:
     text = F.coalesce("label", "condition", "header")
-    return steps.select("unit_id", "fn_no", "step_no", compact_label(text, 60).alias("shown"))
+    return steps.select(
+        "unit_id", "fn_no", "step_no", compact_label(text, 60).alias("shown"), compact_label(text, 96).alias("shown_96")
+    )
 
 
 def _file_report(units: DataFrame, findings: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def _written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = analysis(spark, sf_dir)
     report = reports.report_json(reports.file_report(a.units, a.findings))
     path = f"{work_dir(spark).rstrip('/')}/report-{spark.sparkContext.applicationId}-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
-    write_report(report, path, mode="overwrite")
+    write_report(report, path, mode="overwrite", order_by=["source_location"])
     back = spark.read.schema(report.schema).json(path)
     return back.select("source_location", "smell_count", "summary.*")
 
@@ -127,7 +129,7 @@ def _events(fn: Callable[[DataFrame], DataFrame]) -> Query:
 def _after(first_only: bool) -> Query:
     ends = lambda: F.col("event_type") == "error"
     return _events(
-        lambda e: sequences.after_terminator(e, ["user_id"], ["ts", "event_id"], ends(), first_only).select(
+        lambda e: sequences.after_terminator(e, ["user_id"], ["ts", "event_id"], ends(), first_only, F.to_date("ts")).select(
             "event_id", "user_id", "event_type"
         )
     )
@@ -140,11 +142,8 @@ def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _inside_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of each page with the number of articles around them."""
     tags = _tags(spark, sf_dir)
-    from pyspark.sql import Window as W
-
-    window = W.partitionBy("page_id").orderBy("pos")
-    marks = tags.filter("tag = 'article'").withColumn("end", F.lead("pos").over(window)).filter("delta = 1")
-    found = sequences.inside_block(tags, marks.select("page_id", F.col("pos").alias("start"), "end"), ["page_id"])
+    marks = sequences.level_pairs(tags.filter("tag = 'article'"), ["page_id"], "pos", "delta")
+    found = sequences.inside_block(tags, marks, ["page_id"])
     return found.select("page_id", "pos", "tag", "n_blocks")
 
 
@@ -159,6 +158,24 @@ def _step_kinds(where: str) -> Query:
     return _pick("steps", *STEP_COLUMNS, where=where)
 
 
+def _around_do_blocks(steps: DataFrame) -> DataFrame:
+    """Every step of the functions that hold a ``do`` block."""
+    holders = steps.filter("label = 'use(q)'").select("unit_id", "fn_no").distinct()
+    return steps.join(holders, ["unit_id", "fn_no"], "left_semi").select(*STEP_COLUMNS)
+
+
+def _lexed(name: str, key: str, text: str) -> Query:
+    """What the lossless lexer makes of foreign text: the lexemes must give the text again."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        units = _table(spark, sf_dir, name).select(F.col(key).cast("string").alias("unit_id"), F.col(text).alias("content"))
+        return lexing.lossless(units).select(
+            "unit_id", "same", "n_chars", F.sha2("joined", 256).alias("sha2"), F.col("n_lexemes") > 0
+        ).toDF("unit_id", "same", "n_chars", "sha2", "has_lexemes")
+
+    return run
+
+
 def queries() -> dict[str, Query]:
     steps, both = "steps", "steps,functions"
     out: dict[str, Query] = {
@@ -167,6 +184,8 @@ def queries() -> dict[str, Query]:
         "read_steps": _on(steps, lambda s: read_steps(s.drop("sub_end")).select("unit_id", "fn_no", "step_no", "sub_end")),
         "write_report": _written_report,
         "tokens": _on("units", lexing.tokens),
+        "lossless_documents": _lexed("documents", "doc_id", "text"),
+        "lossless_pages": _lexed("pages", "page_id", "html"),
         "token_classes": _on("units", lexing.token_classes),
         "block_depth": _tokens(blocks.block_depth),
         "block_pairs": _tokens(blocks.block_pairs),
@@ -182,7 +201,7 @@ def queries() -> dict[str, Query]:
         "steps_while": _step_kinds("kind = 'while'"),
         "steps_for": _step_kinds("kind in ('for_in', 'numeric_for')"),
         "steps_repeat": _step_kinds("kind = 'repeat_until'"),
-        "steps_do_splice": _step_kinds("label in ('local q = x', 'use(q)')"),
+        "steps_do_splice": _on(steps, _around_do_blocks),
         "steps_closure": _step_kinds("kind = 'closure'"),
         "elements": _on("units", elements.elements),
         "elements_function": _on("units", lambda u: elements.elements_of_kind(u, "function")),
@@ -197,7 +216,7 @@ def queries() -> dict[str, Query]:
             "units", lambda u: outcomes.parse_statistics(u).select("unit_id", "token_count", "element_count", "diagnostic_count")
         ),
         "outcomes": _on("units", outcomes.outcomes),
-        "job_summary": _on("units", lambda u: outcomes.job_summary(outcomes.outcomes(u))),
+        "job_summary": _on("units", lambda u: outcomes.job_summary(outcomes.statuses(u))),
         "job_invariants": _on("units", _job_invariants),
         "job_report": _on("units", _job_report),
         "step_context": _on(steps, context.step_context),
@@ -220,9 +239,13 @@ def queries() -> dict[str, Query]:
         "adjacent_duplicates_turns": lambda spark, d: sequences.adjacent_duplicates(
             _table(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"], "role"
         ),
+        "adjacent_duplicates_initials": lambda spark, d: sequences.adjacent_duplicates(
+            _table(spark, d, "conversations").select("conv_id", "turn", F.lower(F.substring("text", 1, 1)).alias("initial")),
+            ["conv_id"], ["turn"], "initial",
+        ),
         "adjacent_duplicates_events": _events(
             lambda e: sequences.adjacent_duplicates(
-                e.select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], "event_type"
+                e.select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], "event_type", F.to_date("ts")
             ).drop("ts")
         ),
         "after_terminator": _after(True),

@@ -59,7 +59,7 @@ def measure(spark: SparkSession, sf_dir: str) -> tuple[dict[str, float], dict[st
     run(
         "after_terminator",
         lambda: sequences.after_terminator(
-            table("events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "error"
+            table("events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", bucket=F.to_date("ts")
         ),
     )
     run(

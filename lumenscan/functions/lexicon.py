@@ -33,9 +33,24 @@ _BLOCK = "(?:" + "|".join(BLOCK_WORDS) + r")(?![A-Za-z0-9_])"
 PLAIN_NAME = f"(?!{_BLOCK}){NAME}"
 
 
-def quoted(q: str) -> str:
-    """A quoted string; an unterminated one ends with its line."""
-    return rf"{q}[^{q}\\\n]*+(?:\\[\s\S][^{q}\\\n]*+)*+(?:{q}|(?=\n|\z))"
+def quoted(q: str, closed: bool = False) -> str:
+    """A quoted string; an unterminated one ends with its line.  ``\\z`` skips white space and line breaks."""
+    return rf"{q}[^{q}\\\n]*+(?:\\(?:z\s*+|[\s\S])[^{q}\\\n]*+)*+" + (q if closed else rf"(?:{q}|(?=\n|\z))")
+
+
+def interpolated(depth: int) -> str:
+    """A backtick string with expressions in braces, which may hold strings of the same kind.
+
+    One that is not closed on its line, or is nested more deeply than ``depth``, is cut as a
+    plain quoted string.
+    """
+    plain = "|".join(quoted(q) for q in ('"', "'"))
+    inner, braces = r"(?!)", r"(?!)"
+    for _ in range(depth):
+        braces = rf"\{{(?:[^`{{}}\"'\n]|{plain}|{inner}|{braces})*+\}}"
+        inner = rf"`(?:[^`\\{{\n]|\\(?:z\s*+|[\s\S])|{braces})*+`"
+        braces = r"(?!)"
+    return inner
 
 
 def long_bracket(group: str) -> str:
@@ -43,7 +58,7 @@ def long_bracket(group: str) -> str:
     return rf"\[(?<{group}>=*+)\[[\s\S]*?\]\k<{group}>\]"
 
 
-STRING = "|".join(quoted(q) for q in ('"', "'", "`"))
+STRING = "|".join([quoted('"'), quoted("'"), interpolated(2), quoted("`")])
 
 
 def comment(group: str) -> str:
@@ -54,7 +69,7 @@ def trivia(group: str) -> str:
     return rf"(?:\s++|{comment(group)})*+"
 
 
-# Operators, longest first.
+# Operators, longest first as the longest one wins (fixed values).
 OPERATOR = (
     r"\.\.\.|\.\.=|//=|==|~=|<=|>=|\.\.|//|->|::|\+=|-=|\*=|/=|%=|\^=|<<|>>"
     r"|[+\-*/%^#&|~<>=:;,.?@]"
@@ -80,14 +95,16 @@ _OP_CHAR = r"(?!--)[^\s\w\"'`()\[\]{};]"
 _ATOM = rf"{PLAIN_NAME}|{NUMBER}|{STRING}|{_OP_CHAR}"
 
 
-def _grouped(atom: str, space: str) -> str:
-    body = rf"(?:{space}(?:{atom}))*+{space}"
-    return rf"\({body}\)|\[{body}\]|\{{{body}\}}"
+def _nested(atom: str, depth: int, gap: str) -> str:
+    """Brackets of any kind around atoms and brackets.  The pattern grows by one atom a level."""
+    inner = r"(?!)"
+    for _ in range(depth):
+        inner = rf"[(\[{{](?:{gap}(?:{atom}|{inner}))*+{gap}[)\]}}]"
+    return inner
 
 
 _BLANK = r"[ \t]*+"
-_G1 = _grouped(_ATOM, _BLANK)
-_G2 = _grouped(f"{_ATOM}|{_G1}", _BLANK)
+_G2 = _nested(_ATOM, 2, _BLANK)
 
 
 def _piece(group: str) -> str:
@@ -98,14 +115,22 @@ def _piece(group: str) -> str:
 _LEAD = r"(?:local|return)(?![A-Za-z0-9_])"
 RUN = rf"(?:{_LEAD}|{_piece('t')})(?:{_BLANK}{_piece('u')})*+"
 
-# Parameter lists may span lines and nest three brackets deep.
-_GAP = r"(?:\s++|--[^\n]*+)*+"
-_H1 = _grouped(_ATOM, _GAP)
-_H2 = _grouped(f"{_ATOM}|{_H1}", _GAP)
-_PARAMS = rf"\((?:{_GAP}(?:{_ATOM}|{_H2}))*+{_GAP}\)"
+# Parameter lists may span lines, hold comments, and nest brackets more deeply than code does.
+HEADER_DEPTH = 24
+_LONG_COMMENTS = "|".join(rf"--\[{'=' * n}\[[\s\S]*?\]{'=' * n}\]" for n in range(4))
+_GAP = rf"(?:\s++|{_LONG_COMMENTS}|--[^\n]*+)*+"
+
+
+# Generic parameters, as `<T, U...>` or `<T = Map<K, V>>`.
+_GENERIC = r"(?!)"
+for _ in range(4):
+    _GENERIC = rf"<(?:[^<>()\n]|->|{_GENERIC})*+>"
+_HEADER_ATOM = rf"{PLAIN_NAME}|{NUMBER}|{quoted(chr(34))}|{quoted(chr(39))}|->|{_OP_CHAR}|;"
+_PARAMS = rf"\((?:{_GAP}(?:{_HEADER_ATOM}|{_nested(_HEADER_ATOM, HEADER_DEPTH, _GAP)}))*+{_GAP}\)"
 DOTTED = rf"{NAME}(?:\s*+[.:]\s*+{NAME})*+"
-FUNCTION_HEADER = rf"function(?![A-Za-z0-9_])(?:\s++{DOTTED})?+(?:\s*+<[^()\n]*+>)?+\s*+{_PARAMS}"
-_RETURN_TYPE = rf"\s*+:(?!:)(?:{_BLANK}(?:{PLAIN_NAME}|{STRING}|->|[.?|&,<>]|{_H2}))*+"
+FUNCTION_HEADER = rf"function(?![A-Za-z0-9_])(?:{_GAP}{DOTTED})?+(?:{_GAP}{_GENERIC})?+{_GAP}{_PARAMS}"
+FUNCTION_NAME = rf"^function(?![A-Za-z0-9_]){_GAP}({DOTTED}){_GAP}(?:{_GENERIC})?+{_GAP}\("
+_RETURN_TYPE = rf"\s*+:(?!:)(?:{_BLANK}(?:{PLAIN_NAME}|{STRING}|->|[.?|&,<>]|{_G2}))*+"
 
 # Block headers that fit on their line are one lexeme, from the keyword to `then` or `do`;
 # others are cut at the keyword.  `until` takes its condition along.

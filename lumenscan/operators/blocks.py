@@ -51,8 +51,11 @@ def kinds(rows: DataFrame) -> DataFrame:
         kind = F.when(F.col("_word") == name, code(name)).otherwise(kind)
     # A header in one lexeme both starts its statement and opens its block.
     whole = is_kind(k, "if", "elseif", "while", "for") & text.rlike("(?:then|do)$")
-    rows = rows.withColumn("k", kind).drop("_word")
-    return rows.withColumn("whole", whole).withColumn("_leads", text.rlike(lx.EXPRESSION_LEAD))
+    rows = rows.withColumn("k", kind).drop("_word").withColumn("whole", whole)
+    # `return` may stand alone, and `>` may close a type.
+    alone = text.rlike(r"(?:(?<![A-Za-z0-9_])return|>)$")
+    leads = F.when(text.rlike(lx.EXPRESSION_LEAD), F.when(alone, 2).otherwise(1)).otherwise(0)
+    return rows.withColumn("leads", leads)
 
 
 def levels(rows: DataFrame, also: Sequence[Column] = ()) -> DataFrame:
@@ -60,14 +63,16 @@ def levels(rows: DataFrame, also: Sequence[Column] = ()) -> DataFrame:
 
     Adds ``opens`` and ``closes`` a block (0 or 1); ``lev`` and ``br``, block and bracket
     depth after the row; ``xl``, the level the row is seen from (openers and closers count
-    to the block around them); and ``prev_k``, ``prev_opens``, ``prev_nl``.  ``also`` are
-    further expressions over the file for the first pass.
+    to the block around them); ``led``, whether the row before leaves an expression open
+    (1 surely, 2 perhaps); and ``prev_k``, ``prev_opens``, ``prev_nl``.  ``also`` are further
+    expressions over the file for the first pass.
     """
     k, file = F.col("k"), in_file()
     rows = rows.select(
         "*",
-        F.lag("_leads", 1, False).over(file.all).alias("_led"),
+        F.lag("leads", 1, 0).over(file.all).alias("led"),
         F.lag("k").over(file.all).alias("_k"),
+        F.lag("whole").over(file.all).alias("_whole"),
         F.lead("k").over(file.all).alias("_next"),
         F.lag("nl").over(file.all).alias("prev_nl"),
         F.sum(bracket_step(k)).over(file.to).cast("int").alias("br"),
@@ -77,7 +82,12 @@ def levels(rows: DataFrame, also: Sequence[Column] = ()) -> DataFrame:
     # `if a then b else c` as a value has no `end`.  Such an `if` follows an operator, and
     # the next `else` completes it unless `if` follows on the same line.  How many are
     # open is a walk that never goes below zero: its sum less the lowest sum so far.
-    value_if = is_kind(k, "if") & F.col("_led")
+    # Headers that follow each other on a line, as `if a then if b then 1`, are all of the
+    # kind of the first.
+    inner = is_kind(k, "if") & F.coalesce(is_kind(F.col("_k"), "if") & F.col("_whole") & ~F.col("prev_nl"), F.lit(False))
+    first_led = F.last(F.when(~inner, F.col("led") > 0), ignorenulls=True).over(file.to)
+    rows = rows.withColumn("_first_led", first_led)
+    value_if = is_kind(k, "if") & F.col("_first_led")
     chained = is_kind(k, "if") & F.coalesce(is_kind(F.col("_k"), "else") & ~F.col("prev_nl"), F.lit(False))
     goes_on = F.coalesce(is_kind(F.col("_next"), "if") & ~F.col("nl"), F.lit(False))
     rows = rows.withColumn("_v", value_if).withColumn("_c", chained)
@@ -99,7 +109,7 @@ def levels(rows: DataFrame, also: Sequence[Column] = ()) -> DataFrame:
         F.lag("k").over(file.all).alias("prev_k"),
         F.lag("opens", 1, 0).over(file.all).alias("prev_opens"),
     )
-    scratch = ("_led", "_leads", "_k", "_next", "_v", "_c", "_d", "_walk", "_low", "_valued")
+    scratch = ("leads", "_first_led", "_whole", "_k", "_next", "_v", "_c", "_d", "_walk", "_low", "_valued")
     return rows.withColumn("xl", F.col("lev") - F.col("opens")).drop(*scratch)
 
 

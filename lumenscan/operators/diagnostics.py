@@ -5,24 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenscan.functions import lexicon as lx
 from lumenscan.operators.blocks import levels, numbered, partners
+from lumenscan.operators.lexing import in_file
 
-_CLOSED_STRING = (
-    r"^(?:\"[^\"\\]*(?:\\[\s\S][^\"\\]*)*\"|'[^'\\]*(?:\\[\s\S][^'\\]*)*'|`[^`\\]*(?:\\[\s\S][^`\\]*)*`)$"
-)
+# A whole string by the rules of the lexer, without its way out at the end of a line.
+_CLOSED_STRING = "^(?:" + "|".join([lx.quoted('"', closed=True), lx.quoted("'", closed=True), lx.interpolated(2), lx.quoted("`", closed=True)]) + ")$"
 
 
-def diagnostics(tokens: DataFrame) -> DataFrame:
-    """Unclosed blocks, unexpected closers, unbalanced brackets, unterminated strings."""
+def problems(tokens: DataFrame) -> DataFrame:
+    """Problems of each file, and one row for the last token of a file (``count``, without a message).
+
+    Both come from one pass over the tokens.
+    """
     text = F.col("text")
     unterminated = text.rlike("^[\"'`]") & ~text.rlike(_CLOSED_STRING)
-    rows = partners(levels(numbered(tokens)), keep=unterminated)
+    rows = levels(numbered(tokens))
+    last = F.lead("tok_no").over(in_file().all).isNull()
+    rows = rows.withColumn("bad_string", unterminated).withColumn("count", F.when(last, F.col("tok_no") + 1))
+    rows = partners(rows, keep=F.col("bad_string") | F.col("count").isNotNull())
     bracket = F.when(F.col("pairs") == "bracket", " bracket").otherwise("")
     what = (
-        F.when(F.col("pairs") == "other", "unterminated string")
+        F.when(F.col("pairs") == "other", F.when(F.col("bad_string"), "unterminated string"))
         .when(F.col("is_open") & F.coalesce("open_after", F.lit(True)), F.concat(F.lit("unclosed "), "pairs"))
         .when(~F.col("is_open") & ~F.coalesce("open_before", F.lit(False)), F.concat(F.lit("unexpected"), bracket))
     )
     message = F.concat(what, F.lit(" '"), "text", F.lit("'"))
-    found = rows.select("unit_id", F.lit("error").alias("severity"), message.alias("message"), "line", "col")
-    return found.filter("message is not null")
+    found = rows.select("unit_id", F.lit("error").alias("severity"), message.alias("message"), "line", "col", "count")
+    return found.filter("message is not null or count is not null")
+
+
+def diagnostics(tokens: DataFrame) -> DataFrame:
+    """Unclosed blocks, unexpected closers, unbalanced brackets, unterminated strings."""
+    return problems(tokens).filter("message is not null").drop("count")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenscan.functions import lexicon as lx
@@ -12,16 +13,32 @@ from lumenscan.operators.blocks import is_kind
 from lumenscan.operators.outline import lexeme_text, statements
 
 ELEMENT_KINDS = ("import", "type_alias", "constant", "variable", "function", "local_function")
-_NESTED = r"\([^(){}\[\]<>]*\)|\{[^(){}\[\]<>]*\}|\[[^(){}\[\]<>]*\]|<[^(){}\[\]<>]*>"
+# What a list of bindings is made of; a type holds brackets, arrows and string literals.
+_PART = rf"->|{lx.NAME}|{lx.STRING}|[(\[{{<]|[)\]}}>]|[,:=]"
 
 
-def _bound_names(text: Column) -> Column:
-    """Names in ``local a: T, b = ...``: brackets of types cannot hide a comma or ``=``."""
-    flat = F.regexp_replace(text, r"->", "")
-    for _ in range(3):
-        flat = F.regexp_replace(flat, _NESTED, "")
-    bindings = F.regexp_extract(flat, r"^local\s+([^=]*)", 1)
-    return F.transform(F.split(bindings, ","), lambda b: F.regexp_extract(b, rf"^\s*({lx.NAME})", 1))
+def _bindings(text: Column) -> Column:
+    """Of ``local a: T, b = ...``: ``names`` bound, and whether a value is ``assigned``.
+
+    The parts are read in order with the bracket depth, so types of any depth hide neither a
+    comma nor ``=``, and a name is what stands first behind ``local`` or a comma.
+    """
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(False).alias("awaits"), F.lit(False).alias("assigned"), F.array().cast("array<string>").alias("names")
+    )
+
+    def step(state: Column, part: Column) -> Column:
+        opens, closes = part.isin("(", "[", "{", "<"), part.isin(")", "]", "}", ">")
+        base = (state["depth"] == 0) & ~state["assigned"]
+        named = base & state["awaits"] & part.rlike("^[A-Za-z_]")
+        return F.struct(
+            (state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
+            F.when(base, part.isin(",", "local")).otherwise(state["awaits"]).alias("awaits"),
+            (state["assigned"] | (base & (part == "="))).alias("assigned"),
+            F.when(named, F.concat(state["names"], F.array(part))).otherwise(state["names"]).alias("names"),
+        )
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(_PART), F.lit(0)), start, step)
 
 
 def elements(units: DataFrame) -> DataFrame:
@@ -31,14 +48,21 @@ def elements(units: DataFrame) -> DataFrame:
     """
     text, is_function = F.col("text"), is_kind(F.col("k"), "function")
     rows = statements(units).withColumn("text", lexeme_text())
-    name = F.regexp_replace(F.regexp_extract(text, rf"^function\s+({lx.DOTTED})", 1), r"\s+", "")
+    name = F.regexp_replace(F.regexp_extract(text, lx.FUNCTION_NAME, 1), r"\s+", "")
+    # A binding list may go on over lines: the text of its statement, on its own level.
+    statement = W.partitionBy("unit_id", "own_n").orderBy("n").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    binds = F.coalesce(F.col("own") % 2 == 1, F.lit(False)) & ~is_function & (F.col("opens") == 0) & (F.col("closes") == 0)
+    pieces = F.collect_list(F.when(binds, F.struct("xl", "text"))).over(statement)
+    rows = rows.withColumn("pieces", F.when(F.col("is_start") & text.rlike(r"^local(?![A-Za-z0-9_])"), pieces))
+    level_text = F.array_join(F.transform(F.filter("pieces", lambda q: q["xl"] == F.col("xl")), lambda q: q["text"]), "\n")
+    rows = rows.withColumn("bound", F.when(F.col("pieces").isNotNull(), _bindings(level_text))).drop("pieces")
     name = F.when(is_function & (name != ""), name)
     after_local = F.col("prev_local") == 2
     kind = (
         F.when(name.isNotNull() & after_local, "local_function")
         .when(name.isNotNull() & F.col("is_start"), "function")
         .when(F.col("is_start") & text.rlike(rf"^(?:export\s+)?type\s+{lx.NAME}\s*(?:<[^=]*>)?\s*="), "type_alias")
-        .when(F.col("is_start") & text.rlike(r"^local\s"), F.when(text.contains("="), "constant").otherwise("variable"))
+        .when(F.size("bound.names") > 0, F.when(F.col("bound.assigned"), "constant").otherwise("variable"))
     )
     closed = is_function & F.col("closer_k").isNotNull()
     hides = closed & F.coalesce(F.col("own") % 2 == 1, F.lit(False))
@@ -67,14 +91,14 @@ def elements(units: DataFrame) -> DataFrame:
     along = ordered(["unit_id", "at"], ["pos", "e"]).to
     rows = rows.withColumn("around", latest(F.col("fn_name"), F.col("opened"), along)).filter(~F.col("opened"))
     path = F.array_sort(F.collect_list(F.when(F.col("at") > 0, F.struct("at", "around"))))
-    merged = rows.groupBy("unit_id", "pos", "kind", "text", "fn_name", "line", "col", "prev_line", "prev_col").agg(
+    merged = rows.groupBy("unit_id", "pos", "kind", "text", "fn_name", "line", "col", "prev_line", "prev_col", "bound").agg(
         path.alias("path")
     )
     is_local_fn, is_type = F.col("kind") == "local_function", F.col("kind") == "type_alias"
     header = compact(F.regexp_extract("text", f"^{lx.FUNCTION_HEADER}", 0))
     type_name = F.regexp_extract("text", rf"^(?:export\s+)?type\s+({lx.NAME})", 1)
     names = F.when(is_type, F.array(type_name)).otherwise(
-        F.when(F.col("fn_name").isNotNull(), F.array("fn_name")).otherwise(_bound_names(F.col("text")))
+        F.when(F.col("fn_name").isNotNull(), F.array("fn_name")).otherwise(F.col("bound.names"))
     )
     signature = (
         F.when(is_local_fn, F.concat(F.lit("local "), header))

@@ -102,3 +102,12 @@ def token_classes(units: DataFrame) -> DataFrame:
         .groupBy("unit_id", "cls")
         .agg(F.count("*").alias("n_tokens"))
     )
+
+
+def lossless(units: DataFrame) -> DataFrame:
+    """Per unit the lexemes put together again, their number, and whether they are the text."""
+    parts = F.regexp_extract_all("content", F.lit(lx.RAW_LEX), F.lit(0))
+    joined = units.select("unit_id", "content", F.array_join(parts, "").alias("joined"), F.size(parts).alias("n_lexemes"))
+    return joined.select(
+        "unit_id", "joined", "n_lexemes", F.length("joined").cast("bigint").alias("n_chars"), (F.col("joined") == F.col("content")).alias("same")
+    )

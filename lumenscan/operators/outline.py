@@ -28,9 +28,14 @@ from lumenscan.functions.windows import latest, ordered
 from lumenscan.operators.blocks import BRACKETS_CLOSE, bracket_step, code, is_kind, kinds, levels, on_level
 from lumenscan.operators.lexing import cut, in_file, positions, with_column
 
+# A closure with a shorter body stays in the text of its statement.
 MIN_CLOSURE_CHARS = 60
-_NAMED = rf"^function\s+({lx.DOTTED})\s*\("
 _LOCAL = "^local(?![A-Za-z0-9_])"
+# How a lexeme begins: as the rest of an expression, with `return`, or with another word.
+_LED = r"^(?:(?:and|or)(?![A-Za-z0-9_])|[.:+\-*/%^=<>~,&|?])"
+_RETURN = "^return(?![A-Za-z0-9_])"
+_WORD = "^[A-Za-z_]"
+_LED_CODE, _RETURN_CODE, _WORD_CODE = 1, 2, 3
 
 K = lambda *names: is_kind(F.col("k"), *names)
 
@@ -42,6 +47,7 @@ def scan(units: DataFrame) -> DataFrame:
         "*",
         (F.length("raw") - F.length("text")).alias("trail"),
         F.when(text == "local", 2).when(text.rlike(_LOCAL), 1).otherwise(0).alias("local"),
+        F.when(text.rlike(_LED), _LED_CODE).when(text.rlike(_RETURN), _RETURN_CODE).when(text.rlike(_WORD), _WORD_CODE).otherwise(0).alias("begins"),
     )
     prev = [F.lag(c, 1, 0).over(file).alias(f"prev_{c}") for c in ("trail", "local")]
     rows = with_column(levels(rows.drop("text"), [*positions(), *prev]))
@@ -81,8 +87,14 @@ def statements(units: DataFrame) -> DataFrame:
         latest(F.col("n"), K("function"), level.before).alias("fn_before"),
     )
     in_head = F.coalesce(F.col("head") % 2 == 1, F.lit(False))
+    # On one line, a statement may follow `end` with any word, and anything with a word that
+    # only begins statements.
+    behind_end = is_kind(F.col("prev_k"), "end") & F.col("begins").isin(_RETURN_CODE, _WORD_CODE) & (F.col("prev_local") != 2)
+    word = K("while", "for", "if") | (F.col("local") > 0) | (F.col("begins") == _RETURN_CODE)
+    # An expression goes on over a line break if either side of it says so.
+    broken = F.col("prev_nl") & ~((F.col("led") == 1) & (F.col("local") == 0)) & (F.col("begins") != _LED_CODE)
     boundary = (
-        F.col("prev_k").isNull() | F.col("prev_nl") | (F.col("prev_opens") == 1) | is_kind(F.col("prev_k"), "else", ";")
+        F.col("prev_k").isNull() | broken | (F.col("prev_opens") == 1) | is_kind(F.col("prev_k"), "else", ";") | behind_end | word
     )
     never = K("else", "end", "until", "then", "do", ";", *BRACKETS_CLOSE) | F.col("goes_on") | (F.length("raw") == F.col("trail"))
     is_start = K("elseif", "repeat") | (~in_head & (F.col("br_before") == F.col("base")) & boundary & ~never)
@@ -103,7 +115,7 @@ def _role(*names: str) -> Column:
     return F.coalesce(F.col("role").isin(*[_ROLES[n] for n in names]), F.lit(False))
 
 
-def _roles(rows: DataFrame) -> DataFrame:
+def _roles(rows: DataFrame, min_closure_chars: int) -> DataFrame:
     """What a closed block is: ``block`` of a step, ``splice``, ``fn``, or ``drop``."""
     closed = (F.col("opens") == 1) & F.col("closer_k").isNotNull()
     heads = F.col("in_head") & (F.floor(F.col("head") / 2) == F.col("own_n"))
@@ -119,13 +131,13 @@ def _roles(rows: DataFrame) -> DataFrame:
     first_function = F.col("fn_before").isNull() | (F.col("fn_before") < F.col("own_n"))
     decomposes = (
         K("function")
-        & (body >= MIN_CLOSURE_CHARS)
+        & (body >= min_closure_chars)
         & ~_own_kind("if", "elseif", "while", "for", "repeat")
         & ~F.col("in_head")
         & first_function
     )
-    name = F.regexp_replace(F.regexp_extract("raw", _NAMED, 1), r"\s+", "")
-    named = K("function") & is_kind(F.col("closer_k"), "end") & (F.regexp_extract("raw", _NAMED, 1) != "")
+    name = F.regexp_replace(F.regexp_extract("raw", lx.FUNCTION_NAME, 1), r"\s+", "")
+    named = K("function") & is_kind(F.col("closer_k"), "end") & (F.regexp_extract("raw", lx.FUNCTION_NAME, 1) != "")
     return rows.select(
         "*",
         role.alias("role"),
@@ -221,12 +233,14 @@ def _mark(*names: str) -> Column:
     return F.coalesce(F.col("mark").isin(*[_MARKS[n] for n in names]), F.lit(False))
 
 
-def outline(units: DataFrame) -> DataFrame:
+def outline(units: DataFrame, min_closure_chars: int = MIN_CLOSURE_CHARS) -> DataFrame:
     """Functions (``kind = 'function'``) and steps of every file, in one table.
 
     ``functions`` and ``steps`` are projections of it; write it once where both are needed.
+    Closures whose body has at least ``min_closure_chars`` characters become steps; shorter
+    ones stay in the text of their statement, and 0 makes steps of all.
     """
-    rows = _places(_events(_roles(statements(units))))
+    rows = _places(_events(_roles(statements(units), min_closure_chars)))
     ev, cont = F.col("ev"), F.col("cont")
     kept = (F.col("dropped") == 0) & (F.col("nested") > 0)
     link_end = cont & kept & (ev == -1) & ~is_kind(F.col("closer_k"), "elseif")
@@ -372,5 +386,5 @@ def functions(units: DataFrame) -> DataFrame:
     return functions_of(outline(units))
 
 
-def steps(units: DataFrame) -> DataFrame:
-    return steps_of(outline(units))
+def steps(units: DataFrame, min_closure_chars: int = MIN_CLOSURE_CHARS) -> DataFrame:
+    return steps_of(outline(units, min_closure_chars))

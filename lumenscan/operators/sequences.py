@@ -3,9 +3,11 @@
 They are the rules' building blocks: equal neighbours, rows behind a terminator, nesting
 depth, rows inside a block, and groups that lack a partner row.
 
-A key may hold a large share of all rows.  ``split_large`` cuts such keys into parts
-along their order; each operator then works per (key, part) and takes what earlier parts
-of the key hand over from a table with one row per part.  Small keys are untouched.
+A key may hold a large share of all rows.  ``bucket`` cuts every key along its order: an
+expression that never falls as the order rises, such as the day of a timestamp or
+``floor(pos / 10000)``.  Windows then run per (key, bucket), and what earlier buckets of a
+key hand over comes from a table with one row per bucket.  Without a bucket a key is one
+group, which suits keys that are one row of the input, as the tags of a page.
 """
 
 from __future__ import annotations
@@ -14,72 +16,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LARGE_KEY_ROWS = 1_000_000
-PARTS = 200
-PART = "_part"
+BUCKET = "_bucket"
 
 
-def split_large(df: DataFrame, keys: list[str], order: list[str], large: int = LARGE_KEY_ROWS) -> DataFrame:
-    """Add ``_part``: null for small keys, else the quantile of the first order column.
+def _bucketed(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
+    """Rows dealt by key and bucket, so that one shuffle serves the window, the sums and the join.
 
-    Counting keys pre-aggregates; quantiles are merged sketches.  Only large keys take
-    part in the joins, at most ``rows / large`` of them, so adaptive execution can
-    broadcast them when they are few and splits the skewed side when they are not.
+    Without it a join on the key alone would let the window run with a whole key in one task.
     """
-    number = _as_number(df, order[0])
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > large).drop("_n")
-    cuts = [i / PARTS for i in range(1, PARTS)]
-    bounds = (
-        df.select(*keys, number.alias("_x"))
-        .join(counts, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx("_x", cuts, 10000).alias("_bounds"))
-    )
-    part = F.size(F.filter("_bounds", lambda b: b < number))
-    return df.join(bounds, keys, "left").withColumn(PART, F.when(F.col("_bounds").isNotNull(), part)).drop("_bounds")
-
-
-def _as_number(df: DataFrame, name: str) -> Column:
-    kind = dict(df.dtypes)[name]
-    if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if kind == "date":
-        return F.unix_date(name).cast("double")
-    return F.col(name).cast("double")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.withColumn(BUCKET, bucket).repartition(n, *keys, BUCKET)
 
 
-def _handed_over(df: DataFrame, keys: list[str], per_part: list[Column], carries: dict[str, Column]) -> DataFrame:
-    """Per (key, part): what earlier parts of the key amount to.
+def _carried(rows: DataFrame, keys: list[str], per_bucket: list[Column], carries: dict[str, Column]) -> DataFrame:
+    """``rows`` with what the earlier buckets of their key amount to.
 
-    ``per_part`` aggregates a part; ``carries`` are window expressions over those, to be
-    read strictly before a part.
+    ``per_bucket`` aggregates a bucket; ``carries`` are window expressions over those, to be
+    read strictly before a bucket.  Keys and buckets may be null.
     """
-    parts = df.filter(F.col(PART).isNotNull()).groupBy(*keys, PART).agg(*per_part)
-    return parts.select(*keys, PART, *[c.alias(name) for name, c in carries.items()])
+    buckets = rows.groupBy(*keys, BUCKET).agg(*per_bucket)
+    on = [*keys, BUCKET]
+    carry = buckets.select(*[F.col(c).alias(f"_to{i}") for i, c in enumerate(on)], *[c.alias(name) for name, c in carries.items()])
+    same = [rows[c].eqNullSafe(carry[f"_to{i}"]) for i, c in enumerate(on)]
+    return rows.join(carry, same, "left").drop(*[f"_to{i}" for i in range(len(on))])
 
 
-def _along(keys: list[str], order: list[str]):
-    window = W.partitionBy(*keys, PART).orderBy(*order)
+def _along(keys: list[str], order: list[str], bucket: Column | None):
+    window = W.partitionBy(*keys, *([] if bucket is None else [BUCKET])).orderBy(*order)
     return window, window.rowsBetween(W.unboundedPreceding, -1), window.rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
-def _parts_of(keys: list[str]):
-    window = W.partitionBy(*keys).orderBy(PART)
+def _buckets_of(keys: list[str]):
+    window = W.partitionBy(*keys).orderBy(BUCKET)
     return window, window.rowsBetween(W.unboundedPreceding, -1)
 
 
 def adjacent_duplicates(
-    df: DataFrame, keys: list[str], order: list[str], value: str, large: int = LARGE_KEY_ROWS
+    df: DataFrame, keys: list[str], order: list[str], value: str, bucket: Column | None = None
 ) -> DataFrame:
     """Rows whose value equals the value of the row before them in their group."""
-    rows = split_large(df, keys, order, large)
-    window, _, _ = _along(keys, order)
-    parts, _ = _parts_of(keys)
-    last = F.max_by(F.col(value), F.struct(*order)).alias("_last")
-    carry = _handed_over(rows, keys, [last], {"_carry": F.lag("_last").over(parts)})
-    rows = rows.withColumn("_prev", F.lag(value).over(window)).withColumn("_nth", F.row_number().over(window))
-    rows = rows.join(carry, [*keys, PART], "left")
-    previous = F.when(F.col("_nth") == 1, F.col("_carry")).otherwise(F.col("_prev"))
+    window, _, _ = _along(keys, order, bucket)
+    rows = df if bucket is None else _bucketed(df, keys, bucket)
+    rows = rows.withColumn("_prev", F.lag(value).over(window))
+    previous = F.col("_prev")
+    if bucket is not None:
+        rows = rows.withColumn("_nth", F.row_number().over(window))
+        last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last")
+        rows = _carried(rows, keys, [last], {"_carry": F.lag("_last").over(_buckets_of(keys)[0])})
+        previous = F.when(F.col("_nth") == 1, F.col("_carry")["v"]).otherwise(previous)
     return rows.filter(previous == F.col(value)).select(*df.columns)
 
 
@@ -89,43 +73,42 @@ def after_terminator(
     order: list[str],
     is_term: Column,
     first_only: bool = True,
-    large: int = LARGE_KEY_ROWS,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Rows behind the first terminator of their group, or only the row right behind it."""
-    rows = split_large(df.withColumn("_term", F.coalesce(is_term, F.lit(False))), keys, order, large)
-    window, before, _ = _along(keys, order)
-    parts, parts_before = _parts_of(keys)
-    ends = F.count_if("_term").alias("_ends")
-    last = F.max_by(F.col("_term"), F.struct(*order)).alias("_last")
-    carry = _handed_over(
-        rows,
-        keys,
-        [ends, last],
-        {"_earlier": F.sum("_ends").over(parts_before), "_carry": F.lag("_last").over(parts)},
-    )
-    rows = rows.select(
-        "*",
-        F.count_if("_term").over(before).alias("_here"),
-        F.lag("_term").over(window).alias("_prev"),
-        F.row_number().over(window).alias("_nth"),
-    ).join(carry, [*keys, PART], "left")
-    ended = F.coalesce("_here", F.lit(0)) + F.coalesce("_earlier", F.lit(0))
-    right_behind = F.when(F.col("_nth") == 1, F.col("_carry")).otherwise(F.col("_prev"))
+    window, before, _ = _along(keys, order, bucket)
+    rows = df.withColumn("_term", F.coalesce(is_term, F.lit(False)))
+    rows = rows if bucket is None else _bucketed(rows, keys, bucket)
+    rows = rows.select("*", F.coalesce(F.count_if("_term").over(before), F.lit(0)).alias("_here"), F.lag("_term").over(window).alias("_prev"))
+    ended, right_behind = F.col("_here"), F.col("_prev")
+    if bucket is not None:
+        rows = rows.withColumn("_nth", F.row_number().over(window))
+        buckets, earlier = _buckets_of(keys)
+        ends = F.count_if("_term").alias("_ends")
+        last = F.max_by(F.col("_term"), F.struct(*order)).alias("_last")
+        rows = _carried(
+            rows, keys, [ends, last], {"_earlier": F.sum("_ends").over(earlier), "_carry": F.lag("_last").over(buckets)}
+        )
+        ended = ended + F.coalesce("_earlier", F.lit(0))
+        right_behind = F.when(F.col("_nth") == 1, F.col("_carry")).otherwise(right_behind)
     wanted = (ended == 1) & F.coalesce(right_behind, F.lit(False)) if first_only else ended >= 1
     return rows.filter(wanted).select(*df.columns)
 
 
 def nesting_depth(
-    df: DataFrame, keys: list[str], order: list[str], delta: Column, large: int = LARGE_KEY_ROWS
+    df: DataFrame, keys: list[str], order: list[str], delta: Column, bucket: Column | None = None
 ) -> DataFrame:
     """Add ``depth``: the running sum of ``delta`` up to and including the row."""
-    rows = split_large(df.withColumn("_delta", delta.cast("bigint")), keys, order, large)
-    _, _, to = _along(keys, order)
-    _, parts_before = _parts_of(keys)
-    carry = _handed_over(rows, keys, [F.sum("_delta").alias("_sum")], {"_carry": F.sum("_sum").over(parts_before)})
-    rows = rows.withColumn("_run", F.sum("_delta").over(to)).join(carry, [*keys, PART], "left")
-    depth = (F.col("_run") + F.coalesce("_carry", F.lit(0))).alias("depth")
-    return rows.select(*df.columns, depth)
+    _, _, to = _along(keys, order, bucket)
+    rows = df.withColumn("_delta", delta.cast("bigint"))
+    rows = rows if bucket is None else _bucketed(rows, keys, bucket)
+    rows = rows.withColumn("_run", F.sum("_delta").over(to))
+    depth = F.col("_run")
+    if bucket is not None:
+        earlier = _buckets_of(keys)[1]
+        rows = _carried(rows, keys, [F.sum("_delta").alias("_sum")], {"_carry": F.sum("_sum").over(earlier)})
+        depth = depth + F.coalesce("_carry", F.lit(0))
+    return rows.select(*df.columns, depth.alias("depth"))
 
 
 def inside_block(
@@ -135,11 +118,12 @@ def inside_block(
     pos: str = "pos",
     start: str = "start",
     end: str = "end",
-    large: int = LARGE_KEY_ROWS,
+    width: float | None = None,
 ) -> DataFrame:
     """Add ``n_blocks``: how many blocks ``start < pos <= end`` hold the row.
 
-    Blocks become two events among the rows, so rows and blocks are never paired.
+    Blocks become two events among the rows, so rows and blocks are never paired.  ``width``
+    is that of a bucket of positions.
     """
     payload = F.struct(*rows.columns)
     edges = F.array(
@@ -151,10 +135,25 @@ def inside_block(
         rows.select(*keys, F.col(pos).alias("_pos"), F.lit(1).alias("_rank"), F.lit(0).alias("_d"), payload.alias("_row"))
         .unionByName(blocks.select(*keys, F.inline(edges)).withColumn("_row", none))
     )
-    placed = nesting_depth(events, keys, ["_pos", "_rank"], F.col("_d"), large)
+    bucket = None if width is None else F.floor(F.col("_pos") / width)
+    placed = nesting_depth(events, keys, ["_pos", "_rank"], F.col("_d"), bucket)
     return placed.filter(F.col("_row").isNotNull()).select("_row.*", F.col("depth").alias("n_blocks"))
 
 
+def level_pairs(rows: DataFrame, keys: list[str], pos: str, delta: str) -> DataFrame:
+    """``keys``, ``start`` and ``end`` of blocks among openers (``delta`` 1) and closers (-1).
+
+    An opener's partner is the next row on its own level, if that closes.
+    """
+    file = W.partitionBy(*keys).orderBy(pos).rowsBetween(W.unboundedPreceding, W.currentRow)
+    level = F.sum(delta).over(file) + F.when(F.col(delta) < 0, 1).otherwise(0)
+    along = W.partitionBy(*keys, "_level").orderBy(pos)
+    paired = rows.withColumn("_level", level).select(
+        *keys, F.col(pos).alias("start"), F.lead(pos).over(along).alias("end"), delta, F.lead(delta).over(along).alias("_next")
+    )
+    return paired.filter((F.col(delta) > 0) & (F.col("_next") < 0)).select(*keys, "start", "end")
+
+
 def group_missing_partner(df: DataFrame, keys: list[str], has: Column, lacks: Column) -> DataFrame:
     """Keys with a row that satisfies ``has`` and none that satisfies ``lacks``."""
     flags = df.groupBy(*keys).agg(
@@ -178,12 +177,17 @@ _NO_TAGS = r"(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
+    """Lines of each document; the texts are partitioned before they are cut."""
     lines = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    return documents.select("doc_id", lines)
+    return documents.select("doc_id", "text").repartition("doc_id").select("doc_id", lines)
 
 
 def page_tags(pages: DataFrame) -> DataFrame:
-    """Opening and closing tags of each page in order, scripts, styles and comments aside."""
+    """Opening and closing tags of each page in order, scripts, styles and comments aside.
+
+    The pages are partitioned before they are cut, so windows over a page find its tags in place.
+    """
+    pages = pages.select("page_id", "html").repartition("page_id")
     clean = F.regexp_replace(F.lower("html"), _NO_TAGS, "")
     tags = F.regexp_extract_all(clean, F.lit("</?[a-z][a-z0-9]*"), F.lit(0))
     rows = pages.select("page_id", F.posexplode(tags).alias("pos", "raw"))

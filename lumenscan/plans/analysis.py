@@ -6,25 +6,35 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from lumenscan.operators.outline import functions_of, outline, steps_of
+from lumenscan.operators.outline import MIN_CLOSURE_CHARS, functions_of, outline, steps_of
 from lumenscan.operators.rules import findings
 from lumenscan.session import write_stage
 
 
 class Analysis:
-    """Stages over ``units``; thresholds are the detector's two settings."""
-
-    def __init__(self, units: DataFrame, max_nesting_depth: int = 4, max_function_steps: int = 50):
-        self._units = units
+    """Stages over ``units``; thresholds are the detector's two settings.
+
+    ``stored`` says that ``units`` already are a table in storage, which need not be copied.
+    """
+
+    def __init__(
+        self,
+        units: DataFrame,
+        max_nesting_depth: int = 4,
+        max_function_steps: int = 50,
+        min_closure_chars: int = MIN_CLOSURE_CHARS,
+        stored: bool = False,
+    ):
+        self._units, self._stored, self._min_closure_chars = units, stored, min_closure_chars
         self._limits = (max_nesting_depth, max_function_steps)
 
     @cached_property
     def units(self) -> DataFrame:
-        return write_stage(self._units, "units")
+        return self._units if self._stored else write_stage(self._units, "units")
 
     @cached_property
     def outline(self) -> DataFrame:
-        return write_stage(outline(self.units), "outline")
+        return write_stage(outline(self.units, self._min_closure_chars), "outline")
 
     @property
     def functions(self) -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenscan import LEXER_VERSION
-from lumenscan.functions.lexicon import TOKEN_LEX
-from lumenscan.operators.diagnostics import diagnostics
+from lumenscan.operators.diagnostics import problems
 from lumenscan.operators.elements import elements
 from lumenscan.operators.lexing import tokens
 
@@ -17,46 +16,53 @@ FAILED = "technical_failure"
 REPORT_VERSION = "1.0.0"
 
 
-def all_diagnostics(units: DataFrame) -> DataFrame:
-    """Diagnostics of readable files, and one at 0:0 for each unreadable one."""
-    bad = units.filter(~F.col("valid_utf8")).select(
-        "unit_id",
-        F.lit("error").alias("severity"),
-        F.concat(F.lit("source file is not valid UTF-8 "), "location").alias("message"),
-        F.lit(0).alias("line"),
-        F.lit(0).alias("col"),
-    )
-    return diagnostics(tokens(units)).unionByName(bad)
+def _unreadable(message_of: str) -> Column:
+    return F.concat(F.lit("source file is not valid UTF-8 "), message_of)
+
+
+def _token_side(units: DataFrame, nested: bool) -> DataFrame:
+    """unit_id, token_count and diagnostic_count of readable files with tokens, from one pass over the tokens."""
+    out = [
+        F.coalesce(F.max("count"), F.lit(0)).cast("bigint").alias("token_count"),
+        F.count("message").alias("diagnostic_count"),
+    ]
+    if nested:
+        out.append(_ordered("diagnostics", ["line", "col"], DIAGNOSTIC_FIELDS, F.col("message").isNotNull()))
+    return problems(tokens(units)).groupBy("unit_id").agg(*out)
 
 
-def _per_unit(units: DataFrame, nested: bool) -> DataFrame:
+def _per_unit(units: DataFrame, nested: bool, with_elements: bool = True) -> DataFrame:
     """Units with the counts of their parts, and with the parts themselves if ``nested``.
 
-    Tokens are counted where the file is read; elements and diagnostics come hash-
-    partitioned on ``unit_id``, ready for the joins, and each is derived once.
+    Tokens and elements come hash-partitioned on ``unit_id``, ready for the joins, and each is
+    derived once.  An unreadable file has no tokens and one diagnostic, at 0:0.
     """
-    matches = F.size(F.regexp_extract_all("content", F.lit(TOKEN_LEX), F.lit(0)))
-    lead = F.col("content").rlike(r"^(?:\s|--)").cast("int")
-    n_tokens = F.when(F.col("valid_utf8"), matches - lead).otherwise(0).cast("bigint")
+    bad = ~F.col("valid_utf8")
+    rows = units.select("unit_id", "location", "valid_utf8").join(_token_side(units, nested), "unit_id", "left")
+    rows = rows.fillna(0, ["token_count", "diagnostic_count"])
+    rows = rows.withColumn("diagnostic_count", F.when(bad, F.lit(1)).otherwise(F.col("diagnostic_count")).cast("bigint"))
+    if nested:
+        alone = F.struct(F.lit("error").alias("severity"), _unreadable("location").alias("message"), F.lit(0).alias("line"), F.lit(0).alias("col"))
+        alone = F.array(alone).cast(dict(rows.dtypes)["diagnostics"])
+        rows = rows.withColumn("diagnostics", F.when(bad, alone).otherwise(F.col("diagnostics")))
+    if not with_elements:
+        return rows
     in_elements = [F.count("*").alias("element_count")]
-    in_diagnostics = [F.count("*").alias("diagnostic_count")]
     if nested:
         in_elements.append(_ordered("structural_elements", ["elem_no"], ELEMENT_FIELDS))
-        in_diagnostics.append(_ordered("diagnostics", ["line", "col"], DIAGNOSTIC_FIELDS))
-    rows = units.select("unit_id", "location", "valid_utf8", n_tokens.alias("token_count"))
     rows = rows.join(elements(units).groupBy("unit_id").agg(*in_elements), "unit_id", "left")
-    rows = rows.join(all_diagnostics(units).groupBy("unit_id").agg(*in_diagnostics), "unit_id", "left")
-    return rows.fillna(0, ["element_count", "diagnostic_count"])
+    return rows.fillna(0, ["element_count"])
 
 
 ELEMENT_FIELDS = ("kind", "name", "line", "col", "container", "signature")
 DIAGNOSTIC_FIELDS = ("severity", "message", "line", "col")
 
 
-def _ordered(name: str, by: list[str], fields: tuple[str, ...]) -> Column:
+def _ordered(name: str, by: list[str], fields: tuple[str, ...], where: Column | None = None) -> Column:
     """An array of structs of ``fields``, in the order of ``by``."""
     rest = [f for f in fields if f not in by]
-    rows = F.array_sort(F.collect_list(F.struct(*by, *rest)))
+    one = F.struct(*by, *rest)
+    rows = F.array_sort(F.collect_list(one if where is None else F.when(where, one)))
     return F.transform(rows, lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias(name)
 
 
@@ -71,7 +77,7 @@ def _status() -> Column:
 
 
 def _failure() -> Column:
-    return F.when(~F.col("valid_utf8"), F.concat(F.lit("source file is not valid UTF-8 "), "location"))
+    return F.when(~F.col("valid_utf8"), _unreadable("location"))
 
 
 def outcomes(units: DataFrame) -> DataFrame:
@@ -88,6 +94,11 @@ def outcomes(units: DataFrame) -> DataFrame:
     )
 
 
+def statuses(units: DataFrame) -> DataFrame:
+    """unit_id and status alone, for which no elements are derived."""
+    return _per_unit(units, nested=False, with_elements=False).select("unit_id", _status().alias("status"))
+
+
 def job_summary(outcome_rows: DataFrame) -> DataFrame:
     status = F.col("status")
     return outcome_rows.agg(

@@ -1,8 +1,8 @@
 """A corpus of source files derived from ``orders`` and ``lineitem``.
 
-One file per customer, one function per order group of the customer, one snippet per
-line item.  A customer with very many lines gets as many files as needed, so neither a
-file nor the task that builds it grows with one customer's share of the data.
+A fixed number of files per customer, dealt by the order key; one function per order group
+of the file, one snippet per line item.  Nothing depends on how many lines a customer has;
+where one has very many, ``shards`` bounds the files.
 """
 
 from __future__ import annotations
@@ -10,28 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenscan.sources.snippets import DEFECTS, EPILOGUE, FILE_LINES, PRELUDE, SNIPPETS
+from lumenscan.sources.snippets import DEFECTS, EPILOGUE, PRELUDE, SHARDS, SNIPPETS
 
 
-def corpus_lines(spark: SparkSession, sf_dir: str, file_lines: int = FILE_LINES) -> DataFrame:
+def corpus_lines(spark: SparkSession, sf_dir: str, shards: int = SHARDS) -> DataFrame:
     """One row per snippet: custkey, shard, fn and the columns that order it."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     sn = 1 + (F.col("l_partkey") * 31 + F.col("l_suppkey") * 7 + F.col("l_linenumber")) % len(SNIPPETS)
-    mix = F.col("l_orderkey") * 5 + F.col("l_partkey") * 13 + F.col("l_suppkey") * 17 + F.col("l_linenumber")
-    lines = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("custkey"),
         (F.col("o_orderkey") % 3).cast("int").alias("fn"),
+        F.floor(F.col("o_orderkey") / 3 % shards).cast("int").alias("shard"),
         "l_orderkey",
         "l_linenumber",
         sn.cast("int").alias("sn"),
-        mix.alias("mix"),
     )
-    # Counting pre-aggregates before it shuffles.  Only the few large customers join back.
-    large = lines.groupBy("custkey").agg(F.count("*").alias("n_lines")).filter(F.col("n_lines") > file_lines)
-    files = 1 + F.floor((F.coalesce(F.col("n_lines"), F.lit(1)) - 1) / file_lines)
-    shard = (F.col("mix") % files).cast("int")
-    return lines.join(large, "custkey", "left").withColumn("shard", shard).drop("mix", "n_lines")
 
 
 def _function(lines: Column, fn: int, snippets: Column) -> Column:
@@ -41,9 +35,9 @@ def _function(lines: Column, fn: int, snippets: Column) -> Column:
     return F.when(F.size(mine) > 0, F.concat(header, body, F.lit("\nend\n"))).otherwise("")
 
 
-def script_corpus(spark: SparkSession, sf_dir: str, file_lines: int = FILE_LINES) -> DataFrame:
+def script_corpus(spark: SparkSession, sf_dir: str, shards: int = SHARDS) -> DataFrame:
     """``source_units`` of the derived corpus."""
-    lines = corpus_lines(spark, sf_dir, file_lines)
+    lines = corpus_lines(spark, sf_dir, shards)
     entry = F.struct("fn", "l_orderkey", "l_linenumber", "sn")
     files = lines.groupBy("custkey", "shard").agg(F.sort_array(F.collect_list(entry)).alias("lines"))
     snippets = F.array(*[F.lit(s) for s in SNIPPETS])

@@ -57,7 +57,7 @@ def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_steps(df: DataFrame) -> DataFrame:
-    """Step rows from elsewhere: checked, and completed by ``sub_end``.
+    """Step rows from elsewhere: checked, and completed by ``sub_end``, which is never taken as given.
 
     Read backwards, the next step of lower or equal depth ends a subtree.  Depth follows
     from the child counts: a step's subtree is the shortest run of later steps that
@@ -66,9 +66,7 @@ def read_steps(df: DataFrame) -> DataFrame:
     missing = [c for c in STEP_COLUMNS if c not in df.columns]
     if missing:
         raise ValueError(f"step table lacks columns: {missing}")
-    if "sub_end" in df.columns:
-        return df
-    return _with_sub_end(df)
+    return _with_sub_end(df.drop("sub_end"))
 
 
 def _with_sub_end(df: DataFrame) -> DataFrame:
@@ -90,6 +88,15 @@ def _with_sub_end(df: DataFrame) -> DataFrame:
     return rows.filter("_q.asks").drop("_q", "_after", "_before")
 
 
-def write_report(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write a report as JSON lines; null fields are written, not dropped."""
+def write_report(
+    df: DataFrame, path: str, mode: str = "errorifexists", order_by: list[str] | None = None, parts: int | None = None
+) -> None:
+    """Write a report as JSON lines; null fields are written, not dropped.
+
+    With ``order_by`` the files, read in the order of their names, hold the rows in that order:
+    the rows are range-partitioned, so no task sorts more than its part.
+    """
+    if order_by:
+        n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)

@@ -48,6 +48,13 @@ SNIPPETS = (
     "do\n\tlocal q = x\n\tuse(q)\nend",
     "-- end then do [[\nlocal s = [==[ if end ]==]",
     'print("a"); print("b")',
+    "if x then return end wait(1)",
+    "foo() while true do end bar()",
+    "local aa,\n\tbb = 1, 2",
+    "local cfg2: {\n\tn: number\n} = {}",
+    'local z9 = "a\\z\n\tb"',
+    "root\n\t:find(x)\n\t:stop()",
+    "while i < 3 do i += 1 end repeat step(x) until done",
 )
 
 PRELUDE = (
@@ -55,7 +62,7 @@ PRELUDE = (
     "local count\n"
     "type Id = number\n"
     "export type Pair = { a: Id }\n"
-    "local function helper(x) return x end\n"
+    "local function helper<T>(x: ((((T))))): T return x end\n"
 )
 EPILOGUE = "return M\n"
 
@@ -67,5 +74,5 @@ DEFECTS = (
     (29, 3, "call(\n"),
 )
 
-# A customer with more lines than this gets several files.
-FILE_LINES = 2000
+# Files of a customer, by the order key; the same for customers of any size.
+SHARDS = 2

@@ -9,13 +9,38 @@ from __future__ import annotations
 
 import re
 
-from lumenscan.functions.lexicon import KEYWORDS
-from lumenscan.operators.rules import LOOP_CLASSES, RULES
-from lumenscan.operators.sequences import VOID_TAGS
-from lumenscan.sources.snippets import DEFECTS, EPILOGUE, FILE_LINES, PRELUDE, SNIPPETS
+from lumenscan.sources.snippets import DEFECTS, EPILOGUE, PRELUDE, SHARDS, SNIPPETS
 from lumenscan.verification.snippet_steps import SNIPPET_LOCALS, expected_steps
 
 
+# Written out here again, so that a wrong value in the package is seen (fixed values).
+KEYWORDS = (
+    "and", "break", "do", "else", "elseif", "end", "false", "for", "function", "if",
+    "in", "local", "nil", "not", "or", "repeat", "return", "then", "true", "until",
+    "while", "continue", "type", "export", "typeof", "declare", "const", "class", "extends", "with",
+    "extern", "read", "write",
+)
+VOID_TAGS = (
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr",
+)
+LOOP_CLASSES = {
+    "while": "WhileFlowStep", "for_in": "ForInFlowStep",
+    "numeric_for": "NumericForFlowStep", "repeat_until": "RepeatUntilFlowStep",
+}
+RULES = (
+    (1, "empty-function", "info"), (2, "long-function", "warning"), (3, "unreachable", "error"),
+    (4, "deep-nesting", "warning"), (5, "deprecated-api", "warning"), (6, "infinite-loop", "warning"),
+    (7, "empty-then", "warning"), (8, "wait-in-loop", "warning"), (9, "duplicate-condition", "warning"),
+    (10, "identical-actions", "warning"), (11, "nested-loops", "warning"), (12, "self-assignment", "error"),
+    (13, "empty-loop", "warning"), (14, "redundant-condition", "warning"), (15, "complex-condition", "info"),
+    (16, "nested-closures", "warning"), (17, "magic-numbers", "info"), (18, "global-variable", "error"),
+    (19, "instance-in-loop", "warning"), (20, "getchildren-in-loop", "warning"), (21, "unprotected-remote", "error"),
+    (22, "connect-leak", "warning"), (23, "yield-in-critical", "error"), (24, "pcall-ignored-result", "warning"),
+    (25, "infinite-yield-risk", "warning"), (26, "remote-spam", "warning"), (27, "task-spawn-storm", "warning"),
+    (28, "require-in-loop", "warning"), (29, "event-reconnect-loop", "warning"), (30, "unsafe-tonumber", "info"),
+)
+
+
 def lit(value) -> str:
     if value is None:
         return "NULL"
@@ -58,22 +83,18 @@ def _corpus() -> list[str]:
         f"""li AS (
           SELECT o_custkey AS custkey, CAST(o_orderkey % 3 AS INT) AS fn, l_orderkey, l_linenumber,
                  CAST(1 + (l_partkey * 31 + l_suppkey * 7 + l_linenumber) % {len(SNIPPETS)} AS INT) AS sn,
-                 l_orderkey * 5 + l_partkey * 13 + l_suppkey * 17 + l_linenumber AS mix
+                 CAST(floor(o_orderkey / 3 % {SHARDS}) AS INT) AS shard
           FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
-        "cnt AS (SELECT custkey, count(*) AS n FROM li GROUP BY custkey)",
-        f"""placed AS (
-          SELECT li.*, CAST(mix % (1 + CASE WHEN n > {FILE_LINES} THEN (n - 1) // {FILE_LINES} ELSE 0 END) AS INT) AS shard
-          FROM li JOIN cnt USING (custkey))""",
         """line AS (
           SELECT 'src/c' || custkey || CASE WHEN shard > 0 THEN '_' || shard ELSE '' END || '.luau' AS unit_id,
                  custkey, fn, sn,
                  row_number() OVER (PARTITION BY custkey, shard, fn ORDER BY l_orderkey, l_linenumber, sn) AS seq
-          FROM placed)""",
+          FROM li)""",
         """fbody AS (
           SELECT unit_id, custkey, fn, string_agg(txt, chr(10) ORDER BY seq) AS body, CAST(sum(n_lines) AS INT) AS n_lines
           FROM line JOIN snip USING (sn) GROUP BY ALL)""",
         """fn0 AS (
-          SELECT unit_id, 0 AS ord, 'helper' AS fn_name, 'local function helper(x)' AS signature, NULL AS fn, 5 AS fline
+          SELECT unit_id, 0 AS ord, 'helper' AS fn_name, 'local function helper<T>(x: ((((T)))))' AS signature, NULL AS fn, 5 AS fline
           FROM (SELECT DISTINCT unit_id FROM fbody)
           UNION ALL
           SELECT unit_id, 1 + fn, 'M.f' || custkey || '_' || fn, 'function M.f' || custkey || '_' || fn || '(x)', fn,
@@ -284,7 +305,7 @@ def _findings(only: str | None = None) -> str:
 
 _WORD = r"[A-Za-z_][A-Za-z0-9_]*"
 _NUM = r"0[xX][0-9a-fA-F_]+|0[bB][01_]+|[0-9][0-9_]*(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
-_STR = r'"(?:[^"\\\n]|\\.)*"?'
+_STR = r'"(?:[^"\\\n]|\\z\s*|\\.)*"?'
 _LONG = r"\[\[(?:[^\]])*\]\]|\[==\[(?:[^\]])*\]==\]"
 _OPS = r"\.\.\.|\.\.=|//=|==|~=|<=|>=|\.\.|//|->|::|\+=|-=|\*=|/=|%=|\^=|[-+*/%^#&|~<>=:;,.?@]"
 _SPACE = r"\s+|--[^\n]*"
@@ -365,7 +386,7 @@ _ELEMENTS = """elem0 AS (
   SELECT unit_id, kind, name, line, col, container, signature FROM unit, (VALUES
     ('constant', 'M', 1, 0, NULL, 'local M'), ('variable', 'count', 2, 0, NULL, 'local count'),
     ('type_alias', 'Id', 3, 0, NULL, 'type Id'), ('type_alias', 'Pair', 4, 0, NULL, 'export type Pair'),
-    ('local_function', 'helper', 5, 0, NULL, 'local function helper(x)')) p(kind, name, line, col, container, signature)
+    ('local_function', 'helper', 5, 0, NULL, 'local function helper<T>(x: ((((T)))))')) p(kind, name, line, col, container, signature)
   UNION ALL
   SELECT unit_id, 'function', fn_name, line, 0, NULL, signature FROM fns WHERE fn_no > 0
   UNION ALL
@@ -373,7 +394,7 @@ _ELEMENTS = """elem0 AS (
   FROM pos p JOIN slocal s USING (sn)),
 elem AS (
   SELECT unit_id, CAST(row_number() OVER (PARTITION BY unit_id ORDER BY line, col,
-         CASE name WHEN 'ok' THEN 0 WHEN 'err' THEN 1 ELSE 0 END) AS INT) AS elem_no, * EXCLUDE (unit_id) FROM elem0)"""
+         CASE name WHEN 'ok' THEN 0 WHEN 'err' THEN 1 WHEN 'bb' THEN 1 ELSE 0 END) AS INT) AS elem_no, * EXCLUDE (unit_id) FROM elem0)"""
 
 _STATS = """stats AS (
   SELECT u.unit_id, u.unit_id AS location, t.n AS token_count, coalesce(e.n, 0) AS element_count, coalesce(d.n, 0) AS diagnostic_count
@@ -420,9 +441,9 @@ def oracle() -> dict[str, str]:
         "steps": _with(corpus, f"SELECT {STEP_COLUMNS} FROM steps"),
         "skip_return_type": _with(corpus, f"SELECT {STEP_COLUMNS} FROM steps"),
         "statements": _with(corpus, "SELECT unit_id, fn_no, step_no AS stmt_no, line FROM steps"),
-        "compact_label": _with(corpus, "SELECT unit_id, fn_no, step_no, CASE WHEN length(coalesce(label, condition, header)) > 60 "
-                               "THEN left(coalesce(label, condition, header), 59) || '...' ELSE coalesce(label, condition, header) END "
-                               "AS shown FROM steps"),
+        "compact_label": _with(corpus, "SELECT unit_id, fn_no, step_no, " + ", ".join(
+            f"CASE WHEN length(coalesce(label, condition, header)) > {n} THEN left(coalesce(label, condition, header), {n - 1}) || '...' "
+            f"ELSE coalesce(label, condition, header) END AS {name}" for n, name in ((60, "shown"), (96, "shown_96"))) + " FROM steps"),
         "step_context": _with(context, "SELECT unit_id, fn_no, step_no, kind, in_loop, if_depth, loop_depth, closure_depth FROM ctx"),
         "total_steps": _with(corpus, "SELECT unit_id, fn_no, fn_name, count(*) AS n_steps FROM steps GROUP BY ALL"),
         "max_depth": _with(context, f"SELECT unit_id, fn_no, fn_name, max(depth + CASE WHEN kind IN {CONTAINERS} THEN 1 ELSE 0 END) "
@@ -464,6 +485,10 @@ def oracle() -> dict[str, str]:
         "decode_source": """SELECT 'doc' || doc_id AS unit_id, doc_id % 7 <> 0 AS valid_utf8,
             CASE WHEN doc_id % 7 <> 0 THEN length(text) END AS n_chars, CASE WHEN doc_id % 7 <> 0 THEN sha256(text) END AS sha2
             FROM documents""",
+        "lossless_documents": """SELECT CAST(doc_id AS VARCHAR) AS unit_id, true AS same, length(text) AS n_chars, sha256(text) AS sha2,
+            length(text) > 0 AS has_lexemes FROM documents""",
+        "lossless_pages": """SELECT CAST(page_id AS VARCHAR) AS unit_id, true AS same, length(html) AS n_chars, sha256(html) AS sha2,
+            length(html) > 0 AS has_lexemes FROM pages""",
         "read_steps": _with(corpus, "SELECT unit_id, fn_no, step_no, sub_end FROM steps"),
     }
     for op, kinds in (
@@ -478,16 +503,28 @@ def oracle() -> dict[str, str]:
         ("steps_while", "kind = 'while'"),
         ("steps_for", "kind IN ('for_in', 'numeric_for')"),
         ("steps_repeat", "kind = 'repeat_until'"),
-        ("steps_do_splice", "label IN ('local q = x', 'use(q)')"),
+        ("steps_do_splice", "(unit_id, fn_no) IN (SELECT unit_id, fn_no FROM pos WHERE sn = 42)"),
         ("steps_closure", "kind = 'closure'"),
     ):
         out[op] = _with(corpus, f"SELECT {STEP_COLUMNS} FROM steps WHERE {where}")
     for _, rule, _ in RULES:
-        out[f"findings_{rule}"] = _with([*context, _TOTALS, _findings(rule)], "SELECT * FROM finding")
+        out[f"findings_{rule}"] = _one_rule(rule, corpus)
     out.update(_sequences())
     return out
 
 
+_FAR = re.compile(r"\b(in_loop|(loop|if|closure|dead|critical|frame)_depth|has_exit|has_check)\b")
+
+
+def _one_rule(rule: str, corpus: list[str]) -> str:
+    """The findings of one rule, from no more tables than it reads: ancestors and subtrees only where it names them."""
+    if rule in [name for name, *_ in _FUNCTION_RULES]:
+        return _with([*corpus, _TOTALS, _findings(rule)], "SELECT * FROM finding")
+    far = any(_FAR.search(" ".join(parts)) for name, *parts in _ROW_RULES if name == rule)
+    context = _CONTEXT if far else [*_CONTEXT[:3], "ctx AS (SELECT * FROM sib2)"]
+    return _with([*corpus, *context, _findings(rule)], "SELECT * FROM finding")
+
+
 def _sequences() -> dict[str, str]:
     void = ", ".join(lit(t) for t in VOID_TAGS)
     tags = [
@@ -505,6 +542,9 @@ def _sequences() -> dict[str, str]:
             SELECT doc_id, line_no, line FROM prev WHERE p = line""",
         "adjacent_duplicates_turns": """WITH prev AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p
             FROM conversations) SELECT conv_id, turn, role FROM prev WHERE p = role""",
+        "adjacent_duplicates_initials": """WITH prev AS (SELECT conv_id, turn, lower(substr(text, 1, 1)) AS initial,
+              lag(lower(substr(text, 1, 1))) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)
+            SELECT conv_id, turn, initial FROM prev WHERE p = initial""",
         "adjacent_duplicates_events": """WITH prev AS (SELECT user_id, event_id, event_type, lag(event_type) OVER
               (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
             SELECT user_id, event_id, event_type FROM prev WHERE p = event_type""",

@@ -60,6 +60,13 @@ SNIPPET_STEPS = (
     [act("local q = x"), act("use(q)")],
     [act("local s = [==[ if end ]==]")],
     [act('print("a")'), act('print("b")')],
+    [when("x", [act("return")]), act("wait(1)")],
+    [act("foo()"), loop_while("true"), act("bar()")],
+    [act("local aa, bb = 1, 2")],
+    [act("local cfg2: { n: number } = {}")],
+    [act('local z9 = "a\\z b"')],
+    [act("root :find(x) :stop()")],
+    [loop_while("i < 3", act("i += 1")), loop_until("done", act("step(x)"))],
 )
 
 # Line of each step behind the snippet's first line, in preorder.
@@ -83,6 +90,9 @@ SNIPPET_LOCALS = {
     36: [("constant", "lib", 1, 1)],
     42: [("constant", "q", 1, 1)],
     43: [("constant", "s", 1, 0)],
+    47: [("constant", "aa", 0, 0), ("constant", "bb", 0, 0)],
+    48: [("constant", "cfg2", 0, 0)],
+    49: [("constant", "z9", 0, 0)],
 }
 
 

@@ -32,54 +32,83 @@ def groups(events):
     return out
 
 
-LARGE = [10**6, 25]
+WIDTHS = [None, 40, 1]
 
 
-@pytest.mark.parametrize("large", LARGE)
-def test_adjacent_duplicates(frame, events, large):
+def bucket(width):
+    return None if width is None else F.floor(F.col("pos") / width)
+
+
+@pytest.mark.parametrize("width", WIDTHS)
+def test_adjacent_duplicates(frame, events, width):
     want = [b[:2] for g in groups(events).values() for a, b in zip(g, g[1:]) if a[2] == b[2]]
-    got = sq.adjacent_duplicates(frame, ["key"], ["pos"], "value", large=large).collect()
+    got = sq.adjacent_duplicates(frame, ["key"], ["pos"], "value", bucket=bucket(width)).collect()
     assert sorted((r["key"], r["pos"]) for r in got) == sorted(want)
 
 
-@pytest.mark.parametrize("large", LARGE)
+@pytest.mark.parametrize("width", WIDTHS)
 @pytest.mark.parametrize("first_only", [True, False])
-def test_after_terminator(frame, events, large, first_only):
+def test_after_terminator(frame, events, width, first_only):
     want = []
     for g in groups(events).values():
         ends = [i for i, r in enumerate(g) if r[2] == "c"]
         if ends:
             behind = g[ends[0] + 1 :]
             want += [r[:2] for r in (behind[:1] if first_only else behind)]
-    got = sq.after_terminator(frame, ["key"], ["pos"], F.col("value") == "c", first_only, large=large).collect()
+    got = sq.after_terminator(frame, ["key"], ["pos"], F.col("value") == "c", first_only, bucket=bucket(width)).collect()
     assert sorted((r["key"], r["pos"]) for r in got) == sorted(want)
 
 
-@pytest.mark.parametrize("large", LARGE)
-def test_nesting_depth(frame, events, large):
+@pytest.mark.parametrize("width", WIDTHS)
+def test_nesting_depth(frame, events, width):
     want = []
     for g in groups(events).values():
         depth = 0
         for r in g:
             depth += r[3]
             want.append((r[0], r[1], depth))
-    got = sq.nesting_depth(frame, ["key"], ["pos"], F.col("delta"), large=large).collect()
+    got = sq.nesting_depth(frame, ["key"], ["pos"], F.col("delta"), bucket=bucket(width)).collect()
     assert sorted((r["key"], r["pos"], r["depth"]) for r in got) == sorted(want)
 
 
-@pytest.mark.parametrize("large", LARGE)
-def test_inside_block(spark, frame, events, large):
+@pytest.mark.parametrize("width", WIDTHS)
+def test_inside_block(spark, frame, events, width):
     blocks = [(0, 100, 400), (0, 300, 500), (5, 0, 800), (7, 10, 10)]
     table = spark.createDataFrame(blocks, "key int, start int, end int")
-    got = sq.inside_block(frame, table, ["key"], large=large).collect()
+    got = sq.inside_block(frame, table, ["key"], width=width).collect()
     want = sorted((k, p, sum(b[0] == k and b[1] < p <= b[2] for b in blocks)) for k, p, _, _ in events)
     assert sorted((r["key"], r["pos"], r["n_blocks"]) for r in got) == want
 
 
-def test_large_keys_are_split(frame):
-    parts = sq.split_large(frame, ["key"], ["pos"], 25).filter("key = 0").groupBy(sq.PART).count().collect()
-    assert len(parts) > 50
-    assert sq.split_large(frame, ["key"], ["pos"], 1000).filter(f"{sq.PART} is not null").count() == 0
+def test_a_large_key_is_many_window_tasks(spark, frame):
+    plan = spark.range(0, 4000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("key"), F.col("id").alias("pos"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        out = sq.nesting_depth(plan.withColumn("d", F.lit(1)), ["key"], ["pos"], F.col("d"), F.floor(F.col("pos") / 100))
+        rows = sq._bucketed(plan, ["key"], F.floor(F.col("pos") / 100)).filter("key = 0").groupBy(F.spark_partition_id()).count().collect()
+        # The window runs on the exchange by key and bucket; no exchange by the key alone is below it.
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert len(rows) > 8 and max(r["count"] for r in rows) < 700
+        window = text[text.index("Window") :]
+        assert "hashpartitioning(key" in window and "_bucket" in window[window.index("hashpartitioning(key") :][:80]
+        got = {r["pos"]: r["depth"] for r in out.filter("key = 0").collect()}
+        assert got == {p: i + 1 for i, p in enumerate(range(0, 4000, 2))}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_null_keys_strings_and_ties(spark):
+    rows = [(None, "a", 1, "x"), (None, "b", 1, "x"), (1, "a", 2, "y"), (1, "c", 2, "z"), (1, "c", 3, "z")]
+    df = spark.createDataFrame(rows, "key int, pos string, tie int, value string")
+    for b in (None, F.substring("pos", 1, 1)):
+        got = sq.adjacent_duplicates(df, ["key"], ["pos", "tie"], "value", b).collect()
+        assert sorted((str(r["key"]), r["pos"], r["tie"]) for r in got) == [("1", "c", 3), ("None", "b", 1)]
+
+
+def test_nested_blocks_pair_by_level(spark):
+    rows = [(1, 0, 1), (1, 1, 1), (1, 2, -1), (1, 3, -1), (1, 4, -1), (1, 5, 1), (2, 0, 1), (2, 1, 1), (2, 2, -1)]
+    got = sq.level_pairs(spark.createDataFrame(rows, "key int, pos int, delta int"), ["key"], "pos", "delta").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 3), (1, 1, 2), (2, 1, 2)]
 
 
 def test_group_missing_partner(frame, events):
