@@ -84,8 +84,10 @@ def levels(rows: DataFrame, also: Sequence[Column] = ()) -> DataFrame:
     # open is a walk that never goes below zero: its sum less the lowest sum so far.
     # Headers that follow each other on a line, as `if a then if b then 1`, are all of the
     # kind of the first.
-    inner = is_kind(k, "if") & F.coalesce(is_kind(F.col("_k"), "if") & F.col("_whole") & ~F.col("prev_nl"), F.lit(False))
-    first_led = F.last(F.when(~inner, F.col("led") > 0), ignorenulls=True).over(file.to)
+    headed = is_kind(F.col("_k"), "then") | (is_kind(F.col("_k"), "if") & F.col("_whole"))
+    inner = is_kind(k, "if") & F.coalesce(headed & ~F.col("prev_nl"), F.lit(False))
+    leads_on = (F.col("led") == 1) | ((F.col("led") == 2) & ~F.coalesce("prev_nl", F.lit(False)))
+    first_led = F.last(F.when(is_kind(k, "if") & ~inner, leads_on), ignorenulls=True).over(file.to)
     rows = rows.withColumn("_first_led", first_led)
     value_if = is_kind(k, "if") & F.col("_first_led")
     chained = is_kind(k, "if") & F.coalesce(is_kind(F.col("_k"), "else") & ~F.col("prev_nl"), F.lit(False))
