@@ -13,28 +13,38 @@ def in_file() -> Ordered:
     return ordered(["unit_id"], ["n"])
 
 
-def by_unit(units: DataFrame) -> DataFrame:
+# Text of a partition; a task holds about ten times as much in lexemes.
+PARTITION_BYTES = 32 << 20
+
+
+def text_partitions(units: DataFrame) -> int:
+    """Partitions for ``units``, a stored table: PARTITION_BYTES of text each, and no fewer than the session's."""
+    size = units.agg(F.sum(F.octet_length("content").cast("bigint"))).first()[0] or 0
+    return max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+
+
+def by_unit(units: DataFrame, partitions: int | None = None) -> DataFrame:
     """The readable units, hash-partitioned on ``unit_id``.
 
     This is the only shuffle of the corpus, and it moves text rather than lexemes:
     exploding keeps the partitioning, so every later window finds its rows in place.  The
     number of partitions is stated because adaptive coalescing would size them by the
-    text, not by the ten times larger lexemes.
+    text, not by the ten times larger lexemes; ``text_partitions`` derives it from the size.
     """
-    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if "valid_utf8" in units.columns:
         units = units.filter("valid_utf8")
     return units.select("unit_id", "content").repartition(n, "unit_id")
 
 
-def cut(units: DataFrame, pattern: str) -> DataFrame:
+def cut(units: DataFrame, pattern: str, partitions: int | None = None) -> DataFrame:
     """One row per match, in place: unit_id, n, raw (with trailing trivia), text."""
     content = F.col("content")
     pairs = F.arrays_zip(
         F.regexp_extract_all(content, F.lit(pattern), F.lit(0)).alias("raw"),
         F.regexp_extract_all(content, F.lit(pattern), F.lit(1)).alias("text"),
     )
-    rows = by_unit(units).select("unit_id", F.posexplode(pairs).alias("n", "p"))
+    rows = by_unit(units, partitions).select("unit_id", F.posexplode(pairs).alias("n", "p"))
     rows = rows.select("unit_id", "n", "p.raw", "p.text")
     return rows.withColumn("nl", F.contains("raw", F.lit("\n")))
 

@@ -40,10 +40,10 @@ _LED_CODE, _RETURN_CODE, _WORD_CODE = 1, 2, 3
 K = lambda *names: is_kind(F.col("k"), *names)
 
 
-def scan(units: DataFrame) -> DataFrame:
+def scan(units: DataFrame, partitions: int | None = None) -> DataFrame:
     """Scan lexemes with their depths; ``raw`` less ``trail`` characters is the text."""
     text, file = F.col("text"), in_file().all
-    rows = kinds(cut(units, lx.SCAN_LEX)).select(
+    rows = kinds(cut(units, lx.SCAN_LEX, partitions)).select(
         "*",
         (F.length("raw") - F.length("text")).alias("trail"),
         F.when(text == "local", 2).when(text.rlike(_LOCAL), 1).otherwise(0).alias("local"),
@@ -68,10 +68,10 @@ def _own_kind(*names: str) -> Column:
     return F.floor(F.col("own") % 64 / 2).isin(*[code(n) for n in names])
 
 
-def statements(units: DataFrame) -> DataFrame:
+def statements(units: DataFrame, partitions: int | None = None) -> DataFrame:
     """Scan lexemes with ``is_start`` and, for block openers, owner and closer."""
     level, file = on_level(), in_file().all
-    rows = scan(units).withColumn("br_before", F.col("br") - bracket_step(F.col("k")))
+    rows = scan(units, partitions).withColumn("br_before", F.col("br") - bracket_step(F.col("k")))
     rows = rows.select("*", *[F.lag(c).over(file).alias(f"prev_{c}") for c in ("line", "col")])
     first_in_block = (F.col("prev_opens") == 1) & (F.col("closes") == 0)
     heads = K("if", "elseif", "while", "for") & ~F.col("whole")
@@ -233,14 +233,14 @@ def _mark(*names: str) -> Column:
     return F.coalesce(F.col("mark").isin(*[_MARKS[n] for n in names]), F.lit(False))
 
 
-def outline(units: DataFrame, min_closure_chars: int = MIN_CLOSURE_CHARS) -> DataFrame:
+def outline(units: DataFrame, min_closure_chars: int = MIN_CLOSURE_CHARS, partitions: int | None = None) -> DataFrame:
     """Functions (``kind = 'function'``) and steps of every file, in one table.
 
     ``functions`` and ``steps`` are projections of it; write it once where both are needed.
     Closures whose body has at least ``min_closure_chars`` characters become steps; shorter
     ones stay in the text of their statement, and 0 makes steps of all.
     """
-    rows = _places(_events(_roles(statements(units), min_closure_chars)))
+    rows = _places(_events(_roles(statements(units, partitions), min_closure_chars)))
     ev, cont = F.col("ev"), F.col("cont")
     kept = (F.col("dropped") == 0) & (F.col("nested") > 0)
     link_end = cont & kept & (ev == -1) & ~is_kind(F.col("closer_k"), "elseif")

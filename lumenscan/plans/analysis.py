@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
+from lumenscan.operators.lexing import text_partitions
 from lumenscan.operators.outline import MIN_CLOSURE_CHARS, functions_of, outline, steps_of
 from lumenscan.operators.rules import findings
 from lumenscan.session import write_stage
@@ -34,7 +35,7 @@ class Analysis:
 
     @cached_property
     def outline(self) -> DataFrame:
-        return write_stage(outline(self.units, self._min_closure_chars), "outline")
+        return write_stage(outline(self.units, self._min_closure_chars, text_partitions(self.units)), "outline")
 
     @property
     def functions(self) -> DataFrame:
