@@ -50,11 +50,15 @@ def fit(docs: DataFrame, labels: DataFrame, steps: int = 200) -> Model:
     known = known.filter(~held_out(F.col("id"))).select("id", "y")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     base = counts.get(1, 0) / max(sum(counts.values()), 1)
-    text = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    joined = known.join(text, "id").select("y", "id", "text")
-    sample = []
+    # Only ids and lengths are shuffled to choose the sample; its ids are few, so they go to the texts.
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    usable = known.join(rows.select("id").distinct(), "id", "left_semi")
+    chosen = None
     for y, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
-        sample += joined.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id", "text").limit(most).collect()  # bounded
+        part = usable.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    texts = rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    sample = sorted(texts.collect(), key=lambda r: (r["y"], r["id"]))  # bounded by SAMPLE_*
     if len({r["y"] for r in sample}) < 2:
         return Model(None, min(base, 0.49))
     return Model(train([r["text"] for r in sample], [r["y"] for r in sample], WINDOW, steps), min(base, 0.49))
