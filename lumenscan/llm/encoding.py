@@ -17,13 +17,16 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct pieces that a Python worker remembers between batches, and the longest one of them.
-CACHE_PIECES, CACHE_CHARS = 300_000, 24
+#: Distinct pieces of one of the two generations that a Python worker remembers, and the longest one of them.
+CACHE_PIECES, CACHE_CHARS = 250_000, 24
+#: A word that stands between others when many are encoded as one text, and how many those are.
+MARK, JOINED = "0", 200
 #: Pieces of texts with unusual white space are at least this long.
 SAFE_CHARS = 4096
 
@@ -54,12 +57,19 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _ids(found: list, lengths_only: bool) -> list:
+    return found if lengths_only else [e.ids for e in found]
+
+
 class PieceEncoder:
     """Encodes batches of texts; ``kind`` is ``word`` or ``byte``."""
 
     def __init__(self, path: str, kind: str, lengths_only: bool = False):
         self.path, self.kind, self.lengths_only = path, kind, lengths_only
         self._known: dict[str, int | list[int]] = {}
+        self._older: dict[str, int | list[int]] = {}
+        mark = _tokenizer(path).encode(MARK, add_special_tokens=False).ids
+        self._mark = mark[0] if len(mark) == 1 else None
 
     def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """All pieces of ``texts`` and where those of each text begin."""
@@ -74,17 +84,48 @@ class PieceEncoder:
 
     def _encode(self, distinct: list[str]) -> list:
         """The ids, or their number, of each distinct piece."""
-        known = self._known
-        new = [p for p in distinct if p not in known]
-        fresh: dict[str, int | list[int]] = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for piece, found in zip(part, _tokenizer(self.path).encode_batch_fast(part, add_special_tokens=False)):
-                fresh[piece] = len(found) if self.lengths_only else found.ids
-        out = [fresh[p] if p in fresh else known[p] for p in distinct]
-        if len(known) + len(fresh) > CACHE_PIECES:
-            known.clear()
-        known.update((p, v) for p, v in fresh.items() if len(p) <= CACHE_CHARS)
+        known, older = self._known, self._older
+        out = list(map(known.get, distinct))
+        missing = [i for i, found in enumerate(out) if found is None]
+        new = []
+        for i in missing:
+            found = older.get(distinct[i])
+            if found is None:
+                new.append(i)
+            else:
+                out[i] = known[distinct[i]] = found
+        for i, found in zip(new, self._fresh([distinct[i] for i in new])):
+            out[i] = len(found) if self.lengths_only else found
+            if len(distinct[i]) <= CACHE_CHARS:
+                known[distinct[i]] = out[i]
+        if len(known) > CACHE_PIECES:  # pieces of the older generation that are not met again are forgotten
+            self._known, self._older = {}, known
+        return out
+
+    def _fresh(self, pieces: list[str]) -> list:
+        """The ids of each piece.
+
+        Words without the mark in them are encoded many at a time as one text with the mark
+        between them, which is cheaper for the library and gives the same ids.
+        """
+        run = _tokenizer(self.path).encode_batch_fast
+        if self.kind != "word" or self._mark is None:
+            return [e for at in range(0, len(pieces), 20_000) for e in _ids(run(pieces[at : at + 20_000], add_special_tokens=False), self.lengths_only)]
+        out: list = [None] * len(pieces)
+        joined = [i for i, p in enumerate(pieces) if MARK not in p]
+        alone = [i for i, p in enumerate(pieces) if MARK in p]
+        for at in range(0, len(joined), 100 * JOINED):
+            groups = [joined[g : g + JOINED] for g in range(at, min(at + 100 * JOINED, len(joined)), JOINED)]
+            texts = [f" {MARK} ".join([pieces[i] for i in group]) for group in groups]
+            for group, found in zip(groups, run(texts, add_special_tokens=False)):
+                begin, ids = 0, found.ids
+                for i in group[:-1]:
+                    end = ids.index(self._mark, begin)
+                    out[i] = ids[begin:end]
+                    begin = end + 1
+                out[group[-1]] = ids[begin:]
+        for i, found in zip(alone, _ids(run([pieces[i] for i in alone], add_special_tokens=False), False)):
+            out[i] = found
         return out
 
     def _distinct(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
@@ -108,8 +149,8 @@ class PieceEncoder:
             found.append([end_id])
             index = np.insert(index, offsets[1:], len(found) - 1)
             offsets = offsets + np.arange(len(offsets))
-        each = np.array([len(x) for x in found], np.int64)
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(each.sum()))
+        each = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(each.sum()))
         begins = np.concatenate(([0], np.cumsum(each)))[:-1]
         counts = each[index]
         ends = np.concatenate(([0], np.cumsum(counts)))

@@ -33,7 +33,7 @@ def widen(stored: bytes) -> np.ndarray:
     return np.frombuffer(stored, "<u2" if stored[0] == 2 else "<u4", offset=1).astype("<u4")
 
 
-def encoded(docs: DataFrame, tokenizer: str, kind: str, end_id: int, batch_bytes: int = 4 << 20) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, kind: str, end_id: int, batch_bytes: int = 8 << 20) -> DataFrame:
     """The ids of each document, written once: doc_id, part, local_start (ids before it in its part), n, ids.
 
     A part is one task of this job; it is written with its running sums, so later readers may
