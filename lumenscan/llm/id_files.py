@@ -75,7 +75,7 @@ def write_id_files(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, part, block, place, before = encoder(tokenizer, kind), None, 0, 0, 0
-        for batch in by_bytes(batches, "text", 1 << 20):
+        for batch in by_bytes(batches, "text", 8 << 20):
             part = batch.column("part")[0].as_py()
             ids, bounds = run.ids(batch.column("text"), end_id)
             doc_ids, out = batch.column("doc_id").to_pylist(), []

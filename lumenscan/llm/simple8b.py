@@ -13,22 +13,36 @@ _BODY = np.uint64(2**60 - 1)
 _COUNTS = np.array([0, *(n for n, _ in SELECTORS), 1], np.int64)
 
 
+_SHORT = np.array([n.bit_length() for n in range(1 << 16)], np.uint8)
+
+
+def _widths(values: np.ndarray) -> np.ndarray:
+    """The bits that each value needs."""
+    out = _SHORT[values & np.uint64(0xFFFF)]
+    for shift in (16, 32, 48):
+        rest = (values >> np.uint64(shift)) & np.uint64(0xFFFF)
+        if rest.any():
+            out = np.where(rest > 0, _SHORT[rest] + np.uint8(shift), out)
+    return out
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words and the escapes of ``values`` (uint64). Each word takes as many values as fit."""
     values = np.ascontiguousarray(values, np.uint64)
     total = len(values)
     if not total:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    # The width of the widest of the next 1, 2, 4, ... values; past the end stand zeros, which fit anywhere.
+    widest = {1: np.concatenate((_widths(values), np.zeros(60, np.uint8)))}
+    for span in (1, 2, 4, 8, 16):
+        have = widest[span]
+        widest[2 * span] = np.maximum(have[: len(have) - span], have[span:])
     choice = np.full(total, ESCAPE, np.uint8)
-    places = np.arange(total)
     for selector in range(len(SELECTORS), 0, -1):
         count, bits = SELECTORS[selector - 1]
-        large = np.flatnonzero(values >> np.uint64(bits))
-        if len(large) == total:
-            continue
-        # Where the next value that does not fit stands; past the end all are zeros, which fit.
-        following = np.append(large, total + count)[np.searchsorted(large, places)] if len(large) else total + count
-        choice[following - places >= count] = selector
+        have = widest[span := 1 << (count.bit_length() - 1)]
+        most = np.maximum(have[:total], have[count - span : count - span + total])
+        choice[most <= bits] = selector
     step, at, begins = _COUNTS[choice].tolist(), 0, []
     while at < total:
         begins.append(at)
