@@ -20,7 +20,7 @@ from lumenscan.verification.oracle import oracle
 
 try:
     from lumenscan.llm import queries as llm
-except ModuleNotFoundError as error:
+except ImportError as error:
     if error.name not in ("lumenscan.llm", "corpus_pipeline"):
         raise
     llm = None
