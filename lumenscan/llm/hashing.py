@@ -16,7 +16,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """XXH64 of words (text or bytes), each computed once while it is remembered."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

@@ -14,7 +14,7 @@ WORDS, GRAMS = 1 << 15, 1 << 14
 #: Characters of a token; longer words are several tokens.
 TOKEN_CHARS = 24
 #: Tokens whose projections a worker remembers.
-KNOWN_TOKENS = 150_000
+KNOWN_TOKENS = 50_000
 
 
 def tokens_of(text: str) -> list[str]:
