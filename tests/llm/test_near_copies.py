@@ -240,3 +240,24 @@ def test_similar_groups_of_odd_documents(odd_docs, no_docs):
     kept = similar.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() == len({(c, t if c is None else "") for (_, t), (_, c) in zip(ODD, want)})
     assert similar.keep_one(no_docs).collect() == [] and similar.similar_groups(no_docs).collect() == []
+
+
+def passage_edits():
+    """Texts of 300 words with a copy each: a part of the end replaced, added, cut off, or a part of the middle replaced."""
+    draw = np.random.default_rng(6)
+    words, rows = [f"word{i}" for i in range(5000)], []
+    for n in range(200):
+        base, share = [str(w) for w in draw.choice(words, 300)], float(draw.uniform(0.02, 0.19))
+        new = [str(w) for w in draw.choice(words, int(300 * share / (2 if n % 4 in (0, 3) else 1)))]
+        copy = [base[: 300 - len(new)] + new, base + new, base[: 300 - len(new)], base[:100] + new + base[100 + len(new) :]][n % 4]
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(copy))]
+    return rows
+
+
+def test_similar_groups_find_copies_with_changed_passages(docs_of):
+    rows = passage_edits()
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(docs_of(rows)).collect()}
+    sets = [shingles(t) for _, t in rows]
+    alike = [i for i in range(0, len(rows), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert len(alike) > 150
+    assert [i for i in alike if got[i + 1] != i] == []
