@@ -261,3 +261,21 @@ def test_similar_groups_find_copies_with_changed_passages(docs_of):
     alike = [i for i in range(0, len(rows), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
     assert len(alike) > 150
     assert [i for i in alike if got[i + 1] != i] == []
+
+
+@pytest.mark.parametrize("tile", [16, 1024])
+def test_similar_groups_whole_in_a_family(docs_of, monkeypatch, tile):
+    """Texts of one template in which planted pairs are alike by 0.95 and all others by less than 0.8."""
+    monkeypatch.setattr(similar, "TILE", tile)
+    draw = np.random.default_rng(8)
+    frame, rows = [f"t{i}" for i in range(200)], []
+    for n in range(150):
+        base = list(frame)
+        for at in range(5, 200, 25):
+            base[at] = f"s{n}x{at}"
+        copy = list(base)
+        copy[199] = f"z{n}"
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(copy))]
+    draw.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(docs_of([(int(i), str(t)) for i, t in rows])).collect()}
+    assert got == {i: i - i % 2 for i in range(300)}
