@@ -263,6 +263,18 @@ def test_similar_groups_find_copies_with_changed_passages(docs_of):
     assert [i for i in alike if got[i + 1] != i] == []
 
 
+def test_similar_groups_at_the_threshold(docs_of):
+    """Copies alike by exactly 0.8 are linked, those of one shingle more are not."""
+    draw = np.random.default_rng(7)
+    rows = []
+    for n in range(80):
+        base = [f"w{x}" for x in draw.integers(0, 1 << 40, 204)]
+        more = [f"w{x}" for x in draw.integers(0, 1 << 40, 50 + n % 2)]  # 200 of 250 shingles are 0.8, 200 of 251 are less
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(base + more))]
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(docs_of(rows)).collect()}
+    assert got == {i: i - i % 2 if i // 2 % 2 == 0 else i for i in range(160)}
+
+
 @pytest.mark.parametrize("tile", [16, 1024])
 def test_similar_groups_whole_in_a_family(docs_of, monkeypatch, tile):
     """Texts of one template in which planted pairs are alike by 0.95 and all others by less than 0.8."""
