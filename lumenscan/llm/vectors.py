@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by sorted projection passes."""
+"""Near-duplicate vectors by sorted projection passes, and their exact links inside each component."""
 
 from __future__ import annotations
 
@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from lumenscan.llm.components import components
 from lumenscan.llm.links import spanning
+from lumenscan.llm.tiles import pieces, tiled
 from lumenscan.session import write_stage
 
 #: Blocks per task group; the first block of the next group comes along.
 GROUP_BLOCKS = 4
+#: Vectors of a component that a task compares with each other, and rows compared at a time.
+TILE, STEP = 4096, 512
 _ORDER = ["pass_no", "label", "signature", "rid"]
 
 
@@ -81,47 +84,53 @@ def _blocks(signatures: DataFrame, window: int) -> DataFrame:
     return placed.select("rid", "label", "pass_no", "part").mapInArrow(number, "rid bigint, pass_no int, block bigint")
 
 
-def _compare(rows: pa.Table, threshold: float) -> pa.Table:
-    """Links of one group of neighbouring blocks: (rid, n, other), n new partners of rid, other a link of it or null.
+def _unit(lists: list[list[float]]) -> np.ndarray:
+    """Vectors of one length, scaled to length 1."""
+    vectors = np.array(lists, np.float64)
+    vectors /= np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
-    A pair is counted in the first pass whose blocks bring it together, so sums over passes count
-    every pair once. Links are given as a spanning forest of the group.
-    """
+
+def _compare(rows: pa.Table, threshold: float) -> pa.Table:
+    """Links of one group of neighbouring blocks as a spanning forest: (rid, other), other the smallest rid linked with it."""
     rid = np.asarray(rows.column("rid").combine_chunks())
     own, block = np.asarray(rows.column("own")), np.asarray(rows.column("block"))
-    copies, pass_no = np.asarray(rows.column("copies")), rows.column("pass_no")[0].as_py()
-    blocks = np.array(rows.column("blocks").to_pylist(), np.int64)
     lists = rows.column("embedding").to_pylist()
     sizes = np.array([len(v) for v in lists])
-    counts, found = np.zeros(len(rid), np.int64), []
+    found = []
     for dim in np.unique(sizes):
         mine = np.flatnonzero(sizes == dim)
-        vectors = np.array([lists[i] for i in mine], np.float64)
-        vectors /= np.abs(vectors).max(axis=1, keepdims=True)
-        vectors /= np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+        vectors = _unit([lists[i] for i in mine])
         for b in np.unique(block[mine][own[mine]]):
             left, right = np.flatnonzero(block[mine] == b), np.flatnonzero((block[mine] == b) | (block[mine] == b + 1))
-            near = vectors[left] @ vectors[right].T >= threshold
-            i, j = np.nonzero(near)
-            i, j = mine[left[i]], mine[right[j]]
-            once = (block[j] > block[i]) | (rid[j] > rid[i])
-            i, j = i[once], j[once]
-            if pass_no:
-                new = (np.abs(blocks[i, :pass_no] - blocks[j, :pass_no]) > 1).all(axis=1)
-                i, j = i[new], j[new]
-            np.add.at(counts, i, copies[j])
-            np.add.at(counts, j, copies[i])
-            found.append((i, j))
+            i, j = np.nonzero(vectors[left] @ vectors[right].T >= threshold)
+            found.append((mine[left[i]], mine[right[j]]))
     order = np.argsort(rid, kind="stable")
     rank = np.empty_like(order)
     rank[order] = np.arange(len(order))
-    if found:
-        root = spanning(len(rid), rank[np.concatenate([x for x, _ in found])], rank[np.concatenate([x for _, x in found])])
-        other = rid[order][root[rank]]
-    else:
-        other = rid
-    some = np.flatnonzero((counts > 0) | (other != rid))
-    return pa.table({"rid": rid[some], "n": counts[some], "other": other[some]})
+    root = spanning(len(rid), rank[np.concatenate([x for x, _ in found])], rank[np.concatenate([x for _, x in found])]) if found else np.arange(len(rid))
+    other = rid[order][root[rank]]
+    some = np.flatnonzero(other != rid)
+    return pa.table({"rid": rid[some], "other": other[some]})
+
+
+def _count(rows: pa.Table, threshold: float) -> pa.Table:
+    """(rid, n): the partners of each vector in the tiles of one group."""
+    rid, copies = np.asarray(rows.column("rid").combine_chunks()), np.asarray(rows.column("copies"))
+    lists, counts = rows.column("embedding").to_pylist(), np.zeros(rows.num_rows, np.int64)
+    for left, right, same in pieces(rows):
+        if not len(left) or not len(right):
+            continue
+        a, b = (_unit([lists[i] for i in x]) for x in (left, right))
+        for low in range(0, len(left), STEP):
+            near = a[low : low + STEP] @ b.T >= threshold
+            if same:
+                near[np.arange(len(near)), low + np.arange(len(near))] = False
+            else:
+                counts[right] += copies[left[low : low + STEP]] @ near
+            counts[left[low : low + STEP]] += near @ copies[right]
+    some = np.flatnonzero(counts)
+    return pa.table({"rid": rid[some], "n": counts[some]})
 
 
 def near_vectors(
@@ -132,10 +141,11 @@ def near_vectors(
     Equal vectors of one label are first taken together with their number. In each pass the
     distinct vectors are sorted by label and the signs of ``bits`` random projections, cut into
     blocks of ``window`` rows, and compared inside their block and with the next one, in double
-    precision. The pairs at or above ``threshold`` of all passes are united. What is compared
-    grows with the rows, however many vectors are alike: a cluster larger than the window is
-    joined through shared blocks, and its ``n_links`` are the links that the passes found.
-    Pairs are counted where they are found, never written.
+    precision. The pairs at or above ``threshold`` of all passes are united into components, in
+    work that grows with the rows; a cluster larger than the window is joined through shared
+    blocks. ``n_links`` are then counted over all pairs of each component, which no link leaves:
+    a component larger than TILE is cut into blocks, of which every two meet in a task. Pairs are
+    counted where they are compared, never written.
 
     Vectors of different lengths do not link. A null label, a null, empty or zero vector, and null
     or non-finite components link with nothing (0 links, a component of their own). Repeated
@@ -150,22 +160,20 @@ def near_vectors(
     # A number of its own for each distinct vector; its order does not matter.
     distinct = write_stage(grouped.withColumn("rid", F.monotonically_increasing_id()), "vectors")
     placed = _blocks(_signatures(distinct, passes, bits, seed), window)
-    blocks = placed.groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass_no", "block"))), lambda x: x["block"]).alias("blocks"))
-    blocks = write_stage(blocks, "blocks")
-    sent = distinct.select("rid", "copies", "embedding").join(blocks, "rid")
-    each = sent.select("rid", "copies", "embedding", "blocks", F.posexplode("blocks").alias("pass_no", "block"))
+    each = distinct.select("rid", "embedding").join(placed, "rid")
     group = lambda b: F.floor(b / GROUP_BLOCKS)
     roles = F.array(
         F.struct(group(F.col("block")).alias("at"), F.lit(True).alias("own")),
         F.when(group(F.col("block") - 1) != group(F.col("block")), F.struct(group(F.col("block") - 1).alias("at"), F.lit(False).alias("own"))),
     )
-    dealt = each.withColumn("role", F.explode(F.array_compact(roles))).select("rid", "copies", "embedding", "blocks", "pass_no", "block", "role.at", "role.own")
-    compared = dealt.groupBy("pass_no", "at").applyInArrow(lambda t: _compare(t, threshold), "rid bigint, n bigint, other bigint")
-    compared = write_stage(compared, "vector-links")
-    linked = compared.groupBy("rid").agg(F.sum("n").alias("n"))
-    roots = components(compared.filter("other <> rid").select(F.col("rid").alias("u"), F.col("other").alias("v")))
-    member = distinct.select("rid", "label", "key", "embedding", "copies", "first_id").join(linked, "rid", "left")
-    member = member.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    dealt = each.withColumn("role", F.explode(F.array_compact(roles))).select("rid", "embedding", "pass_no", "block", "role.at", "role.own")
+    compared = dealt.groupBy("pass_no", "at").applyInArrow(lambda t: _compare(t, threshold), "rid bigint, other bigint")
+    roots = components(compared.select(F.col("rid").alias("u"), F.col("other").alias("v"))).withColumnRenamed("node", "rid")
+    member = distinct.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    sizes = roots.groupBy("root").agg((F.count("*") + 1).alias("size"))
+    alike = tiled(member.select("rid", "copies", "embedding", "root").join(sizes, "root"), "root", F.col("size"), "rid", TILE)
+    linked = alike.groupBy("tile_at").applyInArrow(lambda t: _count(t, threshold), "rid bigint, n bigint").groupBy("rid").agg(F.sum("n").alias("n"))
+    member = member.join(linked, "rid", "left")
     smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = member.join(smallest, "root").select(
         F.col("label").alias("k_label"), F.col("key").alias("k_key"), F.col("embedding").alias("k_embedding"), "component_id",

@@ -291,3 +291,14 @@ def test_similar_groups_whole_in_a_family(docs_of, monkeypatch, tile):
     draw.shuffle(rows)
     got = {r.doc_id: r.component_id for r in similar.similar_groups(docs_of([(int(i), str(t)) for i, t in rows])).collect()}
     assert got == {i: i - i % 2 for i in range(300)}
+
+
+def test_links_of_a_cluster_larger_than_the_window_are_all_counted(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TILE", 100)
+    draw = np.random.default_rng(10)
+    center = draw.standard_normal(16)
+    rows = [(i, (center + 0.1 * draw.standard_normal(16)).tolist(), 1) for i in range(500)]
+    rows += [(500 + i, [float(x) for x in rows[0][1]], 1) for i in range(3)]
+    rows += [(600 + i, (float(i + 2) * np.array(rows[1][1])).tolist(), 1) for i in range(80)]
+    got = vectors.near_vectors(vectors_of(spark, rows), window=16, passes=6).collect()
+    assert sorted(map(tuple, got), key=str) == brute_vectors(rows)
