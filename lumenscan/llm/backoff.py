@@ -144,14 +144,14 @@ def ngram_counts(docs: DataFrame, order: int = 2, chunk_bytes: int = CHUNK_BYTES
 
 
 def backoff_scores(
-    docs: DataFrame, order: int = 2, min_count: int = 2, backoff: float = 0.4, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES
+    docs: DataFrame, order: int = 3, min_count: int = 1, backoff: float = 0.4, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES
 ) -> DataFrame:
     """doc_id, n_tokens, log_score, mean_log_score of every row of ``docs``.
 
     The score of a word after its context is count(n-gram) / count(context) if the n-gram occurs
     at least ``min_count`` times in all documents, else ``backoff`` times the score after a context
     shorter by one word; a lone word scores count / number of words. log_score sums the logarithms.
-    An n-gram that only its own document has once is thus no evidence for it. At the beginning of
+    With a ``min_count`` of 2, an n-gram that only its own document has once is no evidence for it. At the beginning of
     a text the context is what there is, without a penalty.
 
     Documents are dealt into chunks of ``chunk_bytes``. The distinct n-grams of a chunk and their

@@ -51,12 +51,21 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages"), least=1000).drop("url")
 
 
-def op8_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scores(scores: DataFrame) -> DataFrame:
     """Scores to six digits, as sums of logarithms depend on their order beyond that."""
-    scores = backoff.backoff_scores(documents(spark, sf_dir))
     return scores.select("doc_id", "n_tokens", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+def op8_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigrams seen twice, as its SQL says."""
+    return _scores(backoff.backoff_scores(documents(spark, sf_dir), order=2, min_count=2))
+
+
+def op8_backoff_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every trigram and bigram that occurs, so that a score sees two words of context."""
+    return _scores(backoff.backoff_scores(documents(spark, sf_dir)))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = sh.simhash_groups(documents(spark, sf_dir), words_each=3, distance=2)
     return groups.select("doc_id", sh.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -75,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op6_order_minhash": op6_order_minhash,
     "op7_warc": op7_warc,
     "op8_backoff": op8_backoff,
+    "op8_backoff_trigrams": op8_backoff_trigrams,
     "op9_simhash": op9_simhash,
     "op10_id_files": op10_id_files,
     "pipeline": corpus_pipeline.run,

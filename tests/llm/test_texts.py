@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lumenscan.llm import backoff
+from lumenscan.llm import backoff, queries
 from lumenscan.llm import order_minhash as om
 
 from .conftest import ODD
@@ -110,3 +110,11 @@ def test_count_table(docs_of, no_docs):
     got = backoff.ngram_counts(docs_of([(1, "a b a b"), (2, "B a"), (3, None)]), order=2).collect()
     assert sorted((r.n, r["count"]) for r in got) == [(1, 3), (1, 3), (2, 2), (2, 2)]
     assert backoff.backoff_scores(no_docs).collect() == [] and backoff.ngram_counts(no_docs).collect() == []
+
+
+def test_trigrams_are_registered_and_every_ngram_counts(docs_of):
+    rows = [(1, "a b c d"), (2, "b c e"), (3, "x a b c")]
+    got = sorted(backoff.backoff_scores(docs_of(rows)).collect())
+    for g, w in zip(got, sorted(brute_scores(rows, 3, 1)), strict=True):
+        assert g[:2] == w[:2] and g.log_score == pytest.approx(w[2])
+    assert "op8_backoff_trigrams" in queries.QUERIES
