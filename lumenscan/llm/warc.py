@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -54,6 +55,20 @@ class Damaged(ValueError):
     """What fails a check at one place of an archive."""
 
 
+def same_sha1(claimed: str, block: bytes) -> bool:
+    """Whether a digest header agrees with ``block``: SHA-1 in hex or Base32 of either case; other forms are not judged."""
+    name, colon, value = claimed.partition(":")
+    value = value.strip().lower()
+    if not colon or name.strip().lower() not in ("sha1", "sha-1"):
+        return True
+    digest = hashlib.sha1(block).digest()
+    if re.fullmatch("[0-9a-f]{40}", value):
+        return value == digest.hex()
+    if re.fullmatch("[a-z2-7]{32}", value):
+        return value == base64.b32encode(digest).decode().lower()
+    return True
+
+
 def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers and block of the record at ``at``, and where the next one begins; raises Damaged."""
     if not _VERSION_LINE.match(data, at):
@@ -73,8 +88,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Damaged("the block does not end where it should")
     block = data[begin:stop]
-    claimed = headers.get("warc-block-digest", "")
-    if claimed.startswith("sha1:") and claimed[5:] != hashlib.sha1(block).hexdigest():
+    if not same_sha1(headers.get("warc-block-digest", ""), block):
         raise Damaged("the block's digest differs")
     return headers, block, stop + 4
 
@@ -85,20 +99,22 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
     A gzip archive is read member by member, a plain one record by record. After a failed check
     the search goes on at the next gzip magic or version line; bytes passed over up to the next
     sound record are one gap, which has a reason and no headers. Every byte is in one record, one
-    gap or one empty member.
+    gap or one empty member; but records of one member share its place, and where one of them is
+    damaged a gap has that place too. Records before and after damage in a member are kept, if the
+    member is whole, so that its content can be unpacked.
     """
     at, gap, reason = 0, None, ""
     packed = data[:3] == GZIP_MAGIC or (GZIP_MAGIC in data and not _VERSION_LINE.search(data))
     while at < len(data):
+        bad = None
         try:
             if packed:
                 if data[at : at + 3] != GZIP_MAGIC:
                     raise Damaged("no gzip member")
                 inner, end = _read_member(data, at)
-                found, place = [], 0
-                while place < len(inner):
-                    headers, block, place = parse_record(inner, place)
-                    found.append((headers, block))
+                found, bad = _records_of(inner)
+                if bad and not found:
+                    raise Damaged(bad)
             else:
                 headers, block, end = parse_record(data, at)
                 found = [(headers, block)]
@@ -117,11 +133,27 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
             gap = None
         if gap is None:
             yield from ((at, end - at, headers, block, None) for headers, block in found)
+        if bad:
+            yield at, end - at, None, b"", bad
         at = end
     if gap is not None:
         yield gap, len(data) - gap, None, b"", reason
 
 
+def _records_of(inner: bytes) -> tuple[list[tuple[dict[str, str], bytes]], str | None]:
+    """The sound records of an unpacked member, and the reason of its first failed check."""
+    found, place, bad = [], 0, None
+    while place < len(inner):
+        try:
+            headers, block, place = parse_record(inner, place)
+            found.append((headers, block))
+        except Damaged as error:
+            bad = bad or str(error)
+            line = _VERSION_LINE.search(inner, place + 1)
+            place = line.start() if line else len(inner)
+    return found, bad
+
+
 #: Compressed bytes given to the unpacker at a time.
 _STEP = 1 << 16
 
@@ -140,12 +172,13 @@ def _read_member(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(out), min(place, len(data)) - len(unpacker.unused_data)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """All records and gaps of the archives below ``path``; gzip or plain, sound or damaged.
+def read_archives(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """All records and gaps of the archives below ``path`` whose names fit ``pattern``; gzip or plain, sound or damaged.
 
     A row is a record (kind ``record``) or a quarantined run of bytes (kind ``gap``, with the
     reason of the first failed check), with its place in the file. One task reads a file at a
     time, so archives should be of the usual size (1 GB at most). An empty file gives no row.
+    Folders below ``path`` are read too; names that begin with a dot or an underscore are Spark's own.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +199,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         rows, size = [], 0
                 yield _rows(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(read, RECORDS)
 
 
@@ -232,7 +265,7 @@ def page_records(pages: DataFrame, least: int = 1000) -> DataFrame:
     spark = pages.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, least)
-    found = read_archives(spark, path).filter("kind = 'record'")
+    found = read_archives(spark, path, "part-*").filter("kind = 'record'")
     number = lambda c: F.substring_index(c, ":", -1).cast("bigint")
     response = F.col("warc_type") == "response"
     return found.select(

@@ -1,5 +1,6 @@
 """WARC archives: round trip, revisits, and what the reader saves from damage."""
 
+import base64
 import gzip
 import hashlib
 
@@ -97,3 +98,32 @@ def test_reader_logs_gaps(spark, tmp_path):
     rows = warc.read_archives(spark, str(tmp_path)).collect()
     assert sorted(r.payload for r in rows if r.kind == "record") == [b"payload 0", b"payload 1", b"payload 2", b"payload 3"]
     assert [(r.length, bool(r.reason)) for r in rows if r.kind == "gap"] == [(4, True), (4, True)]
+
+
+def foreign(digest, body=b"<p>hello"):
+    return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Block-Digest: " + digest + b"\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    sha1 = hashlib.sha1(b"<p>hello")
+    base32 = base64.b32encode(sha1.digest())
+    forms = [b"sha1:" + base32, b"sha1:" + base32.lower(), b"SHA1:" + sha1.hexdigest().upper().encode(), b"md5:0123", b"sha1:?"]
+    (tmp_path / "below").mkdir()
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(gzip.compress(foreign(f)) for f in forms))
+    (tmp_path / "below" / "y.warc").write_bytes(foreign(forms[0]))
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted((r.file.rsplit("/", 1)[-1], r.kind) for r in rows) == [("x.warc.gz", "record")] * 5 + [("y.warc", "record")]
+    assert warc.read_archives(spark, str(tmp_path), "*.warc").count() == 1
+
+
+@pytest.mark.parametrize("form", [base64.b32encode(bytes(20)), b"0" * 40])
+def test_wrong_digests_of_any_form_are_gaps(form):
+    assert [x[4] for x in warc.salvage(foreign(b"sha1:" + form))] == ["the block's digest differs"]
+
+
+def test_records_around_damage_in_a_member_stay():
+    sound, bad = foreign(b"md5:0"), foreign(b"sha1:" + b"0" * 40, b"bad")
+    packed = gzip.compress(sound + bad + sound) + gzip.compress(sound)
+    found = [(headers is not None, block, reason) for _, _, headers, block, reason in warc.salvage(packed)]
+    good = (True, b"<p>hello", None)
+    assert found == [good, good, (False, b"", "the block's digest differs"), good]
