@@ -1,8 +1,8 @@
 """A corpus of source files derived from ``orders`` and ``lineitem``.
 
 A fixed number of files per customer, dealt by the order key; one function per order group
-of the file, one snippet per line item.  Nothing depends on how many lines a customer has;
-where one has very many, ``shards`` bounds the files.
+of the file, one snippet per line item.  Nothing depends on how many lines a customer has,
+so one who has very many gets ``shards`` very large files; no file is bounded.
 """
 
 from __future__ import annotations
