@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenscan.llm import backoff, id_files, mixing, order_minhash, packing, sql, toxicity, vectors, warc
+from lumenscan.llm import backoff, ball_codes, id_files, mixing, order_minhash, packing, sql, top_k, toxicity, variants, vectors, warc
 from lumenscan.llm import simhash as sh
 from lumenscan.llm.tables import documents, table
 from lumenscan.llm.token_counts import token_counts
@@ -75,6 +75,18 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.id_file_index(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE), "word", end_id=2)
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(documents(spark, sf_dir), least_length=6, least_count=5, ratio=5, one_in=199)
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op13_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_codes.code_digests(*ball_codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -87,6 +99,15 @@ QUERIES: dict[str, Query] = {
     "op8_backoff_trigrams": op8_backoff_trigrams,
     "op9_simhash": op9_simhash,
     "op10_id_files": op10_id_files,
+    "op11_variants": op11_variants,
+    "op12_top_k": op12_top_k,
+    "op13_ball_codes": op13_ball_codes,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op7_warc": sql.WARC, "op8_backoff": sql.BACKOFF}
+SQL: dict[str, str] = {
+    "op7_warc": sql.WARC,
+    "op8_backoff": sql.BACKOFF,
+    "op11_variants": sql.VARIANTS,
+    "op12_top_k": sql.TOP_K,
+    "op13_ball_codes": sql.BALL_CODES,
+}
