@@ -17,16 +17,18 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct pieces of one of the two generations that a Python worker remembers, and the longest one of them.
-CACHE_PIECES, CACHE_CHARS = 250_000, 24
+#: Distinct pieces that a Python worker remembers, and the longest one of them.
+CACHE_PIECES, CACHE_CHARS = 300_000, 24
 #: A word that stands between others when many are encoded as one text, and how many those are.
 MARK, JOINED = "0", 200
+#: Letters of words that may go to the model without a detour, if the tokenizer agrees (see ``_Letters``).
+LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha() and (c.isascii() or c >= "À"))
 #: Pieces of texts with unusual white space are at least this long.
 SAFE_CHARS = 4096
 
@@ -57,19 +59,69 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _ids(found: list, lengths_only: bool) -> list:
-    return found if lengths_only else [e.ids for e in found]
+class _Letters:
+    """Words of plain letters as the tokenizer's model wants them, and the ids that it gives them.
+
+    The tokenizer is asked what it makes of every one of LETTERS and of all of them in one word. If
+    that is the same, letter by letter, its model may be given words of them directly, which saves
+    most of the work on a new word. Punctuation in front of or behind the letters is a word of its
+    own; an apostrophe in front of letters is not, nor is what holds a special token.
+    """
+
+    def __init__(self, tokenizer):
+        self.model, self._tails = tokenizer.model, {}
+        self._tokenizer = tokenizer
+        try:
+            seen = {c: self._seen(c) for c in LETTERS}
+            fits = all(len(x) == 1 for x in seen.values()) and self._seen(LETTERS) == ["".join(x[0] for x in seen.values())]
+            fits = fits and self._seen("ab,;é!(x") == [seen["a"][0] + seen["b"][0], ",;", seen["é"][0], "!(", seen["x"][0]]
+        except Exception:  # noqa: BLE001 - a tokenizer without these parts is used as a whole
+            fits = False
+        specials = "|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values())
+        self._special = re.compile(specials or "(?!)")
+        self._table = str.maketrans({c: x[0] for c, x in seen.items()}) if fits else None
+        self._shape = re.compile(rf"([!-&(-/:-@\[-`{{-~]*)([{LETTERS}]+)([!-/:-@\[-`{{-~]*)")
+
+    def _seen(self, text: str) -> list[str]:
+        if self._tokenizer.normalizer:
+            text = self._tokenizer.normalizer.normalize_str(text)
+        return [piece for piece, _ in self._tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def ids(self, piece: str) -> list[int] | None:
+        """The ids of ``piece``, or nothing if it has another shape."""
+        shape = self._shape.fullmatch(piece) if self._table else None
+        if not shape:
+            return None
+        before, word, behind = shape.groups()
+        ids = [t.id for t in self.model.tokenize(word.translate(self._table))]
+        if before or behind:
+            if self._special.search(piece):
+                return None
+            ids = self._tail(before) + ids + self._tail(behind)
+        return ids
+
+    def _tail(self, marks: str) -> list[int]:
+        found = self._tails.get(marks)
+        if found is None:
+            if len(self._tails) > 1000:
+                self._tails.clear()
+            found = self._tails[marks] = self._tokenizer.encode(marks, add_special_tokens=False).ids if marks else []
+        return found
 
 
 class PieceEncoder:
-    """Encodes batches of texts; ``kind`` is ``word`` or ``byte``."""
+    """Encodes batches of texts; ``kind`` is ``word`` or ``byte``.
+
+    Pieces met before are remembered by a number; their ids lie one after the other in one array.
+    """
 
     def __init__(self, path: str, kind: str, lengths_only: bool = False):
         self.path, self.kind, self.lengths_only = path, kind, lengths_only
-        self._known: dict[str, int | list[int]] = {}
-        self._older: dict[str, int | list[int]] = {}
+        self._known: dict[str, int] = {}
+        self._count, self._flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
         mark = _tokenizer(path).encode(MARK, add_special_tokens=False).ids
         self._mark = mark[0] if len(mark) == 1 else None
+        self._letters = _Letters(_tokenizer(path)) if kind == "word" else None
 
     def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """All pieces of ``texts`` and where those of each text begin."""
@@ -82,40 +134,55 @@ class PieceEncoder:
         np.cumsum([len(x) for x in lists], out=offsets[1:])
         return pa.array([p for x in lists for p in x], pa.string()), offsets
 
-    def _encode(self, distinct: list[str]) -> list:
-        """The ids, or their number, of each distinct piece."""
-        known, older = self._known, self._older
-        out = list(map(known.get, distinct))
-        missing = [i for i, found in enumerate(out) if found is None]
-        new = []
-        for i in missing:
-            found = older.get(distinct[i])
-            if found is None:
-                new.append(i)
-            else:
-                out[i] = known[distinct[i]] = found
-        for i, found in zip(new, self._fresh([distinct[i] for i in new])):
-            out[i] = len(found) if self.lengths_only else found
-            if len(distinct[i]) <= CACHE_CHARS:
-                known[distinct[i]] = out[i]
-        if len(known) > CACHE_PIECES:  # pieces of the older generation that are not met again are forgotten
-            self._known, self._older = {}, known
-        return out
-
-    def _fresh(self, pieces: list[str]) -> list:
+    def _numbers(self, distinct: list[str]) -> np.ndarray:
+        """The number of each distinct piece; new ones are encoded."""
+        known = self._known
+        found = np.fromiter(map(known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(found < 0)
+        if not len(new):
+            return found
+        if len(known) + len(new) > CACHE_PIECES:
+            found = self._forget(distinct, found)
+            known = self._known
+        pieces = [distinct[i] for i in new]
+        ids = self._fresh(pieces)
+        begin = len(self._count)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._count = np.concatenate((self._count, counts))
+        if not self.lengths_only:
+            self._flat = np.concatenate((self._flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))))
+        found[new] = np.arange(begin, begin + len(new))
+        known.update((p, begin + i) for i, p in enumerate(pieces) if len(p) <= CACHE_CHARS)
+        return found
+
+    def _forget(self, distinct: list[str], found: np.ndarray) -> np.ndarray:
+        """Keep only what this batch needs, and number it anew."""
+        kept = np.flatnonzero(found >= 0)
+        old, found = found[kept], found.copy()
+        counts = self._count[old]
+        if not self.lengths_only:
+            self._flat = self._flat[_ranges((np.cumsum(self._count) - self._count)[old], counts)]
+        self._count = counts
+        self._known = {distinct[i]: n for n, i in enumerate(kept.tolist())}
+        found[kept] = np.arange(len(kept))
+        return found
+
+    def _fresh(self, pieces: list[str]) -> list[list[int]]:
         """The ids of each piece.
 
-        Words without the mark in them are encoded many at a time as one text with the mark
-        between them, which is cheaper for the library and gives the same ids.
+        Words of plain letters go to the model. Other words without the mark in them are encoded
+        many at a time as one text with the mark between them, which is cheaper for the library
+        and gives the same ids.
         """
         run = _tokenizer(self.path).encode_batch_fast
         if self.kind != "word" or self._mark is None:
-            return [e for at in range(0, len(pieces), 20_000) for e in _ids(run(pieces[at : at + 20_000], add_special_tokens=False), self.lengths_only)]
-        out: list = [None] * len(pieces)
-        joined = [i for i, p in enumerate(pieces) if MARK not in p]
-        alone = [i for i, p in enumerate(pieces) if MARK in p]
-        for at in range(0, len(joined), 100 * JOINED):
-            groups = [joined[g : g + JOINED] for g in range(at, min(at + 100 * JOINED, len(joined)), JOINED)]
+            return [e.ids for at in range(0, len(pieces), 20_000) for e in run(pieces[at : at + 20_000], add_special_tokens=False)]
+        out: list = list(map(self._letters.ids, pieces))
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        joined = [i for i in rest if MARK not in pieces[i]]
+        alone = [i for i in rest if MARK in pieces[i]]
+        for at in range(0, len(joined), 20 * JOINED):
+            groups = [joined[g : g + JOINED] for g in range(at, min(at + 20 * JOINED, len(joined)), JOINED)]
             texts = [f" {MARK} ".join([pieces[i] for i in group]) for group in groups]
             for group, found in zip(groups, run(texts, add_special_tokens=False)):
                 begin, ids = 0, found.ids
@@ -124,38 +191,46 @@ class PieceEncoder:
                     out[i] = ids[begin:end]
                     begin = end + 1
                 out[group[-1]] = ids[begin:]
-        for i, found in zip(alone, _ids(run([pieces[i] for i in alone], add_special_tokens=False), False)):
-            out[i] = found
+        for at in range(0, len(alone), 5000):
+            for i, found in zip(alone[at : at + 5000], run([pieces[i] for i in alone[at : at + 5000]], add_special_tokens=False)):
+                out[i] = found.ids
         return out
 
-    def _distinct(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
+    def _numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each piece of all texts, and where those of each text begin."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         pieces, offsets = self._pieces(texts)
         coded = pieces.dictionary_encode()
-        return self._encode(coded.dictionary.to_pylist()), np.asarray(coded.indices, dtype=np.int64), offsets
+        numbers = self._numbers(coded.dictionary.to_pylist())
+        return numbers[np.asarray(coded.indices)] if len(numbers) else np.zeros(0, np.int64), offsets
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """The number of tokens of each text."""
-        found, index, offsets = self._distinct(texts)
-        each = np.array([x if self.lengths_only else len(x) for x in found], np.int64)
-        ends = np.concatenate(([0], np.cumsum(each[index] if len(index) else index)))
+        index, offsets = self._numbered(texts)
+        ends = np.concatenate(([0], np.cumsum(self._count[index])))
         return ends[offsets[1:]] - ends[offsets[:-1]]
 
     def ids(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the bounds of each; ``end_id`` ends every text."""
-        found, index, offsets = self._distinct(texts)
-        if end_id is not None:
-            found.append([end_id])
-            index = np.insert(index, offsets[1:], len(found) - 1)
-            offsets = offsets + np.arange(len(offsets))
-        each = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(each.sum()))
-        begins = np.concatenate(([0], np.cumsum(each)))[:-1]
-        counts = each[index]
+        index, offsets = self._numbered(texts)
+        counts = self._count[index]
+        begins = (np.cumsum(self._count) - self._count)[index]
         ends = np.concatenate(([0], np.cumsum(counts)))
-        places = np.repeat(begins[index] - ends[:-1], counts) + np.arange(ends[-1])
-        return flat[places], ends[offsets]
+        bounds = ends[offsets]
+        found = self._flat[_ranges(begins, counts)]
+        if end_id is not None:
+            found = np.insert(found, bounds[1:], end_id)
+            bounds = bounds + np.arange(len(bounds))
+        return found, bounds
+
+
+def _ranges(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of every range, one range after the other."""
+    ends = np.cumsum(counts)
+    places = np.arange(int(ends[-1]) if len(ends) else 0)
+    places += np.repeat(begins - ends + counts, counts)
+    return places
 
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenscan.llm.encoding import encoder
-from lumenscan.llm.tables import by_bytes, id_and_text
+from lumenscan.llm.tables import by_bytes, id_and_text, releasing
 from lumenscan.session import work_dir
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -33,7 +33,7 @@ def widen(stored: bytes) -> np.ndarray:
     return np.frombuffer(stored, "<u2" if stored[0] == 2 else "<u4", offset=1).astype("<u4")
 
 
-def encoded(docs: DataFrame, tokenizer: str, kind: str, end_id: int, batch_bytes: int = 8 << 20) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, kind: str, end_id: int, batch_bytes: int = 4 << 20) -> DataFrame:
     """The ids of each document, written once: doc_id, part, local_start (ids before it in its part), n, ids.
 
     A part is one task of this job; it is written with its running sums, so later readers may
@@ -51,7 +51,7 @@ def encoded(docs: DataFrame, tokenizer: str, kind: str, end_id: int, batch_bytes
 
     spark = docs.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/encoded-{uuid.uuid4().hex}"
-    rows = id_and_text(docs).mapInArrow(encode, "doc_id bigint, local_start bigint, n bigint, ids binary")
+    rows = id_and_text(docs).mapInArrow(releasing(encode), "doc_id bigint, local_start bigint, n bigint, ids binary")
     rows.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(path)
     return spark.read.schema("doc_id bigint, local_start bigint, n bigint, ids binary, part int").parquet(path)
 

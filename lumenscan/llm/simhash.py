@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenscan.llm.components import components
 from lumenscan.llm.links import spanning
-from lumenscan.llm.tables import by_bytes
+from lumenscan.llm.tables import by_bytes, releasing
 from lumenscan.session import write_stage
 
 SEED = 42
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, words_each: int = 3) -> DataFrame:
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint")
+    return rows.mapInArrow(releasing(run), "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def segments_for(distance: int) -> int:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenscan.llm.recurrent import Scorer, sigmoid, train
-from lumenscan.llm.tables import by_bytes
+from lumenscan.llm.tables import by_bytes, releasing
 
 #: The bounded sample for training: most texts of each label, and most characters of a text.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 8_000
@@ -93,4 +93,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
             texts = pc.fill_null(batch.column("text"), "").to_pylist()
             yield batch.filter(pa.array(model.scores(scorer, texts) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
