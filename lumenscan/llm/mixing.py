@@ -21,9 +21,13 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[ \t-\r]+"))).cast("bigint")
 
 
-def _measured(docs: DataFrame, tokens: Column, seed: int) -> DataFrame:
-    """The row itself (mix_row), mix_source, mix_tokens and mix_key (a hash of the row's id and text)."""
-    key = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+def row_key(seed: int = 42) -> Column:
+    """A hash of a row's id and text."""
+    return F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+
+
+def _measured(docs: DataFrame, tokens: Column, key: Column) -> DataFrame:
+    """The row itself (mix_row), mix_source, mix_tokens and mix_key."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return docs.select(row.alias("mix_row"), F.col("source").alias("mix_source"), tokens.alias("mix_tokens"), key.alias("mix_key"))
 
@@ -142,6 +146,7 @@ def mixed_rows(
     budget: int | None = None,
     tokens: Column | None = None,
     seed: int = 42,
+    key: Column | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` (mix_row), repeated or left out so that sources get their weights.
 
@@ -155,10 +160,12 @@ def mixed_rows(
     chosen: only sums per source and block, and one block per source, are. A source may thus
     hold any part of the rows.
 
+    ``key`` stands for a row where it is placed (see ``row_key``, which reads the text).
+
     A null source is a source. A null text has 0 tokens; it is chosen with its epoch as any
     other. Rows alike in id and text are chosen together. An empty table gives an empty one.
     """
-    measured = _measured(docs, tokens if tokens is not None else word_count(F.col("text")), seed)
+    measured = _measured(docs, tokens if tokens is not None else word_count(F.col("text")), row_key(seed) if key is None else key)
     rows = write_stage(measured.select("mix_source", "mix_tokens", "mix_key"), "mix-rows")
     plan = mixing_plan(rows, entropy, max_repeats, budget)
     cuts = _cuts(rows, plan).select(F.col("mix_source").alias("cut_source"), "cut")

@@ -12,7 +12,8 @@ import corpus_pipeline
 from lumenscan.llm import backoff, ball_codes, id_files, mixing, order_minhash, packing, sql, top_k, toxicity, variants, vectors, warc
 from lumenscan.llm import simhash as sh
 from lumenscan.llm.tables import documents, table
-from lumenscan.llm.token_counts import token_counts
+from lumenscan.llm.token_counts import token_counts, token_length
+from lumenscan.session import write_stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -28,7 +29,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mixed_rows(documents(spark, sf_dir), max_repeats=2.0)
+    """Sources by their tokens. Texts are read once, for their lengths and keys."""
+    lengths = token_length(public_tokenizers.path(WORD_BPE), "word")("text")
+    docs = documents(spark, sf_dir).select("doc_id", "source", mixing.row_key().alias("key"), lengths.alias("n_tokens"))
+    mixed = mixing.mixed_rows(write_stage(docs, "mix-lengths"), max_repeats=2.0, tokens=F.col("n_tokens"), key=F.col("key"))
     return mixed.select(
         "mix_row.doc_id", "mix_row.source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"),
         F.col("mix_block").alias("block"), "mix_order",

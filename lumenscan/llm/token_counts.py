@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from lumenscan.llm.encoding import encoder
 from lumenscan.llm.tables import by_bytes, id_and_text, to_arrow
@@ -34,3 +35,16 @@ def token_counts(docs: DataFrame, tokenizer: str, kind: str, limit: int = 1024,
             yield to_arrow({"doc_id": batch.column("doc_id"), "n_bytes": size, "n_tokens": n, "over_limit": n > limit}, _SCHEMA)
 
     return id_and_text(docs).mapInArrow(count, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+
+
+def token_length(tokenizer: str, kind: str, batch_bytes: int = 4 << 20) -> Callable[[str], Column]:
+    """A column function: the number of tokens of a text, 0 for null. Plans that do not use it drop it."""
+
+    @F.arrow_udf("bigint")
+    def length(texts: pa.Array) -> pa.Array:
+        filled = pa.RecordBatch.from_arrays([pc.fill_null(texts, "")], names=["text"])
+        run = encoder(tokenizer, kind, lengths_only=True).lengths
+        found = [run(part.column("text")) for part in by_bytes([filled], "text", batch_bytes)]
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *found]))
+
+    return length
