@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from lumenscan.llm import simple8b
 from lumenscan.llm.encoding import encoder
 from lumenscan.llm.packing import part_bases
-from lumenscan.llm.tables import by_bytes, id_and_text
+from lumenscan.llm.tables import by_bytes, id_and_text, partitions, releasing
 from lumenscan.session import work_dir, write_stage
 
 MAGIC, SYNC, GROUP, BLOCK_IDS = b"LS8B", b"LS8B-end", 64, 1 << 16
+#: Text for each file; a reader holds one file.
+FILE_BYTES = 128 << 20
 _HEAD = struct.Struct("<4sQQQIIII")
 _PIECE = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("place", "<u8"), ("ids", "<u4")])
 
@@ -69,13 +71,13 @@ def write_id_files(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id
     """Encode all documents and write them to ``path`` in ascending doc_id order (nulls first).
 
     One range shuffle of the texts puts the documents in order; its tasks encode, pack and write
-    one file each. Equal doc_ids are ordered by their texts' hash, which also spreads them.
+    one file each, of about FILE_BYTES of text. Equal doc_ids are ordered by their texts' hash, which also spreads them.
     The files are written by Spark, so ``path`` may be in any store that Spark writes to.
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, part, block, place, before = encoder(tokenizer, kind), None, 0, 0, 0
-        for batch in by_bytes(batches, "text", 8 << 20):
+        for batch in by_bytes(batches, "text", 4 << 20):
             part = batch.column("part")[0].as_py()
             ids, bounds = run.ids(batch.column("text"), end_id)
             doc_ids, out = batch.column("doc_id").to_pylist(), []
@@ -96,9 +98,9 @@ def write_id_files(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id
 
     rows = id_and_text(docs)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or partitions(rows, "text", FILE_BYTES)
     placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id().cast("bigint"))
-    written = placed.mapInArrow(blocks, "value binary")
+    written = placed.mapInArrow(releasing(blocks), "value binary")
     written.select(F.col("value").cast("string").alias("value")).write.option("lineSep", SYNC.decode()).text(path)
 
 
