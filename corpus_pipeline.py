@@ -9,10 +9,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenscan.llm import mixing, packing, similar, toxicity
+from lumenscan.llm import mixing, packing, simhash, toxicity
 from lumenscan.llm.tables import documents, table
+from lumenscan.llm.token_counts import token_length
 from lumenscan.session import write_stage
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model does not call toxic; it learns from the labels of ``docs``."""
@@ -20,19 +23,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are alike by 0.8 or more."""
-    return similar.keep_one(docs, words_each=5, similarity=0.8)
+    """One document of each group linked by SimHash fingerprints of three-word shingles that differ in two bits at most."""
+    return simhash.keep_one(docs, words_each=3, distance=2)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once at least; tempered weights read a small source up to twice as often as a large one."""
+    """Every document once at least; tempered weights read a small source up to twice as often as a large one.
+
+    Sources are weighted by their tokens, as the packing counts them.
+    """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return mixing.in_mix_order(docs, parts, max_repeats=2.0)
+    return mixing.in_mix_order(docs, parts, max_repeats=2.0, tokens=token_length(TOKENIZER, "word")("text"))
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2,048 tokens in the mixed order."""
-    packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), "word", end_id=1, length=2048)
+    packed = packing.pack(docs, TOKENIZER, "word", end_id=1, length=2048)
     return packing.piece_digests(packed)
 
 
