@@ -8,7 +8,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lumenscan.llm import components, links, simhash, similar, vectors
+from lumenscan.llm import components, links, simhash, vectors
 
 from .conftest import ODD
 
@@ -209,90 +209,6 @@ def test_many_equal_vectors_are_one_node(spark):
     assert vectors.near_vectors(vectors_of(spark, rows).limit(0)).collect() == []
 
 
-def shingles(text, k=5):
-    words = (text or "").encode().lower().split()
-    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
-
-
-def test_similar_groups_of_five_word_shingles(docs_of):
-    draw = np.random.default_rng(4)
-    words, rows = [f"word{i}" for i in range(3000)], []
-    for _ in range(30):
-        base = [str(w) for w in draw.choice(words, 300)]
-        for _ in range(int(draw.integers(1, 12))):
-            copy = list(base)
-            for at in draw.integers(0, 300, int(draw.choice([0, 1, 2, 4, 40, 100]))):
-                copy[at] = str(draw.choice(words))
-            rows.append((len(rows), " ".join(copy)))
-    sets = [shingles(t) for _, t in rows]
-    like = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in itertools.combinations(range(len(rows)), 2)}
-    sure, loose = union(len(rows), [p for p, x in like.items() if x >= 0.86]), union(len(rows), [p for p, x in like.items() if x >= 0.72])
-    got = {r.doc_id: r.component_id for r in similar.similar_groups(docs_of(rows)).collect()}
-    together = sum(got[i] == got[r] for i, r in enumerate(sure) if i != r)
-    assert together >= 0.97 * sum(i != r for i, r in enumerate(sure))
-    assert all(loose[i] == loose[c] for i, c in got.items())
-
-
-def test_similar_groups_of_odd_documents(odd_docs, no_docs):
-    got = sorted(((r.doc_id, r.component_id) for r in similar.similar_groups(odd_docs).collect()), key=str)
-    want = [(i, {1: 1, 2: 1, 3: 1, None: 1 if t is None else None, 8: 8, 9: 8}.get(i, i)) for i, t in ODD]
-    assert got == sorted(want, key=str)
-    kept = similar.keep_one(odd_docs)
-    assert kept.columns == odd_docs.columns and kept.count() == len({(c, t if c is None else "") for (_, t), (_, c) in zip(ODD, want)})
-    assert similar.keep_one(no_docs).collect() == [] and similar.similar_groups(no_docs).collect() == []
-
-
-def passage_edits():
-    """Texts of 300 words with a copy each: a part of the end replaced, added, cut off, or a part of the middle replaced."""
-    draw = np.random.default_rng(6)
-    words, rows = [f"word{i}" for i in range(5000)], []
-    for n in range(200):
-        base, share = [str(w) for w in draw.choice(words, 300)], float(draw.uniform(0.02, 0.19))
-        new = [str(w) for w in draw.choice(words, int(300 * share / (2 if n % 4 in (0, 3) else 1)))]
-        copy = [base[: 300 - len(new)] + new, base + new, base[: 300 - len(new)], base[:100] + new + base[100 + len(new) :]][n % 4]
-        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(copy))]
-    return rows
-
-
-def test_similar_groups_find_copies_with_changed_passages(docs_of):
-    rows = passage_edits()
-    got = {r.doc_id: r.component_id for r in similar.similar_groups(docs_of(rows)).collect()}
-    sets = [shingles(t) for _, t in rows]
-    alike = [i for i in range(0, len(rows), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
-    assert len(alike) > 150
-    assert [i for i in alike if got[i + 1] != i] == []
-
-
-def test_similar_groups_at_the_threshold(docs_of):
-    """Copies alike by exactly 0.8 are linked, those of one shingle more are not."""
-    draw = np.random.default_rng(7)
-    rows = []
-    for n in range(80):
-        base = [f"w{x}" for x in draw.integers(0, 1 << 40, 204)]
-        more = [f"w{x}" for x in draw.integers(0, 1 << 40, 50 + n % 2)]  # 200 of 250 shingles are 0.8, 200 of 251 are less
-        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(base + more))]
-    got = {r.doc_id: r.component_id for r in similar.similar_groups(docs_of(rows)).collect()}
-    assert got == {i: i - i % 2 if i // 2 % 2 == 0 else i for i in range(160)}
-
-
-@pytest.mark.parametrize("tile", [16, 1024])
-def test_similar_groups_whole_in_a_family(docs_of, monkeypatch, tile):
-    """Texts of one template in which planted pairs are alike by 0.95 and all others by less than 0.8."""
-    monkeypatch.setattr(similar, "TILE", tile)
-    draw = np.random.default_rng(8)
-    frame, rows = [f"t{i}" for i in range(200)], []
-    for n in range(150):
-        base = list(frame)
-        for at in range(5, 200, 25):
-            base[at] = f"s{n}x{at}"
-        copy = list(base)
-        copy[199] = f"z{n}"
-        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(copy))]
-    draw.shuffle(rows)
-    got = {r.doc_id: r.component_id for r in similar.similar_groups(docs_of([(int(i), str(t)) for i, t in rows])).collect()}
-    assert got == {i: i - i % 2 for i in range(300)}
-
-
 def test_links_of_a_cluster_larger_than_the_window_are_all_counted(spark, monkeypatch):
     monkeypatch.setattr(vectors, "TILE", 100)
     draw = np.random.default_rng(10)
