@@ -113,28 +113,35 @@ def _piece(group: str) -> str:
 
 # A run may begin with `local` or `return` but never contains one further on.
 _LEAD = r"(?:local|return)(?![A-Za-z0-9_])"
-RUN = rf"(?:{_LEAD}|{_piece('t')})(?:{_BLANK}{_piece('u')})*+"
-
-# Parameter lists may span lines, hold comments, and nest brackets more deeply than code does.
-HEADER_DEPTH = 24
-_LONG_COMMENTS = "|".join(rf"--\[{'=' * n}\[[\s\S]*?\]{'=' * n}\]" for n in range(4))
-_GAP = rf"(?:\s++|{_LONG_COMMENTS}|--[^\n]*+)*+"
-
-
-# Generic parameters, as `<T, U...>` or `<T = Map<K, V>>`.
-_GENERIC = r"(?!)"
-for _ in range(4):
-    _GENERIC = rf"<(?:[^<>()\n]|->|{_GENERIC})*+>"
-_HEADER_ATOM = rf"{PLAIN_NAME}|{NUMBER}|{quoted(chr(34))}|{quoted(chr(39))}|->|{_OP_CHAR}|;"
-_PARAMS = rf"\((?:{_GAP}(?:{_HEADER_ATOM}|{_nested(_HEADER_ATOM, HEADER_DEPTH, _GAP)}))*+{_GAP}\)"
+# ``>`` in front of a bracket, unless of an arrow, may end the generic parameters of a header, so it is cut there.
+_NO_TURN = r"(?!(?<!-)>\s*+(?:\(|--))"
+RUN = rf"(?:{_LEAD}|{_NO_TURN}{_piece('t')})(?:{_BLANK}{_NO_TURN}{_piece('u')})*+"
+
+# A function header that nests no deeper than code usually does is one lexeme, with its return type.
+# Any other is cut open: one lexeme up to the bracket that opens it, and then what it holds.  There
+# brackets are followed by their running depth instead of a pattern (``operators.headers``), so a
+# header may nest and span as it likes.
+_NO_WORD = r"(?![A-Za-z0-9_])"
 DOTTED = rf"{NAME}(?:\s*+[.:]\s*+{NAME})*+"
-FUNCTION_HEADER = rf"function(?![A-Za-z0-9_])(?:{_GAP}{DOTTED})?+(?:{_GAP}{_GENERIC})?+{_GAP}{_PARAMS}"
-FUNCTION_NAME = rf"^function(?![A-Za-z0-9_]){_GAP}({DOTTED}){_GAP}(?:{_GENERIC})?+{_GAP}\("
+_SHORT_GAP = r"(?:\s++|--(?!\[=*+\[)[^\n]*+)*+"
+_HEADER_ATOM = rf"{PLAIN_NAME}|{NUMBER}|{quoted(chr(34))}|{quoted(chr(39))}|->|{_OP_CHAR}|;"
+_PARAMS = rf"\((?:{_SHORT_GAP}(?:{_HEADER_ATOM}|{_nested(_HEADER_ATOM, 2, _SHORT_GAP)}))*+{_SHORT_GAP}\)"
+SIMPLE_HEADER = rf"function{_NO_WORD}(?:\s++{DOTTED})?+\s*+(?:<[A-Za-z0-9_,. ]*+>\s*+)?+{_PARAMS}"
 _RETURN_TYPE = rf"\s*+:(?!:)(?:{_BLANK}(?:{PLAIN_NAME}|{STRING}|->|[.?|&,<>]|{_G2}))*+"
+# A return type that goes on with an open bracket is not simple.
+_WHOLE_HEADER = rf"{SIMPLE_HEADER}(?:{_RETURN_TYPE}(?!{_BLANK}[(\[{{])|(?!\s*+:(?!:)))"
+
+
+# Up to the bracket that opens the parameters, or the generic ones.
+OPEN_HEADER = rf"function{_NO_WORD}(?:{trivia('oa')}{DOTTED})?+{trivia('ob')}[(<]"
+# Comments in front of the name have a group of their own.
+NAME_GROUP = 2
+FUNCTION_NAME = rf"^function{_NO_WORD}{trivia('na')}({DOTTED}){trivia('nb')}[(<]"
+# The end of generic parameters, and what opens the others.
+_TURN = rf"(?<!-)>{trivia('p')}\("
 
 # Block headers that fit on their line are one lexeme, from the keyword to `then` or `do`;
 # others are cut at the keyword.  `until` takes its condition along.
-_NO_WORD = r"(?![A-Za-z0-9_])"
 _HEADERS = "|".join(
     rf"(?:{words}){_NO_WORD}(?:{_BLANK}{_piece(group)})++{_BLANK}{closing}{_NO_WORD}"
     for words, group, closing in (("if|elseif", "v", "then"), ("while|for", "w", "do"))
@@ -142,7 +149,7 @@ _HEADERS = "|".join(
 _UNTIL = rf"until{_NO_WORD}(?:{_BLANK}{_piece('x')})*+"
 
 _SCAN = (
-    rf"(?:{FUNCTION_HEADER})(?:{_RETURN_TYPE})?+|{_HEADERS}|{_UNTIL}|(?!local|return){_BLOCK}|{RUN}"
+    rf"{_WHOLE_HEADER}|{OPEN_HEADER}|{_HEADERS}|{_UNTIL}|(?!local|return){_BLOCK}|{_TURN}|{RUN}"
     r"|[()\[\]{};]|\S"
 )
 SCAN_LEX = rf"(\A(?=\s|--)|{_SCAN}){trivia('c')}"

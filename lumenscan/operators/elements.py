@@ -7,10 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenscan.functions import lexicon as lx
-from lumenscan.functions.labels import compact
 from lumenscan.functions.windows import latest, ordered
 from lumenscan.operators.blocks import is_kind
-from lumenscan.operators.outline import lexeme_text, statements
+from lumenscan.operators.outline import header_text, lexeme_text, statements
 
 ELEMENT_KINDS = ("import", "type_alias", "constant", "variable", "function", "local_function")
 # What a list of bindings is made of; a type holds brackets, arrows and string literals.
@@ -48,7 +47,7 @@ def elements(units: DataFrame) -> DataFrame:
     """
     text, is_function = F.col("text"), is_kind(F.col("k"), "function")
     rows = statements(units).withColumn("text", lexeme_text())
-    name = F.regexp_replace(F.regexp_extract(text, lx.FUNCTION_NAME, 1), r"\s+", "")
+    name = F.regexp_replace(F.regexp_extract(text, lx.FUNCTION_NAME, lx.NAME_GROUP), r"\s+", "")
     # A binding list may go on over lines: the text of its statement, on its own level.
     statement = W.partitionBy("unit_id", "own_n").orderBy("n").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     binds = F.coalesce(F.col("own") % 2 == 1, F.lit(False)) & ~is_function & (F.col("opens") == 0) & (F.col("closes") == 0)
@@ -91,11 +90,11 @@ def elements(units: DataFrame) -> DataFrame:
     along = ordered(["unit_id", "at"], ["pos", "e"]).to
     rows = rows.withColumn("around", latest(F.col("fn_name"), F.col("opened"), along)).filter(~F.col("opened"))
     path = F.array_sort(F.collect_list(F.when(F.col("at") > 0, F.struct("at", "around"))))
-    merged = rows.groupBy("unit_id", "pos", "kind", "text", "fn_name", "line", "col", "prev_line", "prev_col", "bound").agg(
+    merged = rows.groupBy("unit_id", "pos", "kind", "text", "sig_end", "fn_name", "line", "col", "prev_line", "prev_col", "bound").agg(
         path.alias("path")
     )
     is_local_fn, is_type = F.col("kind") == "local_function", F.col("kind") == "type_alias"
-    header = compact(F.regexp_extract("text", f"^{lx.FUNCTION_HEADER}", 0))
+    header = header_text("text")
     type_name = F.regexp_extract("text", rf"^(?:export\s+)?type\s+({lx.NAME})", 1)
     names = F.when(is_type, F.array(type_name)).otherwise(
         F.when(F.col("fn_name").isNotNull(), F.array("fn_name")).otherwise(F.col("bound.names"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,15 +39,18 @@ def by_unit(units: DataFrame, partitions: int | None = None) -> DataFrame:
     return units.select("unit_id", "content").repartition(n, "unit_id")
 
 
-def cut(units: DataFrame, pattern: str, partitions: int | None = None) -> DataFrame:
-    """One row per match, in place: unit_id, n, raw (with trailing trivia), text."""
+def cut(units: DataFrame, pattern: str, partitions: int | None = None, shape: Callable[[Column], Column] = lambda p: p) -> DataFrame:
+    """One row per match, in place: unit_id, n, raw (with trailing trivia), text.
+
+    ``shape`` may change the array of a file's matches before they become rows.
+    """
     content = F.col("content")
     pairs = F.arrays_zip(
         F.regexp_extract_all(content, F.lit(pattern), F.lit(0)).alias("raw"),
         F.regexp_extract_all(content, F.lit(pattern), F.lit(1)).alias("text"),
     )
-    rows = by_unit(units, partitions).select("unit_id", F.posexplode(pairs).alias("n", "p"))
-    rows = rows.select("unit_id", "n", "p.raw", "p.text")
+    rows = by_unit(units, partitions).select("unit_id", pairs.alias("p"))
+    rows = rows.select("unit_id", F.posexplode(shape(F.col("p"))).alias("n", "p")).select("unit_id", "n", "p.*")
     return rows.withColumn("nl", F.contains("raw", F.lit("\n")))
 
 

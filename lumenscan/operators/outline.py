@@ -26,6 +26,7 @@ from lumenscan.functions import lexicon as lx
 from lumenscan.functions.labels import compact, function_container
 from lumenscan.functions.windows import latest, ordered
 from lumenscan.operators.blocks import BRACKETS_CLOSE, bracket_step, code, is_kind, kinds, levels, on_level
+from lumenscan.operators.headers import assembled
 from lumenscan.operators.lexing import cut, in_file, positions, with_column
 
 # A closure with a shorter body stays in the text of its statement.
@@ -43,7 +44,7 @@ K = lambda *names: is_kind(F.col("k"), *names)
 def scan(units: DataFrame, partitions: int | None = None) -> DataFrame:
     """Scan lexemes with their depths; ``raw`` less ``trail`` characters is the text."""
     text, file = F.col("text"), in_file().all
-    rows = kinds(cut(units, lx.SCAN_LEX, partitions)).select(
+    rows = kinds(cut(units, lx.SCAN_LEX, partitions, assembled)).select(
         "*",
         (F.length("raw") - F.length("text")).alias("trail"),
         F.when(text == "local", 2).when(text.rlike(_LOCAL), 1).otherwise(0).alias("local"),
@@ -54,6 +55,12 @@ def scan(units: DataFrame, partitions: int | None = None) -> DataFrame:
     return rows.withColumn("prev_end", F.col("start") - F.col("prev_trail"))
 
 
+def header_text(text: str) -> Column:
+    """Of a function's lexeme: the header without its return type."""
+    head = F.substring(text, F.lit(1), F.col("sig_end"))
+    return compact(F.when(F.col("sig_end") > 0, head).otherwise(F.regexp_extract(text, f"^{lx.SIMPLE_HEADER}", 0)))
+
+
 def lexeme_text() -> Column:
     return F.substring("raw", F.lit(1), F.length("raw") - F.col("trail"))
 
@@ -136,8 +143,8 @@ def _roles(rows: DataFrame, min_closure_chars: int) -> DataFrame:
         & ~F.col("in_head")
         & first_function
     )
-    name = F.regexp_replace(F.regexp_extract("raw", lx.FUNCTION_NAME, 1), r"\s+", "")
-    named = K("function") & is_kind(F.col("closer_k"), "end") & (F.regexp_extract("raw", lx.FUNCTION_NAME, 1) != "")
+    name = F.regexp_replace(F.regexp_extract("raw", lx.FUNCTION_NAME, lx.NAME_GROUP), r"\s+", "")
+    named = K("function") & is_kind(F.col("closer_k"), "end") & (F.regexp_extract("raw", lx.FUNCTION_NAME, lx.NAME_GROUP) != "")
     return rows.select(
         "*",
         role.alias("role"),
@@ -159,7 +166,7 @@ def _events(rows: DataFrame) -> DataFrame:
     opened = F.struct(F.lit(1).alias("ev"), (n + 2).alias("at"))
     closed = F.struct(F.lit(-1).alias("ev"), (closer + F.when(keeps_text, 3).otherwise(0)).alias("at"))
     some = F.when(F.col("role").isNotNull(), F.array(row, opened, closed)).otherwise(F.array(row))
-    header = compact(F.regexp_extract("raw", f"^{lx.FUNCTION_HEADER}", 0))
+    header = header_text("raw")
     local = (F.col("prev_local") == 2) & ~F.col("prev_nl")
     signature = F.when(local, F.concat(F.lit("local "), header)).otherwise(header)
     rows = rows.withColumn("sig", F.when(K("function"), signature)).select(
