@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenscan.functions.labels import compact_label
-from lumenscan.operators import blocks, context, diagnostics, elements, lexing, rules, sequences
+from lumenscan.operators import blocks, context, diagnostics, elements, lexing, ownership, rules, sequences
 from lumenscan.operators.outline import STEP_COLUMNS, outline, steps_of
 from lumenscan.plans import outcomes, reports
 from lumenscan.plans.analysis import Analysis
@@ -212,6 +212,7 @@ def queries() -> dict[str, Query]:
             "units", lambda u: elements.elements(u).groupBy("container").agg(F.count("*").alias("n"))
         ),
         "diagnostics": _tokens(diagnostics.diagnostics),
+        "ownership": _on("units", ownership.ownership_counts),
         "parse_statistics": _on(
             "units", lambda u: outcomes.parse_statistics(u).select("unit_id", "token_count", "element_count", "diagnostic_count")
         ),

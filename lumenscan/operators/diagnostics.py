@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenscan.functions import lexicon as lx
@@ -13,6 +13,36 @@ from lumenscan.operators.lexing import in_file
 _CLOSED_STRING = "^(?:" + "|".join([lx.quoted('"', closed=True), lx.quoted("'", closed=True), lx.interpolated(2), lx.quoted("`", closed=True)]) + ")$"
 
 
+# Words that are no part of a function's name.
+_NO_NAME = (*lx.BLOCK_WORDS, "and", "break", "false", "in", "nil", "not", "or", "true")
+
+
+def _no_header() -> Column:
+    """At the first token behind ``function`` and its name: the word's place, if no bracket or no proper name is there."""
+    text, file = F.col("text"), in_file()
+    return F.when(~F.col("_part") & (F.col("_word.text") == "function"), F.when(
+        ~text.isin("(", "<") | F.col("_prev").isin(".", ":") | F.coalesce(F.last(F.when(F.col("_odd"), F.col("n")), ignorenulls=True).over(file.to) > F.col("_word.n"), F.lit(False)),
+        F.col("_word"),
+    ))
+
+
+def _with_headers(rows: DataFrame) -> DataFrame:
+    """Add ``no_header`` (see ``_no_header``): a running look back along the file, without a sort of its own."""
+    text, file = F.col("text"), in_file()
+    part = text.isin(".", ":") | (text.rlike(f"^{lx.NAME}$") & ~text.isin(*_NO_NAME))
+    rows = rows.withColumn("_part", part)
+    rows = rows.select(
+        "*",
+        F.lag("text").over(file.all).alias("_prev"),
+        F.lag("_part").over(file.all).alias("_prev_part"),
+        F.last(F.when(~F.col("_part"), F.struct("text", "n", "line", "col")), ignorenulls=True).over(file.before).alias("_word"),
+    )
+    sign, prev_sign = text.isin(".", ":"), F.coalesce(F.col("_prev").isin(".", ":"), F.lit(True))
+    odd = F.when(sign, prev_sign | ~F.col("_prev_part")).otherwise(F.col("_prev_part") & ~prev_sign)
+    rows = rows.withColumn("_odd", F.coalesce(F.col("_part") & odd, F.lit(False)))
+    return rows.withColumn("no_header", _no_header()).drop("_part", "_prev", "_prev_part", "_word", "_odd")
+
+
 def problems(tokens: DataFrame) -> DataFrame:
     """Problems of each file, and one row for the last token of a file (``count``, without a message).
 
@@ -20,10 +50,10 @@ def problems(tokens: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     unterminated = text.rlike("^[\"'`]") & ~text.rlike(_CLOSED_STRING)
-    rows = levels(numbered(tokens))
+    rows = levels(_with_headers(numbered(tokens)))
     last = F.lead("tok_no").over(in_file().all).isNull()
     rows = rows.withColumn("bad_string", unterminated).withColumn("count", F.when(last, F.col("tok_no") + 1))
-    rows = partners(rows, keep=F.col("bad_string") | F.col("count").isNotNull())
+    rows = partners(rows, keep=F.col("bad_string") | F.col("count").isNotNull() | F.col("no_header").isNotNull())
     bracket = F.when(F.col("pairs") == "bracket", " bracket").otherwise("")
     what = (
         F.when(F.col("pairs") == "other", F.when(F.col("bad_string"), "unterminated string"))
@@ -31,10 +61,12 @@ def problems(tokens: DataFrame) -> DataFrame:
         .when(~F.col("is_open") & ~F.coalesce("open_before", F.lit(False)), F.concat(F.lit("unexpected"), bracket))
     )
     message = F.concat(what, F.lit(" '"), "text", F.lit("'"))
-    found = rows.select("unit_id", F.lit("error").alias("severity"), message.alias("message"), "line", "col", "count")
-    return found.filter("message is not null or count is not null")
+    own = F.when(message.isNotNull() | F.col("count").isNotNull(), F.struct(message.alias("message"), "line", "col", "count"))
+    none = F.lit(None).cast("int")
+    header = F.when(F.col("no_header").isNotNull(), F.struct(F.lit("no header behind 'function'").alias("message"), "no_header.line", "no_header.col", none.alias("count")))
+    return rows.select("unit_id", F.lit("error").alias("severity"), F.inline(F.array_compact(F.array(own, header))))
 
 
 def diagnostics(tokens: DataFrame) -> DataFrame:
-    """Unclosed blocks, unexpected closers, unbalanced brackets, unterminated strings."""
+    """Unclosed blocks, unexpected closers, unbalanced brackets, unterminated strings, functions without a header."""
     return problems(tokens).filter("message is not null").drop("count")

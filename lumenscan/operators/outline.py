@@ -240,6 +240,12 @@ def _mark(*names: str) -> Column:
     return F.coalesce(F.col("mark").isin(*[_MARKS[n] for n in names]), F.lit(False))
 
 
+def located(units: DataFrame, min_closure_chars: int = MIN_CLOSURE_CHARS, partitions: int | None = None) -> DataFrame:
+    """Lexemes and block events with their function, depth, step number and text owner."""
+    rows = _places(_events(_roles(statements(units, partitions), min_closure_chars)))
+    return rows.withColumn("is_text", _is_text())
+
+
 def outline(units: DataFrame, min_closure_chars: int = MIN_CLOSURE_CHARS, partitions: int | None = None) -> DataFrame:
     """Functions (``kind = 'function'``) and steps of every file, in one table.
 
@@ -247,7 +253,7 @@ def outline(units: DataFrame, min_closure_chars: int = MIN_CLOSURE_CHARS, partit
     Closures whose body has at least ``min_closure_chars`` characters become steps; shorter
     ones stay in the text of their statement, and 0 makes steps of all.
     """
-    rows = _places(_events(_roles(statements(units, partitions), min_closure_chars)))
+    rows = located(units, min_closure_chars, partitions)
     ev, cont = F.col("ev"), F.col("cont")
     kept = (F.col("dropped") == 0) & (F.col("nested") > 0)
     link_end = cont & kept & (ev == -1) & ~is_kind(F.col("closer_k"), "elseif")
@@ -259,7 +265,7 @@ def outline(units: DataFrame, min_closure_chars: int = MIN_CLOSURE_CHARS, partit
         .when(cont & kept & (ev == 1), _MARKS["open"])
         .when((ev == 0) & K("else") & kept, _MARKS["else"])
     )
-    rows = rows.withColumn("mark", mark).withColumn("is_text", _is_text())
+    rows = rows.withColumn("mark", mark)
     rows = rows.filter(F.col("mark").isNotNull() | F.col("is_text"))
 
     # A chain's `end` closes each of its links, one depth apart.

@@ -72,6 +72,7 @@ DEFECTS = (
     (19, 7, "do\n"),
     (23, 11, "end\n"),
     (29, 3, "call(\n"),
+    (31, 4, "function foo end\n"),
 )
 
 # Files of a customer, by the order key; the same for customers of any size.
