@@ -49,6 +49,15 @@ def _present(sizes: np.ndarray, order: int) -> list[np.ndarray]:
     return [place >= n for n in range(order)]
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as their differences, byte by byte: the high bytes are zeros, which the shuffle packs."""
+    return np.diff(numbers, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(stored: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(stored, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _requests(order: int, buckets: int):
     """The distinct n-grams of a chunk with their counts there, dealt to buckets by ranges of their hash."""
 
@@ -61,7 +70,7 @@ def _requests(order: int, buckets: int):
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             begins, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(distinct)]))
             for a, b in zip(begins, ends) if len(distinct) else ():
-                out.append((chunk, n, int(bucket[a]), distinct[a:b].astype("<u8").tobytes(), counts[a:b].astype("<u4").tobytes()))
+                out.append((chunk, n, int(bucket[a]), _planes(distinct[a:b]), counts[a:b].astype("<u4").tobytes()))
         columns = zip(*out) if out else [()] * 5
         types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["chunk", "n", "bucket", "grams", "counts"])
@@ -71,7 +80,7 @@ def _requests(order: int, buckets: int):
 
 def _totals(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """All n-grams of one bucket and length with their counts over all documents."""
-    grams = [np.frombuffer(x, "<u8") for x in rows.column("grams").to_pylist()]
+    grams = [_from_planes(x) for x in rows.column("grams").to_pylist()]
     counts = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("counts").to_pylist()])
     each = np.concatenate(grams)
     order = np.argsort(each, kind="stable")
@@ -93,31 +102,41 @@ def _count_table(rows: pa.Table) -> pa.Table:
     return pa.table({"n": pa.array(np.full(len(known), rows.column("n")[0].as_py() + 1, np.int32)), "gram": known.view(np.int64), "count": totals})
 
 
+def _elsewhere(gram: np.ndarray, doc: np.ndarray, replies: list[np.ndarray]) -> np.ndarray:
+    """How often the n-gram at each place occurs in other documents: its count less that of its own document."""
+    distinct, inverse = np.unique(gram, return_inverse=True)
+    if not len(distinct):
+        return np.zeros(0)
+    _, own, times = np.unique(inverse * (int(doc[-1]) + 1) + doc, return_inverse=True, return_counts=True)
+    return (np.concatenate(replies)[inverse].astype(np.int64) - times[own]).astype(np.float64)
+
+
 def _scores(order: int, min_count: int, backoff: float):
     """Per document: words, the sum of log scores without log N, and how often N divides."""
 
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         sizes, grams = _ngrams(docs.column("text").to_pylist(), order)
         total = int(sizes.sum())
+        doc = np.repeat(np.arange(len(sizes)), sizes)
         answers: dict[int, list] = {}
         for n, bucket, found in sorted(zip(*(replies.column(c).to_pylist() for c in ("n", "bucket", "totals")))):
             answers.setdefault(n, []).append(np.frombuffer(found, "<u8"))
-        count = []
-        for n, present in enumerate(_present(sizes, order)):
-            _, inverse = np.unique(grams[n][present], return_inverse=True)
+        whole, count = _present(sizes, order), []
+        for n, present in enumerate(whole):
             full = np.zeros(total, np.float64)
-            if n in answers:
-                full[present] = np.concatenate(answers[n])[inverse]
+            full[present] = _elsewhere(grams[n][present], doc[present], answers.get(n, []))
             count.append(full)
         log = np.zeros(total)
         open_, weight = np.ones(total, bool), np.zeros(total)
         for n in range(order - 1, 0, -1):
             context = np.concatenate(([0.0], count[n - 1][:-1])) if total else count[n - 1]
-            seen = open_ & (count[n] >= min_count)
+            seen = open_ & whole[n] & (count[n] >= min_count)
             log[seen] = weight[seen] + np.log(count[n][seen]) - np.log(context[seen])
             open_ &= ~seen
-            weight[open_ & (count[n] > 0)] += np.log(backoff)
-        log[open_] = weight[open_] + np.log(count[0][open_])
+            weight[open_ & whole[n]] += np.log(backoff)
+        new = open_ & (count[0] < 1)
+        weight[new] += np.log(backoff)
+        log[open_] = weight[open_] + np.log(np.maximum(count[0][open_], 1))
         ends = np.concatenate(([0], np.cumsum(sizes)))
         some = np.flatnonzero(sizes)
         sums, plain = np.zeros(len(sizes)), np.zeros(len(sizes), np.int64)
@@ -149,10 +168,13 @@ def backoff_scores(
     """doc_id, n_tokens, log_score, mean_log_score of every row of ``docs``.
 
     The score of a word after its context is count(n-gram) / count(context) if the n-gram occurs
-    at least ``min_count`` times in all documents, else ``backoff`` times the score after a context
-    shorter by one word; a lone word scores count / number of words. log_score sums the logarithms.
-    With a ``min_count`` of 2, an n-gram that only its own document has once is no evidence for it. At the beginning of
-    a text the context is what there is, without a penalty.
+    at least ``min_count`` times in other documents, else ``backoff`` times the score after a
+    context shorter by one word; a lone word scores count / number of words, and one that no other
+    document has ``backoff`` times that of a word met once. All counts are over all documents less
+    those of the scored document itself (one word at least), so no text vouches for itself; a copy of it does.
+    log_score sums the logarithms. At the beginning of a text the context is what there is,
+    without a penalty. n-grams are 64-bit hashes: two that share a hash share their count, which
+    among a billion different ones happens about once in forty corpora.
 
     Documents are dealt into chunks of ``chunk_bytes``. The distinct n-grams of a chunk and their
     counts go to the partition of their hash, where all counts of an n-gram are added up and
@@ -171,7 +193,8 @@ def backoff_scores(
     )
     scored = write_stage(scored, "backoff")
     words = scored.agg(F.sum("n_tokens")).first()[0] or 0
-    log = F.col("sum_log") - F.col("n_unigram") * F.lit(float(np.log(max(words, 1))))
+    elsewhere = F.greatest(F.lit(words) - F.col("n_tokens"), F.lit(1))
+    log = F.col("sum_log") - F.col("n_unigram") * F.ln(elsewhere)
     return scored.select("doc_id", "n_tokens", log.alias("log_score")).withColumn(
         "mean_log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens"))
     )

@@ -61,13 +61,8 @@ def _scores(scores: DataFrame) -> DataFrame:
 
 
 def op8_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigrams seen twice, as its SQL says."""
-    return _scores(backoff.backoff_scores(documents(spark, sf_dir), order=2, min_count=2))
-
-
-def op8_backoff_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every trigram and bigram that occurs, so that a score sees two words of context."""
-    return _scores(backoff.backoff_scores(documents(spark, sf_dir)))
+    """Trigrams, backing off to what other documents have."""
+    return _scores(backoff.backoff_scores(documents(spark, sf_dir), order=3))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +95,6 @@ QUERIES: dict[str, Query] = {
     "op6_order_minhash": op6_order_minhash,
     "op7_warc": op7_warc,
     "op8_backoff": op8_backoff,
-    "op8_backoff_trigrams": op8_backoff_trigrams,
     "op9_simhash": op9_simhash,
     "op10_id_files": op10_id_files,
     "op11_variants": op11_variants,

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lumenscan.llm import backoff, queries
+from lumenscan.llm import backoff
 from lumenscan.llm import order_minhash as om
 
 from .conftest import ODD
@@ -82,17 +82,25 @@ def test_plain_fingerprints_equal_those_of_edits(odd_docs):
 
 def brute_scores(rows, order, min_count):
     texts = [backoff.words_of(t) for _, t in rows]
-    counts = Counter(tuple(ws[i : i + n]) for ws in texts for n in range(1, order + 1) for i in range(len(ws) - n + 1))
+    ngrams = lambda ws: Counter(tuple(ws[i : i + n]) for n in range(1, order + 1) for i in range(len(ws) - n + 1))
+    counts = sum(map(ngrams, texts), Counter())
     total = sum(map(len, texts))
 
-    def word(history, w):
-        if not history:
-            return math.log(counts[(w,)] / total)
-        if counts[(*history, w)] >= min_count:
-            return math.log(counts[(*history, w)] / counts[history])
-        return math.log(0.4) + word(history[1:], w)
+    def score(ws):
+        own = ngrams(ws)
+        n = lambda gram: counts[gram] - own[gram]
 
-    return [(i, len(ws), sum(word(tuple(ws[max(0, j - order + 1) : j]), w) for j, w in enumerate(ws))) for (i, _), ws in zip(rows, texts)]
+        def word(history, w):
+            if not history:
+                here = math.log(max(n((w,)), 1) / max(total - len(ws), 1))
+                return here if n((w,)) else here + math.log(0.4)
+            if n((*history, w)) >= min_count:
+                return math.log(n((*history, w)) / n(history))
+            return math.log(0.4) + word(history[1:], w)
+
+        return sum(word(tuple(ws[max(0, j - order + 1) : j]), w) for j, w in enumerate(ws))
+
+    return [(i, len(ws), score(ws)) for (i, _), ws in zip(rows, texts)]
 
 
 @pytest.mark.parametrize("order,min_count,chunk", [(2, 2, 1 << 20), (3, 2, 300), (1, 1, 100), (4, 1, 1000)])
@@ -112,9 +120,14 @@ def test_count_table(docs_of, no_docs):
     assert backoff.backoff_scores(no_docs).collect() == [] and backoff.ngram_counts(no_docs).collect() == []
 
 
-def test_trigrams_are_registered_and_every_ngram_counts(docs_of):
-    rows = [(1, "a b c d"), (2, "b c e"), (3, "x a b c")]
-    got = sorted(backoff.backoff_scores(docs_of(rows)).collect())
-    for g, w in zip(got, sorted(brute_scores(rows, 3, 1)), strict=True):
+def test_words_found_nowhere_else_score_below_fluent_text(docs_of):
+    fluent = "the cat sat on the mat and the dog sat on the rug"
+    rows = [(i, " ".join(fluent.split()[i % 4 :]) + f" today {i}") for i in range(20)]
+    rows += [(100, "zq1 zq2 zq3 zq4 zq5 zq6 zq7 zq8 zq9 zq10"), (101, "the rug sat on the dog"), (102, "alone")]
+    got = {r.doc_id: r for r in backoff.backoff_scores(docs_of(rows)).collect()}
+    for g, w in zip(sorted(got.values()), sorted(brute_scores(rows, 3, 1)), strict=True):
         assert g[:2] == w[:2] and g.log_score == pytest.approx(w[2])
-    assert "op8_backoff_trigrams" in queries.QUERIES
+    means = {i: r.mean_log_score for i, r in got.items()}
+    assert means[100] < means[101] < means[0] and all(means[100] <= m for m in means.values())
+    (single,) = backoff.backoff_scores(docs_of([(1, "a b")])).collect()
+    assert single.log_score == pytest.approx(math.log(0.4) * 3)
