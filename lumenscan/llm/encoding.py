@@ -80,6 +80,7 @@ class _Letters:
         specials = "|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values())
         self._special = re.compile(specials or "(?!)")
         self._table = str.maketrans({c: x[0] for c, x in seen.items()}) if fits else None
+        self._plain = fits and all(seen[c] == [c.lower()] for c in LETTERS if c.isascii())
         self._shape = re.compile(rf"([!-&(-/:-@\[-`{{-~]*)([{LETTERS}]+)([!-/:-@\[-`{{-~]*)")
 
     def _seen(self, text: str) -> list[str]:
@@ -89,6 +90,8 @@ class _Letters:
 
     def ids(self, piece: str) -> list[int] | None:
         """The ids of ``piece``, or nothing if it has another shape."""
+        if self._plain and piece.isascii() and piece.isalpha():  # the usual case, without a search
+            return [t.id for t in self.model.tokenize(piece.lower())]
         shape = self._shape.fullmatch(piece) if self._table else None
         if not shape:
             return None

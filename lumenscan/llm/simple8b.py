@@ -43,10 +43,11 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         have = widest[span := 1 << (count.bit_length() - 1)]
         most = np.maximum(have[:total], have[count - span : count - span + total])
         choice[most <= bits] = selector
-    step, at, begins = _COUNTS[choice].tolist(), 0, []
+    onward, at, begins = (np.arange(total) + _COUNTS[choice]).tolist(), 0, []
+    append = begins.append
     while at < total:
-        begins.append(at)
-        at += step[at]
+        append(at)
+        at = onward[at]
     begin = np.array(begins, np.int64)
     chosen = choice[begin]
     words = chosen.astype(np.uint64) << np.uint64(60)
