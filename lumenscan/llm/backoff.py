@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,39 +50,81 @@ def _present(sizes: np.ndarray, order: int) -> list[np.ndarray]:
     return [place >= n for n in range(order)]
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers as their differences, byte by byte: the high bytes are zeros, which the shuffle packs."""
-    return np.diff(numbers, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _pack(numbers: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte, lowest first, and compressed: their high bytes are mostly zeros."""
+    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
-def _from_planes(stored: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(stored, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+def _unpack(stored: bytes) -> np.ndarray:
+    n = int.from_bytes(stored[:8], "little")
+    planes = np.frombuffer(pa.decompress(stored[8:], n * 8, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
 
 
-def _requests(order: int, buckets: int):
-    """The distinct n-grams of a chunk with their counts there, dealt to buckets by ranges of their hash."""
+def _dealt(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of a task with the number of their chunk, which is the same whenever they are read."""
+    before = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), np.int64)
+        nth = (before + np.cumsum(sizes) - sizes) // chunk_bytes
+        before += int(sizes.sum())
+        cuts = (np.flatnonzero(np.diff(nth)) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+            yield (batch.column("part")[0].as_py() << 32) + int(nth[a]), batch.slice(a, b - a)
 
-    def run(rows: pa.Table) -> pa.Table:
-        sizes, grams = _ngrams(rows.column("text").to_pylist(), order)
-        chunk, out = rows.column("chunk")[0].as_py(), []
+
+def _texts(chunk_bytes: int):
+    """Rows on their way to their chunk: packed Arrow batches of doc_id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, rows in _dealt(batches, chunk_bytes):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "rows"])
+
+    return run
+
+
+_ASKED = pa.schema([("chunk", pa.int64()), ("n", pa.int32()), ("bucket", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+
+
+def _requests(order: int, buckets: int, chunk_bytes: int):
+    """The distinct n-grams of each chunk with their counts there, dealt to buckets by ranges of their hash."""
+
+    def asked(chunk: int, texts: list[str | None]) -> pa.RecordBatch:
+        sizes, grams = _ngrams(texts, order)
+        out = []
         for n, present in enumerate(_present(sizes, order)):
             distinct, counts = np.unique(grams[n][present], return_counts=True)
             bucket = (distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             begins, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(distinct)]))
             for a, b in zip(begins, ends) if len(distinct) else ():
-                out.append((chunk, n, int(bucket[a]), _planes(distinct[a:b]), counts[a:b].astype("<u4").tobytes()))
-        columns = zip(*out) if out else [()] * 5
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["chunk", "n", "bucket", "grams", "counts"])
+                out.append((chunk, n, int(bucket[a]), _pack(np.diff(distinct[a:b], prepend=np.uint64(0))), _pack(counts[a:b])))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 5, _ASKED)], schema=_ASKED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for chunk, rows in _dealt(batches, chunk_bytes):
+            if chunk != now and held:
+                yield asked(now, held)
+                held = []
+            now = chunk
+            held += rows.column("text").to_pylist()
+        if held:
+            yield asked(now, held)
 
     return run
 
 
 def _totals(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """All n-grams of one bucket and length with their counts over all documents."""
-    grams = [_from_planes(x) for x in rows.column("grams").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("counts").to_pylist()])
+    grams = [np.cumsum(_unpack(x), dtype=np.uint64) for x in rows.column("grams").to_pylist()]
+    counts = np.concatenate([_unpack(x) for x in rows.column("counts").to_pylist()])
     each = np.concatenate(grams)
     order = np.argsort(each, kind="stable")
     begins = np.flatnonzero(np.concatenate(([True], each[order][1:] != each[order][:-1])))
@@ -91,7 +134,7 @@ def _totals(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
 def _replies(rows: pa.Table) -> pa.Table:
     """The count table of one bucket joined to the n-grams each chunk has there, in the chunk's order."""
     known, totals, grams = _totals(rows)
-    out = [totals[np.searchsorted(known, g)].astype("<u8").tobytes() for g in grams]
+    out = [_pack(totals[np.searchsorted(known, g)]) for g in grams]
     return pa.Table.from_arrays(
         [rows.column(c) for c in ("chunk", "n", "bucket")] + [pa.chunked_array([pa.array(out, pa.binary())])], names=["chunk", "n", "bucket", "totals"]
     )
@@ -107,20 +150,24 @@ def _elsewhere(gram: np.ndarray, doc: np.ndarray, replies: list[np.ndarray]) ->
     distinct, inverse = np.unique(gram, return_inverse=True)
     if not len(distinct):
         return np.zeros(0)
+    told = np.concatenate(replies)
+    if len(told) != len(distinct):
+        raise ValueError("the rows of a chunk were not the same when they were read again")
     _, own, times = np.unique(inverse * (int(doc[-1]) + 1) + doc, return_inverse=True, return_counts=True)
-    return (np.concatenate(replies)[inverse].astype(np.int64) - times[own]).astype(np.float64)
+    return (told[inverse].astype(np.int64) - times[own]).astype(np.float64)
 
 
 def _scores(order: int, min_count: int, backoff: float):
     """Per document: words, the sum of log scores without log N, and how often N divides."""
 
-    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
+    def run(packed: pa.Table, replies: pa.Table) -> pa.Table:
+        docs = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in packed.column("rows")])
         sizes, grams = _ngrams(docs.column("text").to_pylist(), order)
         total = int(sizes.sum())
         doc = np.repeat(np.arange(len(sizes)), sizes)
         answers: dict[int, list] = {}
         for n, bucket, found in sorted(zip(*(replies.column(c).to_pylist() for c in ("n", "bucket", "totals")))):
-            answers.setdefault(n, []).append(np.frombuffer(found, "<u8"))
+            answers.setdefault(n, []).append(_unpack(found))
         whole, count = _present(sizes, order), []
         for n, present in enumerate(whole):
             full = np.zeros(total, np.float64)
@@ -148,17 +195,19 @@ def _scores(order: int, min_count: int, backoff: float):
     return run
 
 
-def _chunked(docs: DataFrame, chunk_bytes: int, bucket_bytes: int) -> tuple[DataFrame, int]:
+def _parts(docs: DataFrame, bucket_bytes: int) -> tuple[DataFrame, int]:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks, buckets = -(-total // chunk_bytes) or 1, -(-total // bucket_bytes) or 1
-    return rows.withColumn("chunk", F.pmod(F.monotonically_increasing_id(), F.lit(chunks))), buckets
+    return rows.withColumn("part", F.spark_partition_id().cast("bigint")), -(-total // bucket_bytes) or 1
+
+
+_ASKS = "chunk bigint, n int, bucket bigint, grams binary, counts binary"
 
 
 def ngram_counts(docs: DataFrame, order: int = 2, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The count tables: n, gram (64-bit hash), count over all documents, partitioned by hash."""
-    rows, buckets = _chunked(docs, chunk_bytes, bucket_bytes)
-    asked = rows.groupBy("chunk").applyInArrow(_requests(order, buckets), "chunk bigint, n int, bucket bigint, grams binary, counts binary")
+    rows, buckets = _parts(docs, bucket_bytes)
+    asked = rows.mapInArrow(_requests(order, buckets, chunk_bytes), _ASKS)
     return asked.groupBy("n", "bucket").applyInArrow(_count_table, "n int, gram bigint, count bigint")
 
 
@@ -176,7 +225,7 @@ def backoff_scores(
     without a penalty. n-grams are 64-bit hashes: two that share a hash share their count, which
     among a billion different ones happens about once in forty corpora.
 
-    Documents are dealt into chunks of ``chunk_bytes``. The distinct n-grams of a chunk and their
+    The rows of a task are dealt into chunks of ``chunk_bytes``, in the order in which they are read. The distinct n-grams of a chunk and their
     counts go to the partition of their hash, where all counts of an n-gram are added up and
     joined back to the n-grams of the chunks; only the counts return, in the order that the chunk
     knows. So a frequent n-gram is one entry per chunk, and the texts move once.
@@ -185,10 +234,11 @@ def backoff_scores(
     repeated doc_ids are scored row by row; an empty table gives an empty one; other columns
     are ignored.
     """
-    rows, buckets = _chunked(docs, chunk_bytes, bucket_bytes)
-    asked = rows.groupBy("chunk").applyInArrow(_requests(order, buckets), "chunk bigint, n int, bucket bigint, grams binary, counts binary")
+    rows, buckets = _parts(docs, bucket_bytes)
+    asked = rows.mapInArrow(_requests(order, buckets, chunk_bytes), _ASKS)
     told = asked.groupBy("n", "bucket").applyInArrow(_replies, "chunk bigint, n int, bucket bigint, totals binary")
-    scored = rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(
+    texts = rows.mapInArrow(_texts(chunk_bytes), "chunk bigint, rows binary")
+    scored = texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(
         _scores(order, min_count, backoff), "doc_id bigint, n_tokens bigint, sum_log double, n_unigram bigint"
     )
     scored = write_stage(scored, "backoff")
