@@ -147,6 +147,21 @@ def _inside_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "pos", "tag", "n_blocks")
 
 
+def _view_spans(events: DataFrame) -> DataFrame:
+    """Views of a user paired with the clicks that close them, over buckets of events."""
+    change = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", -1)
+    marks = events.select("user_id", "event_id", change.alias("delta")).filter("delta is not null")
+    return sequences.level_pairs(marks, ["user_id"], "event_id", "delta", F.floor(F.col("event_id") / 500))
+
+
+def _url_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose text is as long as that of the page before them by address, per last digit of that length."""
+    pages = _table(spark, sf_dir, "pages").select(
+        (F.length("html") % 10).alias("digit"), "url", "page_id", (F.length("html") % 100).alias("size")
+    )
+    return sequences.adjacent_duplicates(pages, ["digit"], ["url", "page_id"], "size", sequences.data_buckets(pages, ["url", "page_id"]))
+
+
 def _typed(units: DataFrame) -> DataFrame:
     """Steps of the corpus with a return type on every multi-line function."""
     header = r"(function [A-Za-z0-9_.]+)\(x\)\n"
@@ -253,6 +268,8 @@ def queries() -> dict[str, Query]:
         "after_terminator_all": _after(False),
         "nesting_depth": lambda spark, d: sequences.nesting_depth(_tags(spark, d), ["page_id"], ["pos"], F.col("delta")),
         "inside_block": _inside_article,
+        "level_pairs_events": _events(_view_spans),
+        "adjacent_duplicates_urls": _url_neighbours,
         "group_missing_partner": _events(
             lambda e: sequences.group_missing_partner(
                 e, ["user_id"], F.col("event_type") == "signup", F.col("event_type") == "purchase"

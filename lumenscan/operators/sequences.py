@@ -6,8 +6,9 @@ depth, rows inside a block, and groups that lack a partner row.
 A key may hold a large share of all rows.  ``bucket`` cuts every key along its order: an
 expression that never falls as the order rises, such as the day of a timestamp or
 ``floor(pos / 10000)``.  Windows then run per (key, bucket), and what earlier buckets of a
-key hand over comes from a table with one row per bucket.  Without a bucket a key is one
-group, which suits keys that are one row of the input, as the tags of a page.
+key hand over comes from a table with one row per bucket.  ``data_buckets`` draws the cut
+points of such an expression from the data, for orders of any type.  Without a bucket a key is
+one group, which suits keys that are one row of the input, as the tags of a page.
 """
 
 from __future__ import annotations
@@ -17,6 +18,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
+# Rows drawn for each cut point of `data_buckets`; a bucket is then off its even share by about a sixth.
+DRAWN_PER_CUT = 32
+
+
+def data_buckets(df: DataFrame, order: list[str], n: int | None = None, seed: int = 0) -> Column:
+    """A bucket expression for ``df`` and ``order``: about ``n`` even buckets of all rows, the same for every key.
+
+    A job over the order columns alone draws ``n * DRAWN_PER_CUT`` rows by chance (each task keeps
+    no more) and takes ``n - 1`` of them, evenly placed, as cut points.  These only place rows:
+    the operators' results are the same for any cut points.  The columns may be of any type that
+    can be sorted; nulls come first, as in a window.  ``n`` is by default the session's number of
+    shuffle partitions.  Rows with equal orders share a bucket; without rows there is one bucket.
+    """
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n < 1:
+        raise ValueError(f"buckets must be 1 or more, not {n}")
+    names = [f"_{i}" for i in range(len(order))]
+    fields = df.select(*order).schema.fields
+    drawn = df.select(*[F.col(c).alias(name) for c, name in zip(order, names)]).orderBy(F.rand(seed)).limit(n * DRAWN_PER_CUT)
+    drawn = drawn.orderBy(*names).collect()
+    cuts = [drawn[i * len(drawn) // n] for i in range(1, n)] if drawn else []
+    if not cuts:
+        return F.lit(0)
+    literal = lambda row: F.struct(*[F.lit(v).cast(f.dataType).alias(name) for v, f, name in zip(row, fields, names)])
+    place = F.struct(*[F.col(c).alias(name) for c, name in zip(order, names)])
+    return F.size(F.filter(F.array(*map(literal, cuts)), lambda cut: cut <= place))
 
 
 def _bucketed(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
@@ -99,6 +126,11 @@ def nesting_depth(
     df: DataFrame, keys: list[str], order: list[str], delta: Column, bucket: Column | None = None
 ) -> DataFrame:
     """Add ``depth``: the running sum of ``delta`` up to and including the row."""
+    return _running(df, keys, order, delta, bucket).select(*df.columns, "depth")
+
+
+def _running(df: DataFrame, keys: list[str], order: list[str], delta: Column, bucket: Column | None) -> DataFrame:
+    """``nesting_depth`` with the bucket of each row, if there are buckets."""
     _, _, to = _along(keys, order, bucket)
     rows = df.withColumn("_delta", delta.cast("bigint"))
     rows = rows if bucket is None else _bucketed(rows, keys, bucket)
@@ -108,7 +140,7 @@ def nesting_depth(
         earlier = _buckets_of(keys)[1]
         rows = _carried(rows, keys, [F.sum("_delta").alias("_sum")], {"_carry": F.sum("_sum").over(earlier)})
         depth = depth + F.coalesce("_carry", F.lit(0))
-    return rows.select(*df.columns, depth.alias("depth"))
+    return rows.select(*df.columns, *([] if bucket is None else [BUCKET]), depth.alias("depth"))
 
 
 def inside_block(
@@ -140,18 +172,27 @@ def inside_block(
     return placed.filter(F.col("_row").isNotNull()).select("_row.*", F.col("depth").alias("n_blocks"))
 
 
-def level_pairs(rows: DataFrame, keys: list[str], pos: str, delta: str) -> DataFrame:
+def level_pairs(rows: DataFrame, keys: list[str], pos: str, delta: str, bucket: Column | None = None) -> DataFrame:
     """``keys``, ``start`` and ``end`` of blocks among openers (``delta`` 1) and closers (-1).
 
-    An opener's partner is the next row on its own level, if that closes.
+    An opener's partner is the next row on its own level, if that closes.  With ``bucket`` a
+    bucket is summed up by its net change of level and by its first row on every level.  Merged
+    along the buckets of a key, the changes give the level at which each bucket begins, and the
+    first rows give an opener that is the last of its level in its bucket the row to look at,
+    however many buckets away.  So no task holds a key, nor a level of it.
     """
-    file = W.partitionBy(*keys).orderBy(pos).rowsBetween(W.unboundedPreceding, W.currentRow)
-    level = F.sum(delta).over(file) + F.when(F.col(delta) < 0, 1).otherwise(0)
-    along = W.partitionBy(*keys, "_level").orderBy(pos)
-    paired = rows.withColumn("_level", level).select(
-        *keys, F.col(pos).alias("start"), F.lead(pos).over(along).alias("end"), delta, F.lead(delta).over(along).alias("_next")
-    )
-    return paired.filter((F.col(delta) > 0) & (F.col("_next") < 0)).select(*keys, "start", "end")
+    placed = _running(rows.select(*keys, pos, delta), keys, [pos], F.col(delta), bucket)
+    placed = placed.withColumn("_level", F.col("depth") + F.when(F.col(delta) < 0, 1).otherwise(0))
+    row = F.struct(F.col(pos).alias("pos"), F.col(delta).alias("delta"))
+    here = [*keys, "_level"] if bucket is None else [*keys, BUCKET, "_level"]
+    placed = placed.withColumn("_next", F.lead(row).over(W.partitionBy(*here).orderBy(pos)))
+    if bucket is not None:
+        level = [*keys, "_level"]
+        first = F.min_by(row, F.col(pos)).alias("_first")
+        placed = _carried(placed, level, [first], {"_carry": F.lead("_first").over(_buckets_of(level)[0])})
+        placed = placed.withColumn("_next", F.coalesce("_next", "_carry"))
+    pair = placed.filter((F.col(delta) > 0) & (F.col("_next")["delta"] < 0))
+    return pair.select(*keys, F.col(pos).alias("start"), F.col("_next")["pos"].alias("end"))
 
 
 def group_missing_partner(df: DataFrame, keys: list[str], has: Column, lacks: Column) -> DataFrame:

@@ -567,6 +567,17 @@ def _sequences() -> dict[str, str]:
                ON c.page_id = o.page_id AND c.nth = o.nth AND o.delta = 1 AND c.delta = -1)"""],
             """SELECT t.page_id, t.pos, t.tag, count(b.s) AS n_blocks FROM tags t LEFT JOIN blocks b
                ON b.page_id = t.page_id AND b.s < t.pos AND t.pos <= b.e GROUP BY ALL"""),
+        "level_pairs_events": """WITH marks AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 1 ELSE -1 END AS delta
+              FROM events WHERE event_type IN ('view', 'click')),
+            placed AS (SELECT *, sum(delta) OVER (PARTITION BY user_id ORDER BY event_id) + CASE WHEN delta < 0 THEN 1 ELSE 0 END AS level
+              FROM marks),
+            followed AS (SELECT *, lead(event_id) OVER w AS next_id, lead(delta) OVER w AS next_delta FROM placed
+              WINDOW w AS (PARTITION BY user_id, level ORDER BY event_id))
+            SELECT user_id, event_id AS "start", next_id AS "end" FROM followed WHERE delta = 1 AND next_delta = -1""",
+        "adjacent_duplicates_urls": """WITH p AS (SELECT CAST(length(html) % 10 AS INT) AS digit, url, page_id,
+              CAST(length(html) % 100 AS INT) AS size FROM pages),
+            prev AS (SELECT *, lag(size) OVER (PARTITION BY digit ORDER BY url, page_id) AS before FROM p)
+            SELECT digit, url, page_id, size FROM prev WHERE before = size""",
         "group_missing_partner": """SELECT user_id FROM events GROUP BY user_id
             HAVING bool_or(event_type = 'signup') AND NOT bool_or(event_type = 'purchase')""",
         "group_missing_partner_daily": """SELECT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events GROUP BY ALL

@@ -111,6 +111,66 @@ def test_nested_blocks_pair_by_level(spark):
     assert sorted(map(tuple, got)) == [(1, 0, 3), (1, 1, 2), (2, 1, 2)]
 
 
+def pairs_of(events):
+    """Pairs of each key by walking its rows, one open row for each level."""
+    out = []
+    for key, rows in groups(events).items():
+        level, last = 0, {}
+        for _, pos, _, delta in rows:
+            level += delta
+            at = level + (delta < 0)
+            before = last.get(at)
+            if before and before[1] > 0 and delta < 0:
+                out.append((key, before[0], pos))
+            last[at] = (pos, delta)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("width", WIDTHS)
+def test_level_pairs_cross_buckets(frame, events, width):
+    got = sq.level_pairs(frame, ["key"], "pos", "delta", bucket(width)).collect()
+    assert sorted(map(tuple, got)) == pairs_of(events)
+
+
+def test_a_pair_spans_many_buckets(spark):
+    rows = [(None, 0, 1)] + [(None, i, 1 if i % 2 else -1) for i in range(1, 401)] + [(None, 999, -1)]
+    df = spark.createDataFrame(rows, "key int, pos int, delta int")
+    got = sq.level_pairs(df, ["key"], "pos", "delta", F.floor(F.col("pos") / 7)).collect()
+    assert sorted((r["start"], r["end"]) for r in got) == [(0, 999)] + [(i, i + 1) for i in range(1, 401, 2)]
+    assert not sq.level_pairs(df.limit(0), ["key"], "pos", "delta", F.floor(F.col("pos") / 7)).collect()
+
+
+@pytest.mark.parametrize("n", [1, 2, 16, 400])
+def test_buckets_from_the_data(spark, events, n):
+    """String orders with nulls and ties, and null keys: the rows are those without a bucket."""
+    rows = [(None if k == 0 else k, None if p % 50 == 0 else f"p{p // 2:04d}", p, v, d) for k, p, v, d in events]
+    df = spark.createDataFrame(rows, "key int, name string, pos int, value string, delta int")
+    cut = sq.data_buckets(df, ["name", "pos"], n)
+    order = ["name", "pos"]
+    sizes = [r["count"] for r in df.groupBy(cut.alias("b")).count().collect()]
+    assert n == 1 or (len(sizes) > n / 4 and max(sizes) < 4 * len(rows) / min(n, len(sizes)) + 30)
+    for run in (
+        lambda b: sq.adjacent_duplicates(df, ["key"], order, "value", b),
+        lambda b: sq.after_terminator(df, ["key"], order, F.col("value") == "c", False, b),
+        lambda b: sq.nesting_depth(df, ["key"], order, F.col("delta"), b),
+    ):
+        assert sorted(map(repr, run(cut).collect())) == sorted(map(repr, run(None).collect()))
+
+
+def test_buckets_of_other_types(spark):
+    df = spark.range(1000).select(
+        F.timestamp_seconds("id").alias("ts"), F.to_date(F.timestamp_seconds(F.col("id") * 40000)).alias("day"),
+        (F.col("id") / 3).alias("x"), F.when(F.col("id") % 9 > 0, F.col("id").cast("decimal(12,2)")).alias("d"),
+    )
+    for column in df.columns:
+        buckets = df.groupBy(sq.data_buckets(df, [column], 8).alias("b")).agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count("*").alias("n"))
+        rows = buckets.orderBy("b").collect()
+        assert len(rows) >= 7 and all(a["hi"] < b["lo"] for a, b in zip(rows, rows[1:]) if a["hi"] is not None)
+    assert {r[0] for r in df.limit(0).select(sq.data_buckets(df.limit(0), ["ts"], 8)).collect()} == set()
+    with pytest.raises(ValueError):
+        sq.data_buckets(df, ["ts"], -1)
+
+
 def test_group_missing_partner(frame, events):
     want = {k for k, g in groups(events).items() if any(r[2] == "a" for r in g) and not any(r[2] == "c" for r in g)}
     got = sq.group_missing_partner(frame, ["key"], F.col("value") == "a", F.col("value") == "c").collect()
