@@ -13,6 +13,7 @@ from lumenscan.operators import blocks, context, diagnostics, elements, lexing,
 from lumenscan.operators.outline import STEP_COLUMNS, outline, steps_of
 from lumenscan.plans import outcomes, reports
 from lumenscan.plans.analysis import Analysis
+from lumenscan.plans.content import ContentStore
 from lumenscan.session import work_dir
 from lumenscan.sources.corpus import script_corpus
 from lumenscan.sources.files import decode_source, read_steps, write_report
@@ -162,6 +163,47 @@ def _url_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.adjacent_duplicates(pages, ["digit"], ["url", "page_id"], "size", sequences.data_buckets(pages, ["url", "page_id"]))
 
 
+def _own_rules() -> list[rules.Rule]:
+    """Two rules of a caller: calls inside an ``if`` or a loop, and functions of 20 steps or more."""
+    inside = F.col("in_loop") | (F.col("if_depth") > 0)
+    return [
+        rules.Rule(101, "nested-call", "info", (F.col("kind") == "action") & inside & F.col("label").contains("("), "'{label}' {if_depth} deep in '{f}'"),
+        rules.Rule(102, "twenty-steps", "warning", F.col("n_steps") >= 20, "'{f}' has {n_steps} steps", whole_function=True),
+    ]
+
+
+def _own_findings(steps: DataFrame, functions: DataFrame) -> DataFrame:
+    return rules.findings(steps, functions, rules=("nested-call", "twenty-steps"), extra=_own_rules())
+
+
+def _own_rule_counts(steps: DataFrame, functions: DataFrame) -> DataFrame:
+    """All thirty rules and two more in one pass, counted."""
+    return reports.rule_counts(rules.findings(steps, functions, extra=_own_rules()))
+
+
+def _kept(spark: SparkSession, sf_dir: str, kind: str, derive: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The corpus with two copies of each file, and results kept by content from a run over the plain corpus."""
+    units = analysis(spark, sf_dir).units
+    name = f"contents-{spark.sparkContext.applicationId}-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
+    store = ContentStore(spark, f"{work_dir(spark).rstrip('/')}/{name}")
+    store.update(units, kind, derive)
+    copies = units.withColumn("copy", F.explode(F.array(F.lit(""), F.lit("#1"), F.lit("#2"))))
+    copies = copies.withColumn("unit_id", F.concat("unit_id", "copy")).drop("copy")
+    return copies, store.rows(copies, kind, derive)
+
+
+def _statistics(units: DataFrame) -> DataFrame:
+    return outcomes.parse_statistics(units).select("unit_id", *outcomes.STATISTICS)
+
+
+def _outcomes_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcomes.outcomes(*_kept(spark, sf_dir, "statistics", _statistics))
+
+
+def _steps_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir, "steps", lambda u: steps_of(outline(u)).select(*STEP_COLUMNS))[1]
+
+
 def _typed(units: DataFrame) -> DataFrame:
     """Steps of the corpus with a return type on every multi-line function."""
     header = r"(function [A-Za-z0-9_.]+)\(x\)\n"
@@ -232,6 +274,8 @@ def queries() -> dict[str, Query]:
             "units", lambda u: outcomes.parse_statistics(u).select("unit_id", "token_count", "element_count", "diagnostic_count")
         ),
         "outcomes": _on("units", outcomes.outcomes),
+        "outcomes_by_content": _outcomes_by_content,
+        "steps_by_content": _steps_by_content,
         "job_summary": _on("units", lambda u: outcomes.job_summary(outcomes.statuses(u))),
         "job_invariants": _on("units", _job_invariants),
         "job_report": _on("units", _job_report),
@@ -244,6 +288,8 @@ def queries() -> dict[str, Query]:
         "type_checks": _on(steps, context.type_checks),
         "terminators": _on(steps, context.terminators),
         "findings": _on(both, rules.findings),
+        "findings_own": _on(both, _own_findings),
+        "rule_counts_own": _on(both, _own_rule_counts),
         "severity_summary": _on("findings", reports.severity_summary),
         "rule_counts": _on("findings", reports.rule_counts),
         "file_report": _on("units,findings", _file_report),

@@ -1,15 +1,18 @@
-"""The thirty rules.
+"""The thirty rules, and those a caller adds.
 
 A rule is data: a number, a name, a severity and one or more *arms*, each a predicate
 over one step with its context and the message it yields.  All row rules run in one pass
-over the steps, which lists the arms a step satisfies.
+over the steps, which lists the arms a step satisfies.  A caller's ``Rule`` is checked
+against the columns it may read, and runs in the same pass.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +78,57 @@ class Arm:
     times: Column | None = None
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A rule of the caller's.
+
+    ``when`` reads a step with its context and siblings (``kind``, ``label``, ``condition``,
+    ``in_loop``, ``if_depth``, ``has_exit``, ``prev_label`` ...), or, if ``whole_function``, a
+    function with ``n_steps``, ``connects`` and ``cleans``.  Places such as ``{label}`` in
+    ``message`` are columns of the same row, ``{f}`` is the function name; a null is shown as
+    nothing.  A predicate that is null does not hold.
+    """
+
+    no: int
+    name: str
+    severity: str
+    when: Column
+    message: str
+    whole_function: bool = False
+
+    def arm(self) -> Arm:
+        parts = {name: F.coalesce(F.col("fn_name" if name == "f" else name).cast("string"), F.lit("")) for name in re.findall(r"\{(\w+)\}", self.message)}
+        return Arm(self.name, self.when, text(self.message, **parts) if self.message else F.lit(""))
+
+
+def _checked(extra: Iterable[Rule]) -> list[Rule]:
+    """``extra``, if its numbers and names are new and its severities known."""
+    numbers, names = {no for no, _, _ in RULES}, set(RULE_NAMES)
+    extra = list(extra)
+    for rule in extra:
+        if rule.no in numbers or rule.name in names:
+            raise ValueError(f"rule {rule.no} '{rule.name}' is there already")
+        if rule.severity not in (ERROR, WARNING, INFO):
+            raise ValueError(f"rule '{rule.name}': unknown severity '{rule.severity}'")
+        numbers.add(rule.no)
+        names.add(rule.name)
+    return extra
+
+
+def _arms_of(rows: DataFrame, extra: list[Rule]) -> list[Arm]:
+    """Arms of ``extra`` over ``rows``, whose schema must have what they read."""
+    arms = []
+    for rule in extra:
+        try:
+            kinds = rows.select(rule.when.alias("when"), rule.arm().message.alias("message")).dtypes
+        except AnalysisException as error:
+            raise ValueError(f"rule '{rule.name}' cannot be read from its rows: {error}") from error
+        if kinds[0][1] != "boolean":
+            raise ValueError(f"rule '{rule.name}': its predicate is {kinds[0][1]}, not boolean")
+        arms.append(rule.arm())
+    return arms
+
+
 def text(template: str, **parts: Column) -> Column:
     """A message from a template with ``{name}`` places; ``{f}`` is the function name."""
     parts = {"f": F.col("fn_name"), **parts}
@@ -328,7 +382,7 @@ def function_arms(max_function_steps: int = 50) -> list[Arm]:
     ]
 
 
-def _hits(rows: DataFrame, arms: list[Arm], step_no: Column) -> DataFrame:
+def _hits(rows: DataFrame, arms: list[Arm], step_no: Column, extra: list[Rule]) -> DataFrame:
     """One finding per satisfied arm.
 
     The arms form one array that a lambda filters.  Spark evaluates it expression by
@@ -336,6 +390,7 @@ def _hits(rows: DataFrame, arms: list[Arm], step_no: Column) -> DataFrame:
     large for the JIT compiler.  Messages are built for satisfied arms only.
     """
     which = {name: (no, severity) for no, name, severity in RULES}
+    which |= {rule.name: (rule.no, rule.severity) for rule in extra}
     hits = []
     for a in arms:
         no, severity = which[a.rule]
@@ -384,21 +439,32 @@ def findings(
     functions: DataFrame,
     max_nesting_depth: int = 4,
     max_function_steps: int = 50,
-    rules: Iterable[str] = RULE_NAMES,
+    rules: Iterable[str] | None = None,
+    extra: Iterable[Rule] = (),
 ) -> DataFrame:
-    """Findings of the chosen rules.  Sort by (unit_id, fn_no, rule_no, step_no) to list them."""
-    wanted = set(rules)
-    if unknown := wanted - set(RULE_NAMES):
+    """Findings of the chosen rules, by default all thirty and the caller's ``extra``.
+
+    Sort by (unit_id, fn_no, rule_no, step_no) to list them.
+    """
+    extra = _checked(extra)
+    known = {*RULE_NAMES, *(rule.name for rule in extra)}
+    wanted = known if rules is None else set(rules)
+    if unknown := wanted - known:
         raise ValueError(f"unknown rules: {sorted(unknown)}")
+    extra = [rule for rule in extra if rule.name in wanted]
+    on_steps, on_functions = [r for r in extra if not r.whole_function], [r for r in extra if r.whole_function]
     parts = []
     arms = [a for a in row_arms(max_nesting_depth) if a.rule in wanted]
-    if arms:
+    if arms or on_steps:
         rows = cx.with_context(cx.with_siblings(steps))
         rows = rows.withColumn("trimmed", strip(F.col("label"))).withColumn("cond", strip(F.col("condition")))
-        parts.append(_hits(rows, arms, F.col("step_no")))
+        parts.append(_hits(rows, arms + _arms_of(rows, on_steps), F.col("step_no"), extra))
     arms = [a for a in function_arms(max_function_steps) if a.rule in wanted]
-    if arms:
-        parts.append(_hits(function_totals(steps, functions), arms, F.lit(None)))
+    if arms or on_functions:
+        rows = function_totals(steps, functions)
+        parts.append(_hits(rows, arms + _arms_of(rows, on_functions), F.lit(None), extra))
+    if not parts:
+        raise ValueError("no rules chosen")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

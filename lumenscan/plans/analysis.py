@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from lumenscan.operators.lexing import text_partitions
 from lumenscan.operators.outline import MIN_CLOSURE_CHARS, functions_of, outline, steps_of
-from lumenscan.operators.rules import findings
+from lumenscan.operators.rules import Rule, findings
 from lumenscan.session import write_stage
 
 
 class Analysis:
-    """Stages over ``units``; thresholds are the detector's two settings.
+    """Stages over ``units``; thresholds are the detector's two settings, ``extra_rules`` the caller's own.
 
     ``stored`` says that ``units`` already are a table in storage, which need not be copied.
     """
@@ -25,9 +26,10 @@ class Analysis:
         max_function_steps: int = 50,
         min_closure_chars: int = MIN_CLOSURE_CHARS,
         stored: bool = False,
+        extra_rules: Iterable[Rule] = (),
     ):
         self._units, self._stored, self._min_closure_chars = units, stored, min_closure_chars
-        self._limits = (max_nesting_depth, max_function_steps)
+        self._limits, self._extra_rules = (max_nesting_depth, max_function_steps), tuple(extra_rules)
 
     @cached_property
     def units(self) -> DataFrame:
@@ -47,4 +49,4 @@ class Analysis:
 
     @cached_property
     def findings(self) -> DataFrame:
-        return write_stage(findings(self.steps, self.functions, *self._limits), "findings")
+        return write_stage(findings(self.steps, self.functions, *self._limits, extra=self._extra_rules), "findings")

@@ -80,9 +80,24 @@ def _failure() -> Column:
     return F.when(~F.col("valid_utf8"), _unreadable("location"))
 
 
-def outcomes(units: DataFrame) -> DataFrame:
-    """One outcome per file; an unreadable file fails alone."""
-    return parse_statistics(units).select(
+STATISTICS = ("token_count", "element_count", "diagnostic_count")
+
+
+def _with_statistics(units: DataFrame, statistics: DataFrame) -> DataFrame:
+    """``parse_statistics`` of ``units`` from counts of their readable files; files without any have zeros."""
+    rows = units.select("unit_id", "location", "valid_utf8").join(statistics.select("unit_id", *STATISTICS), "unit_id", "left")
+    rows = rows.fillna(0, list(STATISTICS))
+    alone = F.when(~F.col("valid_utf8"), F.lit(1)).otherwise(F.col("diagnostic_count"))
+    return rows.withColumn("diagnostic_count", alone.cast("bigint"))
+
+
+def outcomes(units: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
+    """One outcome per file; an unreadable file fails alone.
+
+    ``statistics`` are counts known already, as those a ``ContentStore`` keeps.
+    """
+    rows = parse_statistics(units) if statistics is None else _with_statistics(units, statistics)
+    return rows.select(
         "unit_id",
         "location",
         F.lit(LEXER_VERSION).alias("lexer_version"),

@@ -301,6 +301,19 @@ def _findings(only: str | None = None) -> str:
     return "finding AS (\n" + "\nUNION ALL\n".join(parts) + ")"
 
 
+# Every file and two copies of it.
+_COPIES = "(SELECT unnest(['', '#1', '#2']) AS copy)"
+
+# Two rules that a caller adds (findings_own).
+_OWN = """own AS (
+  SELECT unit_id, fn_no, fn_name, 101 AS rule_no, 'nested-call' AS rule, 'info' AS severity,
+         '''' || label || ''' ' || if_depth || ' deep in ''' || fn_name || '''' AS message, step_no, line
+  FROM ctx WHERE kind = 'action' AND (loop_depth > 0 OR if_depth > 0) AND contains(label, '(')
+  UNION ALL
+  SELECT unit_id, fn_no, fn_name, 102, 'twenty-steps', 'warning', '''' || fn_name || ''' has ' || n_steps || ' steps', NULL, line
+  FROM totals WHERE n_steps >= 20)"""
+
+
 # ---- tokens ------------------------------------------------------------------------------
 
 _WORD = r"[A-Za-z_][A-Za-z0-9_]*"
@@ -460,6 +473,9 @@ def oracle() -> dict[str, str]:
         "findings": _with(all_findings, "SELECT * FROM finding"),
         "severity_summary": _with(all_findings, f"SELECT {_SEVERITIES} FROM finding"),
         "rule_counts": _with(all_findings, "SELECT rule_no, rule, count(*) AS n_findings FROM finding GROUP BY 1, 2"),
+        "findings_own": _with([*context, _TOTALS, _OWN], "SELECT * FROM own"),
+        "rule_counts_own": _with([*all_findings, _OWN], "SELECT rule_no, rule, count(*) AS n_findings "
+                                 "FROM (SELECT rule_no, rule FROM finding UNION ALL SELECT rule_no, rule FROM own) GROUP BY 1, 2"),
         "file_report": _with(all_findings, f"""SELECT u.unit_id, u.unit_id AS location, count(rule) AS smell_count, {_SEVERITIES},
             coalesce(string_agg(rule || ':' || coalesce(step_no, -1), ',' ORDER BY fn_no, rule_no, coalesce(step_no, -1)), '') AS smells
             FROM unit u LEFT JOIN finding USING (unit_id) GROUP BY ALL"""),
@@ -475,6 +491,8 @@ def oracle() -> dict[str, str]:
         "element_container": _with(elements, "SELECT container, count(*) AS n FROM elem GROUP BY 1"),
         "parse_statistics": _with(jobs, "SELECT unit_id, token_count, element_count, diagnostic_count FROM stats"),
         "outcomes": _with(jobs, "SELECT * FROM outcome"),
+        "outcomes_by_content": _with(jobs, f"SELECT outcome.* REPLACE (unit_id || copy AS unit_id) FROM outcome, {_COPIES}"),
+        "steps_by_content": _with(corpus, f"SELECT s.* REPLACE (unit_id || copy AS unit_id) FROM (SELECT {STEP_COLUMNS} FROM steps) s, {_COPIES}"),
         "job_summary": _with(jobs, """SELECT count(*) AS source_count, count(*) FILTER (status = 'succeeded') AS succeeded_count,
             count(*) FILTER (status = 'succeeded_with_diagnostics') AS succeeded_with_diagnostics_count,
             count(*) FILTER (status = 'technical_failure') AS technical_failure_count FROM outcome"""),

@@ -16,7 +16,8 @@ NAMES = (
     "corpus", "steps", "functions", "tokens", "token_classes", "block_pairs", "elements", "diagnostics", "outcomes",
     "findings", "file_report", "read_steps", "steps_do_splice", "lossless_documents", "lossless_pages", "write_report",
     "adjacent_duplicates_events", "after_terminator_all", "job_report", "job_summary", "function_index", "adjacent_duplicates", "after_terminator", "nesting_depth", "inside_block",
-    "level_pairs_events", "adjacent_duplicates_urls",
+    "level_pairs_events", "adjacent_duplicates_urls", "findings_own", "rule_counts_own",
+    "steps_by_content",
 )
 
 

@@ -4,8 +4,9 @@ All cases are units of one table, so the rules run once.
 """
 
 import pytest
+from pyspark.sql import functions as F
 
-from lumenscan.operators.rules import RULES, findings
+from lumenscan.operators.rules import RULES, Rule, findings
 from lumenscan.verification import trees as t
 from lumenscan.verification.trees import act, closure, loop_in, loop_num, loop_until, loop_while, when
 
@@ -221,3 +222,42 @@ def test_thresholds_are_arguments(spark):
 def test_unknown_rule_is_refused(spark):
     with pytest.raises(ValueError, match="unknown rules"):
         findings(None, None, rules=["no-such-rule"])
+
+
+def test_a_caller_adds_rules(spark):
+    tree = {"f": [act("print(1)"), when("a", [act("x()")])], "g": [act("print(2)")], "h": []}
+    steps = spark.createDataFrame(t.step_rows(tree), t.STEP_DDL)
+    functions = spark.createDataFrame(t.function_rows(tree), t.FUNCTION_DDL)
+    extra = [
+        Rule(101, "printed", "info", F.col("label").startswith("print("), "'{label}' in '{f}' ({condition})"),
+        Rule(102, "one-step", "warning", F.col("n_steps") == 1, "'{f}' has {n_steps} step", whole_function=True),
+    ]
+    plain = sorted(map(tuple, findings(steps, functions).collect()), key=repr)
+    both = [tuple(r) for r in findings(steps, functions, extra=extra).collect()]
+    assert sorted((r for r in both if r[3] < 100), key=repr) == plain
+    added = sorted((r[2], r[3], r[4], r[5], r[6], r[7]) for r in both if r[3] > 100)
+    assert added == [
+        ("f", 101, "printed", "info", "'print(1)' in 'f' ()", 0),
+        ("g", 101, "printed", "info", "'print(2)' in 'g' ()", 0),
+        ("g", 102, "one-step", "warning", "'g' has 1 step", None),
+    ]
+    assert [r["rule"] for r in findings(steps, functions, rules=["one-step"], extra=extra).collect()] == ["one-step"]
+
+
+@pytest.mark.parametrize(
+    ("rule", "said"),
+    [
+        (lambda: Rule(1, "new", "info", F.lit(True), ""), "there already"),
+        (lambda: Rule(101, "unreachable", "info", F.lit(True), ""), "there already"),
+        (lambda: Rule(101, "new", "fatal", F.lit(True), ""), "unknown severity"),
+        (lambda: Rule(101, "new", "info", F.col("no_such_column") > 1, ""), "cannot be read"),
+        (lambda: Rule(101, "new", "info", F.lit(True), "{no_such_column}"), "cannot be read"),
+        (lambda: Rule(101, "new", "info", F.col("label"), ""), "not boolean"),
+    ],
+)
+def test_a_rule_that_cannot_run_is_refused(spark, rule, said):
+    tree = {"f": [act("x()")]}
+    steps = spark.createDataFrame(t.step_rows(tree), t.STEP_DDL)
+    functions = spark.createDataFrame(t.function_rows(tree), t.FUNCTION_DDL)
+    with pytest.raises(ValueError, match=said):
+        findings(steps, functions, extra=[rule()])
