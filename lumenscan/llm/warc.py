@@ -229,8 +229,15 @@ def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     return rows.join(revisits, on, "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
+# Payload that a row of the sink holds, and rows of an archive: 128 MB of payload before it is compressed, or a
+# single payload that is longer than a row's share.
+_ROW_BYTES, ROWS_PER_ARCHIVE = 4 << 20, 32
+
+
 def write_archives(pages: DataFrame, path: str, least: int = 1000) -> None:
-    """A gzip record per row of ``pages`` in ``path``, one archive per task.
+    """A gzip record per row of ``pages`` in ``path``, in archives of at most ROWS_PER_ARCHIVE times 4 MB of payload.
+
+    A task begins a new archive when one is full, so their size does not depend on the number of tasks.
 
     Of rows with equal payloads of at least ``least`` bytes the one with the largest page_id is a
     response and the others revisit it. Spark's own text sink writes the bytes, so ``path`` may
@@ -238,7 +245,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000) -> None:
     """
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "payload", 4 << 20):
+        for batch in by_bytes(batches, "payload", _ROW_BYTES):
             out = []
             for page, url, payload, digest, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to"))):
                 again = refers is not None
@@ -246,10 +253,12 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000) -> None:
                 body = b"" if again else payload
                 kind = "revisit" if again else "response"
                 out.append(member(record(kind, urn, url, f"{_URN}{refers}" if again else None, digest, len(payload), body)))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([EMPTY_MEMBER.join(out)], pa.binary())], names=["value"])
 
     rows = with_revisits(pages, least).mapInArrow(members, "value binary").select(F.col("value").cast("string").alias("value"))
-    rows.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
+    sink = rows.write.option("maxRecordsPerFile", ROWS_PER_ARCHIVE)
+    sink.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
 
 
 def page_records(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -260,12 +269,19 @@ def page_records(pages: DataFrame, least: int = 1000) -> DataFrame:
     headers. A null html is an empty payload. A null page_id is kept (its record has no id) and is
     the smallest of its group; if all of a group are null, all are responses. Rows with the same
     page_id and payload are alike, so all or none of them are responses. An empty table gives an
-    empty one; other columns are ignored.
+    empty one; other columns are ignored. A damaged run of bytes in the archives stops the job, as
+    its pages would be missing.
     """
     spark = pages.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, least)
-    found = read_archives(spark, path, "part-*").filter("kind = 'record'")
+    return whole_records(read_archives(spark, path, "part-*"))
+
+
+def whole_records(found: DataFrame) -> DataFrame:
+    """The pages of ``read_archives`` of archives written here; an error if there is a gap among them."""
+    lost = F.raise_error(F.concat(F.lit("damaged archive "), "file", F.lit(" at "), F.col("offset").cast("string"), F.lit(": "), "reason"))
+    found = found.filter(F.when(F.col("kind") == "record", F.lit(True)).otherwise(lost.cast("boolean")))
     number = lambda c: F.substring_index(c, ":", -1).cast("bigint")
     response = F.col("warc_type") == "response"
     return found.select(

@@ -46,6 +46,56 @@ def test_gradients_are_those_of_the_loss():
             assert grad[index] == pytest.approx((up - down) / 2e-3, rel=0.02, abs=1e-3), name
 
 
+def plain_logit(net, tokens):
+    """One window, token by token and gate by gate, in double precision."""
+    p, h = {k: v.astype(np.float64) for k, v in net.p.items()}, net.hidden
+    given = []
+    for token in tokens:
+        raw = token.encode()
+        bare = raw.strip(b".,;:!?\"'()[]") or raw
+        edged, grams = b"\2" + bare + b"\3", []
+        for a, b, c in zip(edged, edged[1:], edged[2:]):
+            gram = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) & 0xFFFFFFFF
+            grams.append(p["grams"][(gram ^ (gram >> 15)) % rn.GRAMS])
+        both = np.concatenate([p["words"][zlib.crc32(bare) % rn.WORDS], sum(grams) / len(grams)])
+        given.append(both @ p["in"] + p["in_bias"])
+
+    def states(order, first, weights):
+        state, out = np.zeros(h), {}
+        for t in order:
+            reset_in, update_in, fresh_in = given[t][first : first + 3 * h].reshape(3, h)
+            reset_last, update_last, fresh_last = (state @ weights).reshape(3, h)
+            reset, update = 1 / (1 + np.exp(-reset_in - reset_last)), 1 / (1 + np.exp(-update_in - update_last))
+            state = update * state + (1 - update) * np.tanh(fresh_in + reset * fresh_last)
+            out[t] = state
+        return out
+
+    n = len(tokens)
+    ahead, back = states(range(n), 0, p["forward"]), states(range(n - 1, -1, -1), 3 * h, p["backward"])
+    both = [np.concatenate([ahead[t], back[t]]) for t in range(n)]
+    shares = [np.exp(x @ p["attend"]) for x in both]
+    return float(sum(s * x for s, x in zip(shares, both)) / sum(shares) @ p["out"] + p["out_bias"][0])
+
+
+def plain_score(net, text):
+    """The probability of the worst window, all windows listed."""
+    tokens, spans, begin = rn.tokens_of(text), [], 0
+    while True:
+        spans.append(tokens[begin : begin + toxicity.WINDOW])
+        if begin + toxicity.WINDOW >= len(tokens):
+            break
+        begin += toxicity.STRIDE
+    return max(1 / (1 + np.exp(-plain_logit(net, span))) for span in spans)
+
+
+def test_scores_are_those_of_a_plain_network(learned):
+    rows, _, _, model = learned
+    long = " ".join(t for _, t in rows[:12]) + " (Vilea), \u00e9t\u00e9! " + "x" * 60
+    texts = [t for _, t in rows[12:24]] + [long, "one", "!?"]
+    got = model.scores(model.scorer(), texts)
+    assert np.allclose(got, [plain_score(model.network, t) for t in texts], atol=2e-3)
+
+
 def corpus(n, seed):
     draw = np.random.default_rng(seed)
     words = [f"w{i}" for i in range(150)]

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenscan.llm import warc
 
@@ -127,3 +128,25 @@ def test_records_around_damage_in_a_member_stay():
     found = [(headers is not None, block, reason) for _, _, headers, block, reason in warc.salvage(packed)]
     good = (True, b"<p>hello", None)
     assert found == [good, good, (False, b"", "the block's digest differs"), good]
+
+
+def test_archives_are_rolled_by_size(spark, tmp_path, monkeypatch):
+    """However few the tasks, an archive has ROWS_PER_ARCHIVE rows at most, and all pages come back."""
+    monkeypatch.setattr(warc, "_ROW_BYTES", 4000)
+    monkeypatch.setattr(warc, "ROWS_PER_ARCHIVE", 2)
+    rows = [(i, f"http://a/{i}", f"{i} " + "y" * 1500) for i in range(40)]
+    warc.write_archives(pages_of(spark, rows).coalesce(1), str(tmp_path / "a"))
+    sizes = [r["n"] for r in warc.read_archives(spark, str(tmp_path / "a")).groupBy("file").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 40 and len(sizes) >= 7 and max(sizes) <= 6
+    assert warc.whole_records(warc.read_archives(spark, str(tmp_path / "a"), "part-*")).count() == 40
+
+
+def test_a_gap_in_own_archives_stops_the_job(spark, tmp_path):
+    warc.write_archives(pages_of(spark, [(i, "u", f"text {i}") for i in range(8)]).coalesce(1), str(tmp_path / "a"))
+    part = next((tmp_path / "a").glob("part-*"))
+    data = bytearray(part.read_bytes())
+    data[len(data) // 2] ^= 255
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / part.name).write_bytes(data)
+    with pytest.raises(Exception, match="damaged archive"):
+        warc.whole_records(warc.read_archives(spark, str(tmp_path / "b"), "part-*")).collect()
