@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenscan.functions.labels import compact_label
-from lumenscan.operators import blocks, context, diagnostics, elements, lexing, ownership, rules, sequences
+from lumenscan.operators import blocks, context, diagnostics, elements, lexing, ownership, pieces, rules, sequences
 from lumenscan.operators.outline import STEP_COLUMNS, outline, steps_of
 from lumenscan.plans import outcomes, reports
 from lumenscan.plans.analysis import Analysis
@@ -241,9 +241,11 @@ def queries() -> dict[str, Query]:
         "read_steps": _on(steps, lambda s: read_steps(s.drop("sub_end")).select("unit_id", "fn_no", "step_no", "sub_end")),
         "write_report": _written_report,
         "tokens": _on("units", lexing.tokens),
+        "tokens_pieces": _on("units", lambda u: pieces.tokens(u, 1024)),
         "lossless_documents": _lexed("documents", "doc_id", "text"),
         "lossless_pages": _lexed("pages", "page_id", "html"),
         "token_classes": _on("units", lexing.token_classes),
+        "token_classes_pieces": _on("units", lambda u: pieces.token_classes(u, 1024)),
         "block_depth": _tokens(blocks.block_depth),
         "block_pairs": _tokens(blocks.block_pairs),
         "functions": _pick("functions", "unit_id", "fn_no", "fn_name", "container", "signature", "line"),

@@ -61,12 +61,19 @@ def long_bracket(group: str) -> str:
 STRING = "|".join([quoted('"'), quoted("'"), interpolated(2), quoted("`")])
 
 
-def comment(group: str) -> str:
-    return rf"--{long_bracket(group)}|--[^\n]*+"
+# Stands for the levels that a piece of a text may leave open (``operators.pieces``).
+LEVELS = "<LEVELS>"
+# A long bracket that nothing closes in the piece, to the end of the piece.
+LEFT_OPEN = rf"\[(?:{LEVELS})\[[\s\S]*+"
 
 
-def trivia(group: str) -> str:
-    return rf"(?:\s++|{comment(group)})*+"
+def comment(group: str, in_piece: bool = False) -> str:
+    left_open = rf"|--{LEFT_OPEN}" if in_piece else ""
+    return rf"--{long_bracket(group)}{left_open}|--[^\n]*+"
+
+
+def trivia(group: str, in_piece: bool = False) -> str:
+    return rf"(?:\s++|{comment(group, in_piece)})*+"
 
 
 # Operators, longest first as the longest one wins (fixed values).
@@ -83,11 +90,32 @@ KEYWORDS = (
     "extends", "with", "extern", "read", "write",
 )
 
-_TOKEN = rf"{NAME}|{NUMBER}|\.\d[\d_]*+|{STRING}|{long_bracket('t')}|{OPERATOR}|\S"
-TOKEN_LEX = rf"(\A(?=\s|--)|{_TOKEN}){trivia('c')}"
 
-# Lossless: whitespace and comments are matches of their own.
-RAW_LEX = rf"\s++|{comment('c')}|{_TOKEN}"
+
+def _token(in_piece: bool = False) -> str:
+    left_open = f"|{LEFT_OPEN}" if in_piece else ""
+    return rf"{NAME}|{NUMBER}|\.\d[\d_]*+|{STRING}|{long_bracket('t')}{left_open}|{OPERATOR}|\S"
+
+
+def token_lex(in_piece: bool = False) -> str:
+    return rf"(\A(?=\s|--)|{_token(in_piece)}){trivia('c', in_piece)}"
+
+
+def raw_lex(in_piece: bool = False) -> str:
+    """Lossless: whitespace and comments are matches of their own."""
+    return rf"\s++|{comment('c', in_piece)}|{_token(in_piece)}"
+
+
+TOKEN_LEX, RAW_LEX = token_lex(), raw_lex()
+
+# What strings, comments and long brackets make of a piece; the head of one left open has a group of its own.
+HEAD_GROUP = 3
+OPEN_LEX = (
+    rf"[^\"'`\[\-]++|{STRING}|{long_bracket('t')}|--{long_bracket('c')}|((?:--)?+\[(?:{LEVELS})\[)[\s\S]*+|--[^\n]*+|[\s\S]"
+)
+# A line break between two lines that no string, escape or run of white space goes across.
+SAFE_BREAK = r"(?<=[^\s\\])(?<!\\z)\r?\n(?=\S)"
+CLOSER = r"\](=*+)(?=\])"
 
 # ---- scan lexemes -------------------------------------------------------------------
 

@@ -443,10 +443,12 @@ def oracle() -> dict[str, str]:
     out = {
         "corpus": _with(corpus, "SELECT unit_id, content FROM unit"),
         "tokens": _with(tokens, "SELECT unit_id, tok_no, text, cls, line, start, col FROM tok"),
+        "tokens_pieces": _with(tokens, "SELECT unit_id, tok_no, text, cls, line, start, col FROM tok"),
         # Lexemes add up to the file, and only an unclosed block word or a function without a header is nobody's.
         "ownership": _with(corpus, "SELECT unit_id, CAST(length(content) AS BIGINT) AS n_chars, CAST(CASE WHEN content LIKE '%' || chr(10) || 'do' || chr(10) "
                            "OR content LIKE '%' || chr(10) || 'function foo end' || chr(10) THEN 1 ELSE 0 END AS BIGINT) AS n_unowned FROM unit"),
         "token_classes": _with(tokens, "SELECT unit_id, cls, count(*) AS n_tokens FROM raw2 GROUP BY 1, 2"),
+        "token_classes_pieces": _with(tokens, "SELECT unit_id, cls, count(*) AS n_tokens FROM raw2 GROUP BY 1, 2"),
         "block_depth": _with(tokens, "SELECT unit_id, tok_no, text, depth, bracket_depth FROM deep"),
         "block_pairs": _with([*tokens, *_PAIR_PARTS], "SELECT unit_id, opener, closer, open_tok, close_tok, level FROM pairs "
                              "WHERE open_tok < close_tok"),
