@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -14,9 +15,11 @@ from lumenscan.operators.outline import STEP_COLUMNS, outline, steps_of
 from lumenscan.plans import outcomes, reports
 from lumenscan.plans.analysis import Analysis
 from lumenscan.plans.content import ContentStore
+from lumenscan.plans.ordinals import with_ordinal
 from lumenscan.session import work_dir
 from lumenscan.sources.corpus import script_corpus
 from lumenscan.sources.files import decode_source, read_steps, write_report
+from lumenscan.sources.tree import read_tree, write_tree
 from lumenscan.verification.oracle import oracle
 
 try:
@@ -88,6 +91,35 @@ def _written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("source_location", "smell_count", "summary.*")
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _ordered_job_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job report in the order of the input (customer and shard), written and read back in the order of its lines."""
+    units = analysis(spark, sf_dir).units
+    customer = F.regexp_extract("unit_id", r"c(\d+)", 1).cast("bigint")
+    report = outcomes.job_report(with_ordinal(units.withColumn("customer", customer), "customer", "unit_id"))
+    path = _scratch(spark, "job-report")
+    write_report(report, path, order_by=["ordinal"])
+    back = spark.read.schema(report.schema).json(path)
+    back = back.select("*", "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    lines = with_ordinal(back, "file_name", "file_block_start", "row", name="line_no")
+    return lines.select("ordinal", "line_no", "source_location", "status", "statistics.token_count")
+
+
+def _tree_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files in two levels of folders, then listed and read by executors."""
+    doc = F.col("doc_id").cast("string")
+    name = F.concat(F.lit("d"), F.col("doc_id") % 20, F.lit("/e"), F.col("doc_id") % 3, F.lit("/"), doc)
+    suffix = F.when(F.col("doc_id") % 2 == 0, ".lua").otherwise(".luau")
+    root = _scratch(spark, "tree")
+    write_tree(_table(spark, sf_dir, "documents").select(F.concat(name, suffix).alias("path"), F.col("text").alias("content")), root)
+    units = read_tree(spark, root)
+    place = F.substring_index("location", "/", -3)
+    return units.select(place.alias("place"), "valid_utf8", F.length("content").cast("bigint").alias("n_chars"), "content_sha2")
+
+
 def _function_index(units: DataFrame, functions: DataFrame) -> DataFrame:
     return reports.function_index(units, functions).withColumn("function_names", F.array_join("function_names", ","))
 
@@ -239,7 +271,9 @@ def queries() -> dict[str, Query]:
         "corpus": _pick("units", "unit_id", "content"),
         "decode_source": _decoded,
         "read_steps": _on(steps, lambda s: read_steps(s.drop("sub_end")).select("unit_id", "fn_no", "step_no", "sub_end")),
+        "read_tree": _tree_of_documents,
         "write_report": _written_report,
+        "job_report_ordered": _ordered_job_report,
         "tokens": _on("units", lexing.tokens),
         "tokens_pieces": _on("units", lambda u: pieces.tokens(u, 1024)),
         "lossless_documents": _lexed("documents", "doc_id", "text"),

@@ -151,10 +151,18 @@ def job_invariants(units: DataFrame, outcome_rows: DataFrame) -> DataFrame:
 
 
 def job_report(units: DataFrame) -> DataFrame:
-    """Nested report per file; the order of files is set where it is written."""
+    """Nested report per file; the order of files is set where it is written.
+
+    Units with an ``ordinal`` (``plans.ordinals``) give it to their reports, which are in the order of
+    the input when they are written by it.
+    """
     rows = _per_unit(units, nested=True)
+    place = []
+    if "ordinal" in units.columns:
+        rows, place = rows.join(units.select("unit_id", "ordinal"), "unit_id", "left"), ["ordinal"]
     empty = lambda c: F.coalesce(F.col(c), F.array().cast(dict(rows.dtypes)[c])).alias(c)
     return rows.select(
+        *place,
         F.lit(REPORT_VERSION).alias("schema_version"),
         F.col("location").alias("source_location"),
         F.lit(LEXER_VERSION).alias("grammar_version"),

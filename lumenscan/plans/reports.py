@@ -39,16 +39,18 @@ def file_report(units: DataFrame, findings: DataFrame) -> DataFrame:
     grouped = findings.groupBy("unit_id").agg(
         F.count("*").alias("smell_count"), *_by_severity(), smells.alias("smells")
     )
-    rows = units.select("unit_id", "location").join(grouped, "unit_id", "left")
+    place = ["ordinal"] if "ordinal" in units.columns else []
+    rows = units.select("unit_id", "location", *place).join(grouped, "unit_id", "left")
     rows = rows.fillna(0, ["smell_count", *SEVERITIES])
     none = F.array().cast(dict(rows.dtypes)["smells"])
     return rows.withColumn("smells", F.coalesce("smells", none))
 
 
 def report_json(file_reports: DataFrame) -> DataFrame:
-    """File reports in the nested output shape, with ``line`` null."""
+    """File reports in the nested output shape, with ``line`` null; an ``ordinal`` stays in front."""
     smells = F.transform("smells", lambda s: s.withField("line", F.lit(None).cast("int")))
     return file_reports.select(
+        *(["ordinal"] if "ordinal" in file_reports.columns else []),
         F.col("location").alias("source_location"),
         "smell_count",
         F.struct(*SEVERITIES).alias("summary"),

@@ -505,6 +505,10 @@ def oracle() -> dict[str, str]:
             coalesce((SELECT string_agg(kind || ' ' || name, ',' ORDER BY elem_no) FROM elem e WHERE e.unit_id = o.unit_id), '') AS element_list,
             coalesce((SELECT string_agg(message, ',' ORDER BY line, col) FROM diag d WHERE d.unit_id = o.unit_id), '') AS messages
             FROM outcome o"""),
+        "job_report_ordered": _with(jobs, """SELECT n AS ordinal, n AS line_no, unit_id AS source_location, status, token_count FROM (
+            SELECT *, row_number() OVER (ORDER BY CAST(regexp_extract(unit_id, 'c(\\d+)', 1) AS BIGINT), unit_id) - 1 AS n FROM outcome)"""),
+        "read_tree": """SELECT 'd' || doc_id % 20 || '/e' || doc_id % 3 || '/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.lua' ELSE '.luau' END AS place,
+            true AS valid_utf8, length(coalesce(text, '')) AS n_chars, sha256(coalesce(text, '')) AS content_sha2 FROM documents""",
         "decode_source": """SELECT 'doc' || doc_id AS unit_id, doc_id % 7 <> 0 AS valid_utf8,
             CASE WHEN doc_id % 7 <> 0 THEN length(text) END AS n_chars, CASE WHEN doc_id % 7 <> 0 THEN sha256(text) END AS sha2
             FROM documents""",
