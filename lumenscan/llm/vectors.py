@@ -18,6 +18,8 @@ from lumenscan.session import write_stage
 GROUP_BLOCKS = 4
 #: Vectors of a component that a task compares with each other, and rows compared at a time.
 TILE, STEP = 4096, 512
+#: Labels whose sums a task holds before it hands them on.
+HELD_LABELS = 1000
 _ORDER = ["pass_no", "label", "signature", "rid"]
 
 
@@ -28,33 +30,91 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite & some)
 
 
-def _signatures(distinct: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
-    """A row per vector and pass: the signs of ``bits`` random projections as one number, first bit highest."""
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        weights = (1 << np.arange(bits)[::-1]).astype(np.int64)
+def _shapes(distinct: DataFrame, threshold: float, passes: int, max_passes: int, window: int, miss: float) -> DataFrame:
+    """label, dim, mean and passes: the mean unit vector of a label's vectors of one length, and how many passes they need.
+
+    With c the squared length of the mean, unit vectors of the label have c as their mean cosine, and
+    a pair at the threshold t lies at a cosine of 1 - (1 - t) / (1 - c) once the mean is taken off.
+    That gives the chance that one projection has the same sign for both, and so the chance that the
+    pair shares as many first signs as cut the label down to a window (and one more). Passes are as
+    many as leave a pair unmet with a chance of ``miss``.
+    """
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
+
+        def flushed() -> pa.RecordBatch:
+            keys = list(held)
+            table = {
+                "label": pa.array([k[0] for k in keys], pa.int64()), "dim": pa.array([k[1] for k in keys], pa.int32()),
+                "n": pa.array([held[k][0] for k in keys], pa.int64()), "total": pa.array([held[k][1].tolist() for k in keys], pa.list_(pa.float64())),
+            }
+            held.clear()
+            return pa.RecordBatch.from_pydict(table)
+
         for batch in batches:
-            vectors = batch.column("embedding").to_pylist()
-            sizes = np.array([len(v) for v in vectors])
-            signature = np.zeros((len(vectors), passes), np.int64)
+            lists, labels = batch.column("embedding").to_pylist(), np.asarray(batch.column("label"))
+            sizes = np.array([len(v) for v in lists], np.int64)
             for dim in np.unique(sizes):
                 mine = np.flatnonzero(sizes == dim)
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * bits))
-                signs = np.array([vectors[i] for i in mine], np.float64) @ planes[dim] > 0
-                signature[mine] = signs.reshape(-1, passes, bits) @ weights
-            n = len(vectors)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(np.asarray(batch.column("rid")), passes)),
-                    pa.array(np.repeat(np.asarray(batch.column("label")), passes)),
-                    pa.array(np.tile(np.arange(passes, dtype=np.int32), n)),
-                    pa.array(signature.ravel()),
-                ],
-                names=["rid", "label", "pass_no", "signature"],
-            )
-
-    return distinct.select("rid", "label", "embedding").mapInArrow(sign, "rid bigint, label bigint, pass_no int, signature bigint")
+                units = _unit([lists[i] for i in mine])
+                names, at = np.unique(labels[mine], return_inverse=True)
+                totals = np.zeros((len(names), int(dim)))
+                np.add.at(totals, at, units)
+                for name, n, total in zip(names.tolist(), np.bincount(at).tolist(), totals):
+                    one = held.setdefault((name, int(dim)), [0, 0.0])
+                    one[0], one[1] = one[0] + n, one[1] + total
+            if len(held) > HELD_LABELS:
+                yield flushed()
+        if held:
+            yield flushed()
+
+    parts = distinct.select("label", "embedding").mapInArrow(add, "label bigint, dim int, n bigint, total array<double>")
+    # A row for each component, so that many parts of one label add up before they are shuffled.
+    sums = parts.select("label", "dim", "n", F.posexplode("total").alias("i", "x"))
+    sums = sums.groupBy("label", "dim", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"])
+    shapes = sums.groupBy("label", "dim").agg(F.max("n").alias("n"), values.alias("total"))
+    mean = F.transform("total", lambda x: x / F.col("n"))
+    shapes = shapes.select("label", "dim", "n", mean.alias("mean"))
+    narrow = F.least(F.aggregate("mean", F.lit(0.0), lambda acc, x: acc + x * x), F.lit(1 - 1e-9))
+    cosine = F.greatest(1 - (1 - threshold) / (1 - narrow), F.lit(0.0))
+    agree = 1 - F.acos(cosine) / np.pi
+    met = F.pow(agree, F.log2(F.greatest(F.col("n") / window, F.lit(1.0))) + 1)
+    needed = F.ceil(F.log(F.lit(miss)) / F.log(F.greatest(1 - met, F.lit(1e-9))))
+    most = max(passes, max_passes)
+    return write_stage(shapes.select("label", "dim", "mean", F.least(F.greatest(needed, F.lit(passes)), F.lit(most)).cast("int").alias("passes")), "shapes")
+
+
+def _signatures(distinct: DataFrame, shapes: DataFrame, bits: int, seed: int) -> DataFrame:
+    """A row per vector and pass: the signs of ``bits`` random projections, without the label's mean, as one number, first bit highest."""
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[tuple[int, int], np.ndarray] = {}
+        weights = (1 << np.arange(bits)[::-1]).astype(np.int64)
+        for batch in batches:
+            rid, label, passes = (np.asarray(batch.column(c)) for c in ("rid", "label", "passes"))
+            lists, means = batch.column("embedding").to_pylist(), batch.column("mean").to_pylist()
+            sizes = np.array([len(v) for v in lists], np.int64)
+            for dim, times in {(int(d), int(t)) for d, t in zip(sizes, passes)}:
+                mine = np.flatnonzero((sizes == dim) & (passes == times))
+                for one in range(times):
+                    if (dim, one) not in planes:
+                        planes[dim, one] = np.random.default_rng([seed, dim, one]).standard_normal((dim, bits))
+                centred = _unit([lists[i] for i in mine]) - np.array([means[i] for i in mine], np.float64)
+                signature = np.stack([(centred @ planes[dim, one] > 0) @ weights for one in range(times)], axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(rid[mine], times)),
+                        pa.array(np.repeat(label[mine], times)),
+                        pa.array(np.tile(np.arange(times, dtype=np.int32), len(mine))),
+                        pa.array(signature.ravel()),
+                    ],
+                    names=["rid", "label", "pass_no", "signature"],
+                )
+
+    # The means are a row for each label; adaptive execution broadcasts them if they are small, and splits hot labels if not.
+    rows = distinct.select("rid", "label", "embedding", F.size("embedding").alias("dim")).join(shapes, ["label", "dim"])
+    rows = rows.select("rid", "label", "embedding", "mean", "passes")
+    return rows.mapInArrow(sign, "rid bigint, label bigint, pass_no int, signature bigint")
 
 
 def _blocks(signatures: DataFrame, window: int) -> DataFrame:
@@ -134,18 +194,22 @@ def _count(rows: pa.Table, threshold: float) -> pa.Table:
 
 
 def near_vectors(
-    vectors: DataFrame, threshold: float = 0.98, passes: int = 12, bits: int = 24, window: int = 1024, seed: int = 42
-) -> DataFrame:
+    vectors: DataFrame, threshold: float = 0.98, passes: int = 12, bits: int = 24, window: int = 1024, seed: int = 42,
+    max_passes: int = 96, miss: float = 0.01,
+) -> DataFrame:
     """vec_id, n_links, component_id, kept, for every row of ``vectors`` (vec_id, embedding, label).
 
     Equal vectors of one label are first taken together with their number. In each pass the
-    distinct vectors are sorted by label and the signs of ``bits`` random projections, cut into
+    distinct vectors are sorted by label and the signs of ``bits`` random projections of what is left
+    of them without the label's mean, cut into
     blocks of ``window`` rows, and compared inside their block and with the next one, in double
     precision. The pairs at or above ``threshold`` of all passes are united into components, in
     work that grows with the rows; a cluster larger than the window is joined through shared
     blocks. ``n_links`` are then counted over all pairs of each component, which no link leaves:
     a component larger than TILE is cut into blocks, of which every two meet in a task. Pairs are
-    counted where they are compared, never written.
+    counted where they are compared, never written. A label has ``passes`` passes, and more, up to
+    ``max_passes``, where its size and narrowness would else leave a pair at the threshold unmet with
+    a chance above ``miss`` (``_shapes``).
 
     Vectors of different lengths do not link. A null label, a null, empty or zero vector, and null
     or non-finite components link with nothing (0 links, a component of their own). Repeated
@@ -159,7 +223,8 @@ def near_vectors(
     grouped = usable.groupBy("label", "key", "embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
     # A number of its own for each distinct vector; its order does not matter.
     distinct = write_stage(grouped.withColumn("rid", F.monotonically_increasing_id()), "vectors")
-    placed = _blocks(_signatures(distinct, passes, bits, seed), window)
+    shapes = _shapes(distinct, threshold, passes, max_passes, window, miss)
+    placed = _blocks(_signatures(distinct, shapes, bits, seed), window)
     each = distinct.select("rid", "embedding").join(placed, "rid")
     group = lambda b: F.floor(b / GROUP_BLOCKS)
     roles = F.array(

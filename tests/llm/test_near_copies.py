@@ -3,10 +3,12 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lumenscan.llm import components, links, simhash, vectors
 
@@ -218,3 +220,37 @@ def test_links_of_a_cluster_larger_than_the_window_are_all_counted(spark, monkey
     rows += [(600 + i, (float(i + 2) * np.array(rows[1][1])).tolist(), 1) for i in range(80)]
     got = vectors.near_vectors(vectors_of(spark, rows), window=16, passes=6).collect()
     assert sorted(map(tuple, got), key=str) == brute_vectors(rows)
+
+
+def test_pairs_in_a_large_narrow_label_are_found(spark):
+    """100,000 vectors of one label at a mean cosine of 0.9, with pairs planted just above the threshold."""
+    rng = np.random.default_rng(11)
+    n, pairs, dim = 100_000, 500, 64
+
+    def direction(k):
+        x = rng.standard_normal((k, dim))
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    middle = direction(1)
+    rows = np.sqrt(0.9) * middle + np.sqrt(0.1) * direction(n)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    aside = direction(pairs)
+    aside -= (aside * rows[:pairs]).sum(axis=1, keepdims=True) * rows[:pairs]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    rows[pairs : 2 * pairs] = 0.981 * rows[:pairs] + np.sqrt(1 - 0.981**2) * aside
+    table = pa.table({"vec_id": np.arange(n), "label": np.zeros(n, np.int64), "embedding": list(rows)})
+    got = vectors.near_vectors(spark.createDataFrame(table)).filter(F.col("vec_id") < pairs)
+    found = got.filter("n_links > 0").count()
+    assert found >= 0.95 * pairs
+
+
+def test_passes_grow_with_size_and_narrowness_only_beyond_the_least(spark):
+    rng = np.random.default_rng(5)
+    wide, narrow = rng.standard_normal((300, 8)), rng.standard_normal((300, 8)) + 9
+    rows = [(0, v.tolist()) for v in wide] + [(1, v.tolist()) for v in narrow] + [(2, [1.0, 2.0])] + [(2, [0.5, 1.0, 3.0])]
+    table = spark.createDataFrame(rows, "label bigint, embedding array<double>")
+    shapes = {(r["label"], r["dim"]): r for r in vectors._shapes(table, 0.98, 2, 50, 8, 0.01).collect()}
+    assert set(shapes) == {(0, 8), (1, 8), (2, 2), (2, 3)}
+    assert 2 < shapes[0, 8]["passes"] < shapes[1, 8]["passes"] <= 50 and shapes[2, 2]["passes"] == 7
+    unit = wide / np.linalg.norm(wide, axis=1, keepdims=True)
+    assert np.allclose(shapes[0, 8]["mean"], unit.mean(axis=0))
