@@ -37,6 +37,20 @@ def test_pieces_give_the_ids_of_the_text(path, texts):
     assert PieceEncoder(path, KINDS[path], True).lengths(pa.array(texts)).tolist() == np.diff(bounds).tolist()
 
 
+def test_a_word_between_marks_is_encoded_once(monkeypatch):
+    """Case and marks around a word make no new word, and words of several batches outlive those met once."""
+    monkeypatch.setattr("lumenscan.llm.encoding.CACHE_PIECES", 60)
+    run, met = PieceEncoder(WORD, "word"), []
+    plain = run._letters.word_ids
+    monkeypatch.setattr(run._letters, "word_ids", lambda word: met.append(word) or plain(word))
+    for i in range(60):
+        texts = ["Often often, (often) OFTEN!", f"once{chr(192 + i)} x{chr(192 + i)}y. <|endoftext|> don't Él, 1st"]
+        ids, bounds = run.ids(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [ids_of(WORD, t).tolist() for t in texts]
+    assert met.count("often") == 1
+    assert len(run._count) < 70
+
+
 @pytest.mark.parametrize("path", KINDS)
 def test_a_long_text_with_odd_spaces_is_cut_safely(path):
     text = "plain words, then odd 'll ones\t " * 3000
