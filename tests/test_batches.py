@@ -9,7 +9,9 @@ from lumenscan.batches import lexemes as bx
 from lumenscan.batches import patterns as px
 from lumenscan.batches.windows import Window, sorted_by
 from lumenscan.functions import lexicon as lx
+from lumenscan.operators import blocks, diagnostics, elements, lexing
 from lumenscan.operators import outline as o
+from lumenscan.plans import outcomes
 
 
 def plan_of(df):
@@ -61,3 +63,35 @@ def test_a_file_in_many_batches_of_others(units_of):
     first = sorted(by["u0"], key=str)
     assert len(by) == 40 and all(sorted(v, key=str) == first for v in by.values())
     assert [k for _, k, *_ in first].count("closure") == 1 and all(named for named, *_ in first)
+
+
+ODD = {
+    "a": "-- c\nlocal x, y: Map<T, {U}> = 1, 'é\nfunction a.b:c(d)\n  local function e() end\n  do f[1](`{`) end\nend\nfunction\nfoo.\n end end",
+    "b": "then if x then y else if z then 1 else 2 end\nexport type P<T> = { a: T }\nfunction f<T>(x: ((((T))))) g(function() end) )",
+    "c": "repeat until x if a then elseif b then end function . f() \"open\\",
+}
+
+
+def test_operators_over_tokens_need_no_windows_over_rows(units_of):
+    tokens = lexing.tokens(units_of(ODD))
+    for df in (tokens, blocks.block_depth(tokens), blocks.block_pairs(tokens), diagnostics.problems(tokens), elements.elements(units_of(ODD)),
+               outcomes.job_report(units_of(ODD))):
+        assert "Window" not in plan_of(df)
+
+
+@pytest.mark.parametrize("of", [blocks.block_depth, blocks.block_pairs, diagnostics.problems])
+def test_a_table_of_tokens_gives_the_same_rows(units_of, of):
+    """Tokens from elsewhere are passed over by windows, tokens of files in batches."""
+    tokens = lexing.tokens(units_of(ODD))
+    batches, windows = of(tokens), of(tokens.select("*"))
+    assert "Window" not in plan_of(batches) and "Window" in plan_of(windows)
+    assert batches.dtypes == windows.dtypes
+    assert sorted(map(str, batches.collect())) == sorted(map(str, windows.collect()))
+
+
+def test_elements_of_odd_texts(units_of):
+    got = [tuple(r)[1:] for r in elements.elements(units_of(ODD)).orderBy("unit_id", "elem_no").collect() if r.unit_id == "a"]
+    assert got == [
+        (1, "constant", "x", 2, 0, None, "local x"), (2, "constant", "y", 2, 0, None, "local y"),
+        (3, "function", "a.b:c", 3, 0, None, "function a.b:c(d)"), (4, "local_function", "e", 4, 2, "a.b:c", "local function e()"),
+    ]
