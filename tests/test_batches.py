@@ -5,11 +5,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lumenscan.batches import findings as bf
 from lumenscan.batches import lexemes as bx
 from lumenscan.batches import patterns as px
 from lumenscan.batches.windows import Window, sorted_by
 from lumenscan.functions import lexicon as lx
-from lumenscan.operators import blocks, diagnostics, elements, lexing
+from lumenscan.operators import blocks, diagnostics, elements, lexing, rules
 from lumenscan.operators import outline as o
 from lumenscan.plans import outcomes
 
@@ -95,3 +96,22 @@ def test_elements_of_odd_texts(units_of):
         (1, "constant", "x", 2, 0, None, "local x"), (2, "constant", "y", 2, 0, None, "local y"),
         (3, "function", "a.b:c", 3, 0, None, "function a.b:c(d)"), (4, "local_function", "e", 4, 2, "a.b:c", "local function e()"),
     ]
+
+
+def test_rules_over_steps_need_no_windows_over_rows(units_of):
+    outlined = o.outline(units_of({"a": "function f(x)\n\twhile true do\n\t\twait(1)\n\tend\nend\n"}))
+    found = rules.findings(o.steps_of(outlined), o.functions_of(outlined))
+    assert "Window" not in plan_of(found)
+    assert sorted((r.rule, r.step_no) for r in found.collect()) == [("deprecated-api", 1), ("infinite-loop", 0), ("wait-in-loop", 1)]
+
+
+def test_batches_hold_whole_functions():
+    rows = [("a", 0), ("a", 0), ("a", 1), ("b", 1), ("b", 1), ("b", 1), ("b", 1), (None, 1)]
+    batch = pa.RecordBatch.from_pydict({"unit_id": [u for u, _ in rows], "fn_no": [n for _, n in rows]})
+    got = [t.num_rows for t, _ in bf.whole_functions((batch.slice(i, 1) for i in range(len(rows))), limit=2)]
+    assert got == [3, 5]  # a function goes on past the limit
+
+
+def test_a_pattern_ends_where_java_ends():
+    assert [px.strip(t) for t in ("\t a b \n", " \u00e9 \u0085", " a ")] == ["a b", "\u00e9\u0085", "a"]
+    assert px.java("b$").search("ab\r\n") and px.java("b$").search("ab\u2028") and not px.java("b$").search("ab\n\n")
