@@ -10,7 +10,7 @@ from lumenscan.batches import lexemes as bx
 from lumenscan.batches import patterns as px
 from lumenscan.batches.windows import Window, sorted_by
 from lumenscan.functions import lexicon as lx
-from lumenscan.operators import blocks, diagnostics, elements, lexing, rules
+from lumenscan.operators import blocks, diagnostics, elements, lexing, pieces, rules
 from lumenscan.operators import outline as o
 from lumenscan.plans import outcomes
 
@@ -115,3 +115,19 @@ def test_batches_hold_whole_functions():
 def test_a_pattern_ends_where_java_ends():
     assert [px.strip(t) for t in ("\t a b \n", " \u00e9 \u0085", " a ")] == ["a b", "\u00e9\u0085", "a"]
     assert px.java("b$").search("ab\r\n") and px.java("b$").search("ab\u2028") and not px.java("b$").search("ab\n\n")
+
+
+def test_tokens_of_pieces_store_no_lexemes(spark, units_of, monkeypatch):
+    """Only the text and narrow columns are written; no window passes over tokens."""
+    written = {}
+
+    def write(df, name):
+        written[name] = df.columns
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(pieces, "write_stage", write)
+    units = units_of({"a": "local a = [==[ x\n\n ]] y\n ]==] .. b\n--[[ c\n d ]] e = 1\n  f()\n"})
+    got = pieces.tokens(units, 4)
+    assert written["lexed_pieces"] == ["unit_id", "piece", "owner", "part", "count"]
+    assert written["entry_modes"] == ["unit_id", "piece", "head", "owner"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, lexing.tokens(units).collect()))
