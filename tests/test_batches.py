@@ -35,8 +35,8 @@ def test_windows_over_arrays():
 def test_matches_are_those_of_the_session(spark, text):
     """The patterns are Java's; Python's matches must be the same, and add up to the text."""
     frame = spark.createDataFrame([(text,)], "content string")
-    for java, pattern in ((lx.TOKEN_LEX, px.TOKEN), (lx.SCAN_LEX, px.SCAN)):
-        got = [(m[0], m[1]) for m in pattern.finditer(text)]
+    for java, pattern in ((lx.TOKEN_LEX, px.TOKENS), (lx.SCAN_LEX, px.SCANNED)):
+        got = [m[:2] for m in pattern.findall(text)]
         raw, core = frame.select(*[F.regexp_extract_all("content", F.lit(java), F.lit(i)) for i in (0, 1)]).first()
         assert got == list(zip(raw, core, strict=True))
         assert "".join(g[0] for g in got) == text
