@@ -131,3 +131,22 @@ def test_tokens_of_pieces_store_no_lexemes(spark, units_of, monkeypatch):
     assert written["lexed_pieces"] == ["unit_id", "piece", "owner", "part", "count"]
     assert written["entry_modes"] == ["unit_id", "piece", "head", "owner"]
     assert sorted(map(str, got.collect())) == sorted(map(str, lexing.tokens(units).collect()))
+
+
+@pytest.mark.parametrize("rule", rules.RULE_NAMES)
+def test_a_rule_alone_finds_what_it_finds_among_all(rule, outlined):
+    """Alone it gets the columns that it reads, and no others."""
+    steps, functions, every = outlined
+    alone = rules.findings(steps, functions, 2, 3, rules=[rule]).collect()
+    assert sorted(map(str, alone)) == sorted(str(r) for r in every if r.rule == rule) and alone
+
+
+@pytest.fixture(scope="module")
+def outlined(units_of):
+    from lumenscan.sources.snippets import SNIPPETS
+
+    more = "for i = 1, 2 do\nfor j = 1, 2 do\nfor k = 1, 2 do\n" + "\n".join(SNIPPETS[:20] + SNIPPETS[20:]) + "\nend\nend\nend"
+    body = "\n".join([*SNIPPETS, more, "go(x)\ngo(x)", "if a then\nb()\nend\nif a then\nc()\nend", "call(function() return 1 end, function() return 2 end)"])
+    table = o.outline(units_of({"a": f"function f(x)\n{body}\nend\nfunction g() end\nfunction h()\nx:Connect(y)\nend\n"})).localCheckpoint()
+    steps, functions = o.steps_of(table), o.functions_of(table)
+    return steps, functions, rules.findings(steps, functions, 2, 3).collect()
