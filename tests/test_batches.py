@@ -48,6 +48,11 @@ def test_steps_are_derived_without_windows_over_rows(units_of):
     assert "Window" not in plan and "MapInArrow" in plan
 
 
+def test_steps_come_as_they_stand_in_the_file(units_of):
+    text = "function f(x)\n\tif x then\n\t\tg()\n\tend\n\th()\nend\nfunction k() m() end\n"
+    assert [r.line for r in o.steps(units_of({"a": text})).collect()] == [2, 3, 5, 7]
+
+
 def test_batches_hold_whole_files():
     batch = pa.RecordBatch.from_pydict({"unit_id": ["a", "b", "b", None, None, "c"], "content": ["xx", "x", None, "x", "x", "xxx"]})
     got = list(bx.batches_of_files(iter([batch.slice(0, 2), batch.slice(2)]), limit=1))
